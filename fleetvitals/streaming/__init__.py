@@ -1,0 +1,5 @@
+"""Nothing here: the reports are batch questions over snapshot history.
+
+The two places that come near a stream, a measurement over an interval and a poll
+of one gauge, are the batch operators ``counter_delta`` and ``first_n_samples``.
+"""

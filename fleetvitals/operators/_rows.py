@@ -54,19 +54,21 @@ def with_running_total(
             whole_sum(value).over(everyone).alias("total"),
         )
 
-    placed = settle(
-        df.repartitionByRange(*[F.col(c) for c in scope], *order).withColumn(
-            "_slice", F.spark_partition_id()
-        )
-    )
-    slices = placed.groupBy(*scope, "_slice").agg(
+    # One struct stands for the scope: a NULL inside still equals a NULL, so no row is lost in
+    # the join below, and the window afterwards finds the rows where the join left them.
+    slice_key = ["_slice"]
+    if scope:
+        df = df.withColumn("_scope", F.struct(*scope))
+        slice_key = ["_scope", "_slice"]
+    ranged = df.repartitionByRange(*[F.col(c) for c in slice_key[:-1]], *order)
+    placed = settle(ranged.withColumn("_slice", F.spark_partition_id()))
+    slices = placed.groupBy(*slice_key).agg(
         whole_sum(value).alias("_sum"), F.count("*").alias("_rows")
     )
-    everyone = Window.partitionBy(*scope)
+    everyone = Window.partitionBy(*slice_key[:-1])
     earlier = everyone.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = slices.select(
-        *scope,
-        "_slice",
+        *slice_key,
         F.sum("_sum").over(earlier).alias("_sum_before"),
         F.sum("_rows").over(earlier).alias("_rows_before"),
         F.sum("_sum").over(everyone).alias("total"),
@@ -74,11 +76,10 @@ def with_running_total(
     if not scope:
         # At most one row per range partition, a number set by the session and not by the data.
         offsets = F.broadcast(offsets)
-    located = join_same(placed, offsets, [*scope, "_slice"], "inner")
-    inside = Window.partitionBy(*scope, "_slice").orderBy(*order)
+    inside = Window.partitionBy(*slice_key).orderBy(*order)
     inside_so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    kept = [c for c in df.columns]
-    return located.select(
+    kept = [c for c in df.columns if c != "_scope"]
+    return placed.join(offsets, slice_key).select(
         *kept,
         (F.coalesce("_rows_before", F.lit(0)) + F.row_number().over(inside)).alias("row_rank"),
         (F.coalesce("_sum_before", F.lit(0)) + whole_sum(value).over(inside_so_far)).alias(
@@ -92,16 +93,6 @@ def whole_sum(value: str) -> Column:
     return F.sum(whole(value))
 
 
-def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
-    """Join on ``keys`` where NULL equals NULL; only the left keys stay."""
-    renamed = right
-    condition = F.lit(True)
-    for key in keys:
-        renamed = renamed.withColumnRenamed(key, f"_right_{key}")
-        condition = condition & F.col(key).eqNullSafe(F.col(f"_right_{key}"))
-    return left.join(renamed, condition, how).drop(*[f"_right_{key}" for key in keys])
-
-
 def top_rows(
     df: DataFrame,
     order: Sequence[Column],

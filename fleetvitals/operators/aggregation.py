@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import early_percent, mean_of, ratio, round_ratio, whole, whole_div
 from ..functions.time import seconds_between
-from ._rows import join_same, names
+from ._rows import names
 
 
 def count_by(
@@ -233,7 +233,8 @@ def counter_delta(
     One key may hold a large part of all readings, so the windows run over stretches of time (a
     day, unless ``stretch`` gives another expression that never falls as ``order`` rises). The
     last reading of every stretch is found by an aggregate that combines before its shuffle, and
-    handed to the first row of the key's next stretch. Adds ``<value>_delta`` per value.
+    handed to the first row of the key's next stretch. Keys are not NULL. Adds ``<value>_delta``
+    per value.
     """
     key, order, values = names(key), names(order), names(values)
     stretched = df.withColumn(
@@ -247,7 +248,7 @@ def counter_delta(
 
     inside = Window.partitionBy(*key, "_stretch").orderBy(*order)
     before = stretched.withColumn("_before", F.lag(F.struct(*values)).over(inside))
-    linked = join_same(before, handed, [*key, "_stretch"], "inner")
+    linked = before.join(handed, [*key, "_stretch"], "left")
     previous = F.coalesce("_before", "_handed")
     for value in values:
         last = previous[value]

@@ -573,7 +573,7 @@ def drop_exact_duplicates(spark: SparkSession, folder: str) -> DataFrame:
 """)
 def key_value_pick(spark: SparkSession, folder: str) -> DataFrame:
     """Field k of every event's properties, 0 shown as a label."""
-    k = F.get_json_object("props", "$.k").cast("int")
+    k = F.from_json("props", "k int")["k"]
     return ops.key_value_pick(
         read_table(spark, folder, "events"), None, k, 0, "never", keep=["event_id"]
     )

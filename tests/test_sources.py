@@ -109,3 +109,12 @@ def test_write_sections(spark, mixed, tmp_path):
     write_sections({"one": mixed.select("padded"), "two": mixed.select("n")}, f"{tmp_path}/out")
     assert sorted(cells(spark.read.text(f"{tmp_path}/out/one"), "value")) == ["NULL", "padded"]
     assert banner("Waits") == "##########  Waits #############"
+
+
+def test_declared_schemas_are_those_of_the_files(spark):
+    from fleetvitals.sources.tables import TABLES, read_table
+
+    folder = "/root/testdata/sf0.001"
+    for name in TABLES:
+        inferred = spark.read.parquet(f"{folder}/{name}.parquet").dtypes
+        assert read_table(spark, folder, name).dtypes == inferred, name

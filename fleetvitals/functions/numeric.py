@@ -41,18 +41,33 @@ def ratio(a: Column | str, b: Column | str) -> Column:
     return F.try_divide(as_col(a).cast("double"), as_col(b).cast("double"))
 
 
-def round_ratio(a: Column | str, b: Column | str | int, places: int, precision: int = 18) -> Column:
-    """``a / b`` rounded half up (away from zero) to ``places``, from whole numbers only.
+def round_ratio(
+    a: Column | str,
+    b: Column | str | int,
+    places: int,
+    precision: int = 18,
+    times: int = 1,
+) -> Column:
+    """``a * times / b`` rounded half up (away from zero) to ``places``, from whole numbers only.
 
     Everything up to the last step is whole-number arithmetic, so no binary fraction can tip
-    a tie. NULL where ``b`` is not positive.
+    a tie. 64-bit numbers are tried first and wide ones are only worked out where those overflow.
+    NULL where ``b`` is not positive.
     """
-    a = as_col(a).cast(WIDE)
-    b = (F.lit(b) if isinstance(b, int) else as_col(b)).cast(WIDE)
-    doubled = F.abs(a) * F.lit(2 * 10**places) + b
-    steps = F.call_function("div", doubled, b * F.lit(2)).cast("decimal(20,0)")
+    a = as_col(a)
+    b = F.lit(b) if isinstance(b, int) else as_col(b)
+    factor = F.lit(2 * times * 10**places)
+
+    short_a, short_b = a.try_cast("bigint"), b.try_cast("bigint")
+    doubled = F.try_add(F.try_multiply(F.abs(short_a), factor.cast("bigint")), short_b)
+    short = F.call_function("div", doubled, F.try_multiply(short_b, F.lit(2).cast("bigint")))
+
+    wide_a, wide_b = a.cast(WIDE), b.cast(WIDE)
+    wide = F.call_function("div", F.abs(wide_a) * factor + wide_b, wide_b * F.lit(2))
+
+    steps = F.coalesce(short, wide)
+    signed = F.when(a < 0, -steps).otherwise(steps).cast("decimal(20,0)")
     unit = F.lit(Decimal(1).scaleb(-places))
-    signed = F.when(a < 0, -steps).otherwise(steps)
     return F.when(b > 0, (signed * unit).cast(f"decimal({precision},{places})"))
 
 

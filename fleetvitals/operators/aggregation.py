@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import early_percent, mean_of, ratio, round_ratio, whole, whole_div
 from ..functions.time import seconds_between
-from ._rows import names
+from ._rows import columns_of, names
 
 
 def count_by(
@@ -148,13 +148,17 @@ def smoothed_average(
     averages: Mapping[str, tuple[str | Column, str | Column]],
     *,
     places: int = 1,
+    order: Sequence[str | Column] | None = None,
     scope: Sequence[str] = (),
 ) -> DataFrame:
     """``total / (1 + count)`` for each named pair, after joining the facts to their names.
 
-    The 1 keeps a row without any operation from dividing by zero. Rounded half up.
+    The 1 keeps a row without any operation from dividing by zero. Rounded half up. ``order`` is
+    for presentation.
     """
     joined = facts.join(dim, [*names(scope), *names(on)])
+    if order is not None:
+        joined = joined.orderBy(*names(scope), *columns_of(order))
     for name, (total, count) in averages.items():
         count = F.col(count) if isinstance(count, str) else count
         joined = joined.withColumn(name, round_ratio(total, F.lit(1) + count, places))
@@ -186,9 +190,9 @@ def global_ratio(
         *names(scope),
         "part_sum",
         "total_sum",
-        round_ratio(whole("part_sum") * 100, "total_sum", 2, 20).alias("part_percent"),
+        round_ratio("part_sum", "total_sum", 2, 20, times=100).alias("part_percent"),
         round_ratio(
-            (whole("total_sum") - whole("part_sum")) * 100, "total_sum", 2, 20
+            F.col("total_sum") - F.col("part_sum"), "total_sum", 2, 20, times=100
         ).alias("rest_percent"),
         ratio("part_sum", "total_sum").alias("part_ratio"),
     )

@@ -11,17 +11,6 @@ from ..functions.numeric import ratio, whole
 from ._rows import columns_of, names, top_rows, with_running_total
 
 
-def _grouped(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str | Column,
-    measures: Mapping[str, Column] | None,
-) -> DataFrame:
-    value = F.col(value) if isinstance(value, str) else value
-    extra = [column.alias(name) for name, column in (measures or {}).items()]
-    return df.groupBy(*keys).agg(F.sum(value).alias("value"), *extra)
-
-
 def running_totals(
     df: DataFrame,
     key: str | Sequence[str],
@@ -30,16 +19,24 @@ def running_totals(
     measures: Mapping[str, Column] | None = None,
     scope: Sequence[str] = (),
     few_groups: bool = False,
+    one_row_per_key: bool = False,
 ) -> DataFrame:
     """Group, rank by value (largest first), and add the sum up to and including each row.
 
     The same rows as joining every ranked row to all rows of equal or smaller rank and adding
-    those up, without ever pairing rows. Ties in the value are broken by the key.
+    those up, without ever pairing rows. Ties in the value are broken by the key. ``measures``
+    are aggregates; with ``one_row_per_key`` the rows are taken as they are, which saves the
+    shuffle of the grouping, and measures are plain columns.
     """
     scope, key = names(scope), names(key)
-    grouped = _grouped(df, [*scope, *key], value, measures)
+    value = F.col(value) if isinstance(value, str) else value
+    extra = [column.alias(name) for name, column in (measures or {}).items()]
+    if one_row_per_key:
+        rows = df.select(*scope, *key, value.alias("value"), *extra)
+    else:
+        rows = df.groupBy(*scope, *key).agg(F.sum(value).alias("value"), *extra)
     order = [F.col("value").desc(), *[F.col(k).asc() for k in key]]
-    return with_running_total(grouped, "value", order, scope, few_groups)
+    return with_running_total(rows, "value", order, scope, few_groups)
 
 
 def coverage_topk(
@@ -53,6 +50,7 @@ def coverage_topk(
     measures: Mapping[str, Column] | None = None,
     scope: Sequence[str] = (),
     few_groups: bool = False,
+    one_row_per_key: bool = False,
 ) -> DataFrame:
     """The largest keys that together hold ``pct`` percent of the value.
 
@@ -68,7 +66,13 @@ def coverage_topk(
     if exclude:
         df = df.where(~F.col(exclude_on or key[0]).isin(*exclude))
     ranked = running_totals(
-        df, key, value, measures=measures, scope=scope, few_groups=few_groups
+        df,
+        key,
+        value,
+        measures=measures,
+        scope=scope,
+        few_groups=few_groups,
+        one_row_per_key=one_row_per_key,
     )
     preceding = F.col("running") - whole("value")
     return (
@@ -96,6 +100,7 @@ def share_rank(
     measures: Mapping[str, Column] | None = None,
     scope: Sequence[str] = (),
     few_groups: bool = False,
+    one_row_per_key: bool = False,
 ) -> DataFrame:
     """Every key with its rank by value and its share of the total.
 
@@ -106,7 +111,13 @@ def share_rank(
     if exclude:
         df = df.where(~F.col(key[0]).isin(*exclude))
     ranked = running_totals(
-        df, key, value, measures=measures, scope=scope, few_groups=few_groups
+        df,
+        key,
+        value,
+        measures=measures,
+        scope=scope,
+        few_groups=few_groups,
+        one_row_per_key=one_row_per_key,
     )
     return ranked.select(
         *scope,

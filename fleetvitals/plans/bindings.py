@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .. import operators as ops
 from ..functions import scaled, shift_millis, whole_div
 from ..sources import read_table, render_text, rollover_rows
+from ..sources.tables import TABLES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -644,7 +645,7 @@ def flagged_members(spark: SparkSession, folder: str) -> DataFrame:
 """)
 def rollover_events(spark: SparkSession, folder: str) -> DataFrame:
     """Two classes of events from the event file and whatever it rolled over to."""
-    rows = rollover_rows(spark, f"{folder}/events.parquet").select(
+    rows = rollover_rows(spark, f"{folder}/events.parquet", schema=TABLES["events"]).select(
         "event_id",
         "ts",
         F.col("event_type").alias("EventClass"),

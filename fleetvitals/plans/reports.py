@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import operators as ops
-from ..functions import early_percent, round_ratio, style_100, whole, whole_div
+from ..functions import early_percent, round_ratio, style_100, whole_div
 from ..sources.telemetry import DATABASE_KEY, SNAPSHOT_KEY
 from . import constants as k
 
@@ -47,6 +47,7 @@ Report = Callable[[Tables, ReportOptions], DataFrame]
 
 
 def _sorted(df: DataFrame, *order: str | Column) -> DataFrame:
+    """Sort for display. Costly conversions come after it, since a sort looks at its input twice."""
     return df.orderBy(*SNAPSHOT_KEY, *order)
 
 
@@ -102,15 +103,12 @@ def database_settings(t: Tables, o: ReportOptions) -> DataFrame:
         scope=SNAPSHOT_KEY,
     )
     settings = [c for c in t["databases"].columns if c not in SNAPSHOT_KEY]
-    return _sorted(
-        paired.select(
-            *SNAPSHOT_KEY,
-            *settings,
-            round_ratio("denominator", 1024, 2).alias("log_size_mb"),
-            round_ratio("numerator", 1024, 2).alias("log_used_mb"),
-            F.col("percent").alias("log_used_percent"),
-        ),
-        "name",
+    return _sorted(paired, "name").select(
+        *SNAPSHOT_KEY,
+        *settings,
+        round_ratio("denominator", 1024, 2).alias("log_size_mb"),
+        round_ratio("numerator", 1024, 2).alias("log_used_mb"),
+        F.col("percent").alias("log_used_percent"),
     )
 
 
@@ -245,30 +243,27 @@ def wait_statistics(t: Tables, o: ReportOptions) -> DataFrame:
         pct=o.coverage_pct,
         exclude=o.idle_waits,
         measures={
-            "signal_ms": F.sum("signal_wait_time_ms"),
-            "wait_count": F.sum("waiting_tasks_count"),
+            "signal_ms": F.col("signal_wait_time_ms"),
+            "wait_count": F.col("waiting_tasks_count"),
         },
         scope=SNAPSHOT_KEY,
         few_groups=True,
+        one_row_per_key=True,
     )
     resource = F.col("value") - F.col("signal_ms")
     per_wait = F.col("wait_count") * F.lit(1000)
-    return _sorted(
-        top.select(
-            *SNAPSHOT_KEY,
-            "wait_type",
-            round_ratio("value", 1000, 2, 16).alias("wait_sec"),
-            round_ratio(resource, 1000, 2, 16).alias("resource_sec"),
-            round_ratio("signal_ms", 1000, 2, 16).alias("signal_sec"),
-            "wait_count",
-            round_ratio(whole("value") * 100, "total", 2, 5).alias("wait_percentage"),
-            round_ratio("value", per_wait, 4, 16).alias("avg_wait_sec"),
-            round_ratio(resource, per_wait, 4, 16).alias("avg_resource_sec"),
-            round_ratio("signal_ms", per_wait, 4, 16).alias("avg_signal_sec"),
-            "row_rank",
-        ),
-        "row_rank",
-    ).drop("row_rank")
+    return _sorted(top, "row_rank").select(
+        *SNAPSHOT_KEY,
+        "wait_type",
+        round_ratio("value", 1000, 2, 16).alias("wait_sec"),
+        round_ratio(resource, 1000, 2, 16).alias("resource_sec"),
+        round_ratio("signal_ms", 1000, 2, 16).alias("signal_sec"),
+        "wait_count",
+        round_ratio("value", "total", 2, 5, times=100).alias("wait_percentage"),
+        round_ratio("value", per_wait, 4, 16).alias("avg_wait_sec"),
+        round_ratio(resource, per_wait, 4, 16).alias("avg_resource_sec"),
+        round_ratio("signal_ms", per_wait, 4, 16).alias("avg_signal_sec"),
+    )
 
 
 # Backups
@@ -419,17 +414,19 @@ def io_by_database(t: Tables, o: ReportOptions) -> DataFrame:
         .select(*SNAPSHOT_KEY, "database_id", whole_div("_bytes", 1048576).alias("_mb"))
     )
     ranked = ops.share_rank(
-        per_database, "database_id", "_mb", scope=SNAPSHOT_KEY, few_groups=True
+        per_database,
+        "database_id",
+        "_mb",
+        scope=SNAPSHOT_KEY,
+        few_groups=True,
+        one_row_per_key=True,
     )
-    return _sorted(
-        _with_database(ranked, t).select(
-            *SNAPSHOT_KEY,
-            F.col("row_rank").alias("io_rank"),
-            "database_name",
-            F.col("value").cast("decimal(12,2)").alias("total_io_mb"),
-            round_ratio(whole("value") * 100, "total", 2, 5).alias("io_percent"),
-        ),
-        "io_rank",
+    return _sorted(_with_database(ranked, t), "row_rank").select(
+        *SNAPSHOT_KEY,
+        F.col("row_rank").alias("io_rank"),
+        "database_name",
+        F.col("value").cast("decimal(12,2)").alias("total_io_mb"),
+        round_ratio("value", "total", 2, 5, times=100).alias("io_percent"),
     )
 
 
@@ -437,34 +434,32 @@ def file_stalls(t: Tables, o: ReportOptions) -> DataFrame:
     """Average stall per read, write and operation of every file, most stalled first."""
     stall = F.col("io_stall_read_ms") + F.col("io_stall_write_ms")
     operations = F.col("num_of_reads") + F.col("num_of_writes")
+    files = t["master_files"].select(*SNAPSHOT_KEY, "database_id", "file_id", "physical_name")
     averaged = ops.smoothed_average(
         t["file_stats"],
-        t["master_files"].select(*SNAPSHOT_KEY, "database_id", "file_id", "physical_name"),
+        _with_database(files, t),
         ["database_id", "file_id"],
         {
             "avg_read_stall_ms": ("io_stall_read_ms", "num_of_reads"),
             "avg_write_stall_ms": ("io_stall_write_ms", "num_of_writes"),
             "avg_io_stall_ms": (stall, operations),
         },
+        order=[stall.desc(), "physical_name"],
         scope=SNAPSHOT_KEY,
     )
-    return _sorted(
-        _with_database(averaged, t).select(
-            *SNAPSHOT_KEY,
-            "database_name",
-            "physical_name",
-            "io_stall_read_ms",
-            "num_of_reads",
-            "avg_read_stall_ms",
-            "io_stall_write_ms",
-            "num_of_writes",
-            "avg_write_stall_ms",
-            stall.alias("io_stalls"),
-            operations.alias("total_io"),
-            "avg_io_stall_ms",
-        ),
-        F.desc("io_stalls"),
+    return averaged.select(
+        *SNAPSHOT_KEY,
+        "database_name",
         "physical_name",
+        "io_stall_read_ms",
+        "num_of_reads",
+        "avg_read_stall_ms",
+        "io_stall_write_ms",
+        "num_of_writes",
+        "avg_write_stall_ms",
+        stall.alias("io_stalls"),
+        operations.alias("total_io"),
+        "avg_io_stall_ms",
     )
 
 
@@ -601,16 +596,14 @@ def cpu_by_database(t: Tables, o: ReportOptions) -> DataFrame:
         exclude=[k.RESOURCE_DATABASE],
         scope=SNAPSHOT_KEY,
         few_groups=True,
+        one_row_per_key=True,
     )
-    return _sorted(
-        _with_database(ranked, t).select(
-            *SNAPSHOT_KEY,
-            F.col("row_rank").alias("cpu_rank"),
-            "database_name",
-            F.col("value").alias("cpu_time"),
-            round_ratio(whole("value") * 100, "total", 2, 5).alias("cpu_percent"),
-        ),
-        "cpu_rank",
+    return _sorted(_with_database(ranked, t), "row_rank").select(
+        *SNAPSHOT_KEY,
+        F.col("row_rank").alias("cpu_rank"),
+        "database_name",
+        F.col("value").alias("cpu_time"),
+        round_ratio("value", "total", 2, 5, times=100).alias("cpu_percent"),
     )
 
 
@@ -664,8 +657,10 @@ def buffer_by_object(t: Tables, o: ReportOptions) -> DataFrame:
     """Cached pages per object and index.
 
     Units of type 1 and 3 belong to a partition's row store, units of type 2 to the partition.
+    Pages, by far the most rows, carry the database's id; the units get it too, so pages are
+    counted before anything is joined to them.
     """
-    units = _limited(t["allocation_units"], o)
+    units = _limited(t["allocation_units"], o).join(_database_names(t), DATABASE_KEY)
     partitions = t["partitions"]
 
     def branch(types: list[int], container: str) -> DataFrame:
@@ -675,7 +670,7 @@ def buffer_by_object(t: Tables, o: ReportOptions) -> DataFrame:
         return (
             units.where(F.col("type").isin(*types))
             .join(owners, [*DATABASE_KEY, "container_id"])
-            .select(*DATABASE_KEY, "allocation_unit_id", "object_id", "index_id")
+            .select(*DATABASE_KEY, "database_id", "allocation_unit_id", "object_id", "index_id")
         )
 
     objects = t["objects"].select(*DATABASE_KEY, "object_id", F.col("name").alias("table_name"))
@@ -690,16 +685,15 @@ def buffer_by_object(t: Tables, o: ReportOptions) -> DataFrame:
         b.join(objects, [*DATABASE_KEY, "object_id"], "left")
         for b in (branch([1, 3], "hobt_id"), branch([2], "partition_id"))
     ]
-    pages = _limited(_with_database(t["buffer_descriptors"], t, "inner"), o)
     counted = ops.union_hierarchy_count(
         branches,
         indexes,
-        pages,
-        ["object_id", "index_id"],
-        "allocation_unit_id",
-        ["table_name", "index_id", "index_name", "index_type"],
+        t["buffer_descriptors"],
+        ["database_name", "object_id", "index_id"],
+        ["database_id", "allocation_unit_id"],
+        ["database_name", "table_name", "index_id", "index_name", "index_type"],
         alias="cached_pages",
-        scope=DATABASE_KEY,
+        scope=SNAPSHOT_KEY,
     )
     return _sorted(
         counted.drop("index_id"), "database_name", F.desc("cached_pages"), "table_name", "index_name"

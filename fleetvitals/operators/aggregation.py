@@ -221,6 +221,30 @@ def pages_to_mb(
     )
 
 
+# Keys to be split are looked for in one row of this many. They only decide how the work is cut,
+# never what comes out, so a part of the rows is enough; the part is fixed by a hash.
+LOOK_AT_ONE_IN = 64
+# A key is split if it has more than one in this many of those rows, so there are at most as many.
+MAX_SPLIT_KEYS = 100_000
+
+
+def _busy_keys(
+    df: DataFrame, key: Sequence[str], order: Sequence[str], split_rows: int
+) -> DataFrame:
+    """Keys with very many rows, marked by ``_split``; at most ``MAX_SPLIT_KEYS`` of them."""
+    looked_at = df.where(F.xxhash64(*key, *order).bitwiseAND(LOOK_AT_ONE_IN - 1) == 0)
+    everything = looked_at.agg(F.count("*")).scalar()
+    limit = F.greatest(
+        F.lit(split_rows // LOOK_AT_ONE_IN).cast("bigint"), whole_div(everything, MAX_SPLIT_KEYS)
+    )
+    return (
+        looked_at.groupBy(*key)
+        .agg(F.count("*").alias("_rows"))
+        .where(F.col("_rows") > limit)
+        .select(*key, F.lit(True).alias("_split"))
+    )
+
+
 def counter_delta(
     df: DataFrame,
     key: str | Sequence[str],
@@ -228,36 +252,46 @@ def counter_delta(
     values: str | Sequence[str],
     *,
     stretch: Column | None = None,
+    split_rows: int = 100_000,
 ) -> DataFrame:
     """Growth of cumulative counters since the reading before; after a reset the reading itself.
 
     A reading below the one before it means the counter was cleared in between. The first reading
-    of a key has no growth (NULL). ``order`` is ascending and starts with a timestamp.
+    of a key has no growth (NULL). ``order`` is ascending, total within a key, and starts with a
+    timestamp. Keys are not NULL. Adds ``<value>_delta`` per value.
 
-    One key may hold a large part of all readings, so the windows run over stretches of time (a
-    day, unless ``stretch`` gives another expression that never falls as ``order`` rises). The
-    last reading of every stretch is found by an aggregate that combines before its shuffle, and
-    handed to the first row of the key's next stretch. Keys are not NULL. Adds ``<value>_delta``
-    per value.
+    One key may hold a large part of all readings. Keys with more than about ``split_rows`` of them
+    are split into stretches of time (a day, unless ``stretch`` gives another expression that never
+    falls as ``order`` rises), and the last reading of a stretch is handed to the first row of the
+    key's next one. The other keys stay whole.
     """
     key, order, values = names(key), names(order), names(values)
-    stretched = df.withColumn(
-        "_stretch", F.col(order[0]).cast("date") if stretch is None else stretch
+    if stretch is None:
+        stretch = F.col(order[0]).cast("date")
+    # A bounded side: see _busy_keys.
+    busy = F.broadcast(_busy_keys(df, key, order, split_rows))
+    stretched = df.join(busy, key, "left").withColumn(
+        "_stretch", F.when(F.col("_split"), stretch)
     )
-    ends = stretched.groupBy(*key, "_stretch").agg(
-        F.max_by(F.struct(*values), F.struct(*order)).alias("_end")
+    ends = (
+        stretched.where(F.col("_split"))
+        .groupBy(*key, "_stretch")
+        .agg(F.max_by(F.struct(*values), F.struct(*order)).alias("_end"))
     )
     per_key = Window.partitionBy(*key).orderBy("_stretch")
     handed = ends.select(*key, "_stretch", F.lag("_end").over(per_key).alias("_handed"))
 
     inside = Window.partitionBy(*key, "_stretch").orderBy(*order)
-    before = stretched.withColumn("_before", F.lag(F.struct(*values)).over(inside))
+    before = stretched.select(
+        *df.columns,
+        "_stretch",
+        (F.row_number().over(inside) == 1).alias("_first"),
+        *[F.lag(value).over(inside).alias(f"_before_{value}") for value in values],
+    )
     linked = before.join(handed, [*key, "_stretch"], "left")
-    previous = F.coalesce("_before", "_handed")
+    deltas = []
     for value in values:
-        last = previous[value]
+        last = F.when(F.col("_first"), F.col("_handed")[value]).otherwise(F.col(f"_before_{value}"))
         now = F.col(value)
-        linked = linked.withColumn(
-            f"{value}_delta", F.when(now < last, now).otherwise(now - last)
-        )
-    return linked.drop("_stretch", "_before", "_handed")
+        deltas.append(F.when(now < last, now).otherwise(now - last).alias(f"{value}_delta"))
+    return linked.select(*df.columns, *deltas)

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
+from ..sources.textsink import write_sections
 from . import reports as r
 from .reports import Report, ReportOptions, Tables
 
@@ -35,6 +36,42 @@ class Switches:
     product_mark: str | None = None
 
 
+# Text widths that differ from the usual 30; None shows a column whole.
+TEXT_WIDTHS: dict[str, dict[str, int | None]] = {
+    "product_versions": {"product_version": None},
+    "server_properties": {"server_name": 50},
+    "connections": {"login_name": 50, "program_name": 50},
+    "services": {
+        "servicename": 50,
+        "last_startup_time": 50,
+        "service_account": 50,
+        "filename": 172,
+    },
+    "manufacturer": {"line": None},
+    "file_paths": {"physical_name": 172},
+    "wait_statistics": {"wait_type": None},
+    "waits_between_snapshots": {"wait_type": None},
+    "backup_throughput": {"server_name": 50},
+    "file_growth": {"logical_name": 50, "physical_name": 50},
+    "file_stalls": {"physical_name": 172},
+    "missing_indexes": {
+        "statement": None,
+        "equality_columns": None,
+        "inequality_columns": None,
+        "included_columns": None,
+    },
+    "autogrowth_events": {"event_name": None},
+    "page_life_expectancy": {"server_name": 50, "object_name": 50},
+    "memory_grants_pending": {"server_name": 50, "object_name": 72, "memory_grants_pending": 10},
+    "buffer_by_object": {"index_name": 50},
+    "os_memory": {"system_memory_state": None},
+    "agent_jobs": {"job_name": 50, "job_description": 87},
+    "sysadmins": {"details": 59},
+    "security_admins": {"login": 50},
+    "volatile_statistics": {"object_name": 50, "statistics_name": 50},
+}
+
+
 def chosen_reports(on: Switches, options: ReportOptions) -> list[Report]:
     general = on.general or on.inventory
     product = (
@@ -98,3 +135,8 @@ def run_sections(
     """
     options = options or ReportOptions()
     return {report.__name__: report(tables, options) for report in chosen_reports(on, options)}
+
+
+def write_text(found: dict[str, DataFrame], path: str) -> None:
+    """Write reports as text, a folder each, with the usual widths."""
+    write_sections(found, path, TEXT_WIDTHS)

@@ -12,9 +12,12 @@ from ..functions.text import cut, style_100
 
 DEFAULT_WIDTH = 30
 
+# Column name to width; None leaves a column whole.
+Widths = Mapping[str, int | None]
+
 
 def render_text(
-    df: DataFrame, widths: Mapping[str, int] | None = None, default: int = DEFAULT_WIDTH
+    df: DataFrame, widths: Widths | None = None, default: int = DEFAULT_WIDTH
 ) -> DataFrame:
     """Every column as text of at most its width, trailing blanks off, times in style 100.
 
@@ -26,20 +29,23 @@ def render_text(
         value = F.col(f"`{field.name}`")
         if isinstance(field.dataType, (TimestampType, TimestampNTZType)):
             value = style_100(value)
-        shown.append(cut(value, widths.get(field.name, default)).alias(field.name))
+        width = widths.get(field.name, default)
+        text = F.rtrim(value.cast("string")) if width is None else cut(value, width)
+        shown.append(text.alias(field.name))
     return df.select(*shown)
 
 
 def as_lines(
-    df: DataFrame, widths: Mapping[str, int] | None = None, default: int = DEFAULT_WIDTH
+    df: DataFrame, widths: Widths | None = None, default: int = DEFAULT_WIDTH
 ) -> DataFrame:
-    """The rendered rows as one padded line each, column ``value``."""
+    """The rendered rows as one padded line each, column ``value``; whole columns are not padded."""
     widths = widths or {}
     text = render_text(df, widths, default)
-    cells = [
-        F.rpad(F.coalesce(F.col(f"`{c}`"), F.lit("NULL")), widths.get(c, default), " ")
-        for c in text.columns
-    ]
+    cells = []
+    for name in text.columns:
+        cell = F.coalesce(F.col(f"`{name}`"), F.lit("NULL"))
+        width = widths.get(name, default)
+        cells.append(cell if width is None else F.rpad(cell, width, " "))
     return text.select(F.rtrim(F.concat_ws(" ", *cells)).alias("value"))
 
 
@@ -47,14 +53,29 @@ def banner(title: str) -> str:
     return f"##########  {title} #############"
 
 
+def _heading(title: str, df: DataFrame, widths: Widths, default: int) -> list[str]:
+    names = []
+    for name in df.columns:
+        width = widths.get(name, default)
+        names.append(name if width is None else name[:width].ljust(width))
+    return [banner(title), " ".join(names).rstrip()]
+
+
 def write_sections(
     sections: Mapping[str, DataFrame],
     path: str,
-    widths: Mapping[str, int] | None = None,
+    widths: Mapping[str, Widths] | None = None,
+    default: int = DEFAULT_WIDTH,
 ) -> None:
-    """One text folder per section, written by the executors; the banner is the folder's title.
+    """One text folder per section, written by the executors, banner and column names first.
 
-    Several part files stay several: their names keep the order of a sorted report.
+    ``widths`` are given per section. Several part files stay several: their names keep the order
+    of a sorted report.
     """
     for title, df in sections.items():
-        as_lines(df, widths).write.mode("errorifexists").text(f"{path}/{title}")
+        chosen = (widths or {}).get(title, {})
+        heading = df.sparkSession.createDataFrame(
+            [("\n".join(_heading(title, df, chosen, default)),)], "value string"
+        ).coalesce(1)
+        lines = heading.union(as_lines(df, chosen, default))
+        lines.write.mode("errorifexists").text(f"{path}/{title}")

@@ -146,7 +146,8 @@ def brute_delta(rows):
 
 
 @pytest.mark.parametrize("broadcast", ["10485760", "-1"])
-def test_counter_delta_crosses_days_and_gaps(spark, broadcast):
+@pytest.mark.parametrize("split_rows", [0, 100, 10**6])
+def test_counter_delta_crosses_days_and_gaps(spark, broadcast, split_rows):
     rng = random.Random(3)
     start = datetime(2024, 1, 1)
     rows = []
@@ -159,9 +160,9 @@ def test_counter_delta_crosses_days_and_gaps(spark, broadcast):
     df = spark.createDataFrame(rows, "k string, at timestamp_ntz, n int, v int").repartition(5)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
     try:
-        found = ops.counter_delta(df, "k", ["at", "n"], "v").collect()
+        found = ops.counter_delta(df, "k", ["at", "n"], "v", split_rows=split_rows).collect()
         hourly = ops.counter_delta(
-            df, "k", ["at", "n"], "v", stretch=F.date_trunc("hour", "at")
+            df, "k", ["at", "n"], "v", stretch=F.date_trunc("hour", "at"), split_rows=split_rows
         ).collect()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
@@ -170,6 +171,17 @@ def test_counter_delta_crosses_days_and_gaps(spark, broadcast):
     assert {(r.k, r.n): r.v_delta for r in hourly} == expected
 
 
+def test_only_busy_keys_are_split(spark):
+    from fleetvitals.operators.aggregation import _busy_keys
+
+    df = spark.range(20000).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id"))).alias("k"),
+        "id",
+    )
+    assert cells(_busy_keys(df, ["k"], ["id"], 1000), "k") == ["hot"]
+    assert cells(_busy_keys(df, ["k"], ["id"], 10**6), "k") == []
+
+
 def test_counter_delta_with_a_missing_reading(spark):
     rows = [("a", datetime(2024, 1, d), v) for d, v in [(1, 5), (2, None), (3, 9)]]
     df = spark.createDataFrame(rows, "k string, at timestamp_ntz, v int")

@@ -65,8 +65,19 @@ def test_large_joins_do_not_broadcast(spark):
     """Beyond the threshold every join has a shuffled form; nothing is forced to be broadcast."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        for name in ("latest_per_group", "advantage_score", "union_hierarchy_count", "counter_delta",
+        for name in ("latest_per_group", "advantage_score", "union_hierarchy_count",
                      "detail_over_threshold", "last_update", "size_history", "counter_pair_ratio"):
             assert "BroadcastHashJoin" not in plan_of(contract.queries()[name](spark, FOLDER)), name
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_only_keys_worth_splitting_are_broadcast(spark):
+    """The broadcast side of counter_delta is filtered by a count, so its size has a bound."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(contract.queries()["counter_delta"](spark, FOLDER))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin [user_id" in plan
+    assert "Filter (_rows" in plan and "greatest(1562" in plan

@@ -3,7 +3,13 @@ from __future__ import annotations
 import pytest
 
 from fleetvitals.plans.reports import ReportOptions
-from fleetvitals.plans.sections import Switches, chosen_reports, run_sections
+from fleetvitals.plans.sections import (
+    TEXT_WIDTHS,
+    Switches,
+    chosen_reports,
+    run_sections,
+    write_text,
+)
 from fleetvitals.sources import Tables
 from fleetvitals.sources.telemetry import SNAPSHOTS
 
@@ -69,6 +75,21 @@ def test_every_report_runs_on_empty_tables(snapshot):
         assert df.columns[0] == "server_name", name
 
 
+def test_text_widths_name_real_columns(snapshot):
+    tables = Tables({name: (lambda name=name: snapshot(name)) for name in SNAPSHOTS})
+    found = run_sections(tables, EVERYTHING, ReportOptions(database="PROD6"))
+    for report, widths in TEXT_WIDTHS.items():
+        assert set(widths) <= set(found[report].columns), report
+
+
+def test_write_text(spark, snapshot, tmp_path):
+    tables = Tables({"logins": lambda: snapshot(
+        "logins", {"name": "n" * 60, "sysadmin": 1, "securityadmin": 1, "denylogin": 0})})
+    write_text(run_sections(tables, Switches(security=True)), f"{tmp_path}/out")
+    lines = [r.value for r in spark.read.text(f"{tmp_path}/out/security_admins").collect()]
+    assert any(line.endswith(" " + "n" * 50) for line in lines)
+
+
 @pytest.mark.parametrize("name", sorted(SNAPSHOTS))
 def test_schema_starts_with_server_and_time(snapshot, name):
     assert snapshot(name).columns[:2] == ["server_name", "snapshot_ts"]

@@ -105,10 +105,29 @@ def test_lines_are_padded(mixed):
     assert found == ["padded   1.50", "NULL     NULL"]
 
 
+def written(folder):
+    """The lines of a text folder, part after part."""
+    parts = sorted(f for f in os.listdir(folder) if f.startswith("part-"))
+    return [line for part in parts for line in open(f"{folder}/{part}").read().splitlines()]
+
+
 def test_write_sections(spark, mixed, tmp_path):
-    write_sections({"one": mixed.select("padded"), "two": mixed.select("n")}, f"{tmp_path}/out")
-    assert sorted(cells(spark.read.text(f"{tmp_path}/out/one"), "value")) == ["NULL", "padded"]
-    assert banner("Waits") == "##########  Waits #############"
+    write_sections(
+        {"one": mixed.select("padded"), "two": mixed.select("n", "long")},
+        f"{tmp_path}/out",
+        {"two": {"n": 5, "long": None}},
+    )
+    assert written(f"{tmp_path}/out/one") == [banner("one"), "padded", "padded", "NULL"]
+    assert written(f"{tmp_path}/out/two") == [
+        "##########  two #############", "n     long", "1.50  " + "x" * 40, "NULL  NULL",
+    ]
+
+
+def test_written_reports_keep_their_order(spark, tmp_path):
+    df = spark.range(5000).select(F.xxhash64("id").alias("h")).repartition(7).orderBy("h")
+    write_sections({"sorted": df}, f"{tmp_path}/out")
+    numbers = [int(line) for line in written(f"{tmp_path}/out/sorted")[2:]]
+    assert len(numbers) == 5000 and numbers == sorted(numbers)
 
 
 def test_declared_schemas_are_those_of_the_files(spark):

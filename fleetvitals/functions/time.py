@@ -2,15 +2,31 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .numeric import as_col
 
 
+def _wall_seconds(moment: Column) -> Column:
+    """Whole seconds on the wall clock, whatever the session's time zone."""
+    days = F.datediff(moment, F.lit(date(1970, 1, 1))).cast("bigint")
+    return (
+        days * F.lit(86400)
+        + F.hour(moment) * F.lit(3600)
+        + F.minute(moment) * F.lit(60)
+        + F.second(moment)
+    )
+
+
 def seconds_between(start: Column | str, end: Column | str) -> Column:
-    """Second boundaries crossed from ``start`` to ``end`` (0.9 s to 2.1 s is 2, not 1)."""
-    return F.unix_timestamp(as_col(end)) - F.unix_timestamp(as_col(start))
+    """Second boundaries crossed from ``start`` to ``end`` (0.9 s to 2.1 s is 2, not 1).
+
+    The times have no zone, so an hour skipped in the session's zone does not count.
+    """
+    return _wall_seconds(as_col(end)) - _wall_seconds(as_col(start))
 
 
 def shift_millis(moment: Column | str, millis: Column) -> Column:

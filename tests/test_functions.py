@@ -114,6 +114,20 @@ def test_seconds_count_boundaries(spark):
     )
 
 
+def test_seconds_do_not_depend_on_the_zone(spark):
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        # a clock change lies in between
+        df = spark.sql(
+            "select timestamp_ntz'1969-12-31 23:59:59.5' a, timestamp_ntz'1970-01-01 00:00:00' b,"
+            "timestamp_ntz'2024-03-10 01:00:00' c, timestamp_ntz'2024-03-11 01:00:01' d"
+        )
+        found = df.select(seconds_between("a", "b").alias("x"), seconds_between("c", "d").alias("y")).first()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert tuple(found) == (1, 86401)
+
+
 def test_shift_millis(spark):
     moved = one(spark, shift_millis("t", F.lit(-1500)), t=datetime(2024, 1, 1, 0, 0, 2))
     assert moved == datetime(2024, 1, 1, 0, 0, 0, 500000)

@@ -1,6 +1,6 @@
 """Column helpers shared by the operators."""
 
-from .numeric import early_percent, mean_of, ratio, round_ratio, scaled, whole, whole_div
+from .numeric import early_percent, mean_of, ratio, round_ratio, scaled, times_div, whole, whole_div
 from .text import cut, drop_rollover, style_100
 from .time import seconds_between, shift_millis
 
@@ -15,6 +15,7 @@ __all__ = [
     "seconds_between",
     "shift_millis",
     "style_100",
+    "times_div",
     "whole",
     "whole_div",
 ]

@@ -41,6 +41,11 @@ def ratio(a: Column | str, b: Column | str) -> Column:
     return F.try_divide(as_col(a).cast("double"), as_col(b).cast("double"))
 
 
+def _wide_div(a: Column, b: Column) -> Column:
+    """Quotient of wide numbers without fraction; unlike ``div`` it may exceed 64 bits."""
+    return ((a - a % b) / b).cast(WIDE)
+
+
 def round_ratio(
     a: Column | str,
     b: Column | str | int,
@@ -51,24 +56,37 @@ def round_ratio(
     """``a * times / b`` rounded half up (away from zero) to ``places``, from whole numbers only.
 
     Everything up to the last step is whole-number arithmetic, so no binary fraction can tip
-    a tie. 64-bit numbers are tried first and wide ones are only worked out where those overflow.
-    NULL where ``b`` is not positive.
+    a tie. Numbers that stay within 64 bits are worked out in 64 bits, the others in wide
+    decimals. NULL where ``b`` is not positive.
     """
     a = as_col(a)
-    b = F.lit(b) if isinstance(b, int) else as_col(b)
-    factor = F.lit(2 * times * 10**places)
+    b = F.lit(b).cast("bigint") if isinstance(b, int) else as_col(b)
+    factor = 2 * times * 10**places
+    unit = F.lit(Decimal(1).scaleb(-places))
+    kind = f"decimal({precision},{places})"
 
-    short_a, short_b = a.try_cast("bigint"), b.try_cast("bigint")
-    doubled = F.try_add(F.try_multiply(F.abs(short_a), factor.cast("bigint")), short_b)
-    short = F.call_function("div", doubled, F.try_multiply(short_b, F.lit(2).cast("bigint")))
+    def signed(steps: Column) -> Column:
+        return (F.when(a < 0, -steps).otherwise(steps) * unit).cast(kind)
 
-    wide_a, wide_b = a.cast(WIDE), b.cast(WIDE)
-    wide = F.call_function("div", F.abs(wide_a) * factor + wide_b, wide_b * F.lit(2))
+    short_a, short_b = F.abs(a).cast("bigint"), b.cast("bigint")
+    short = F.call_function("div", short_a * F.lit(factor) + short_b, short_b * F.lit(2))
+    wide_a, wide_b = F.abs(a.cast(WIDE)), b.cast(WIDE)
+    wide = _wide_div(wide_a * F.lit(factor) + wide_b, wide_b * F.lit(2))
+    is_short = (F.abs(a) <= F.lit(2**62 // factor)) & (b <= F.lit(2**61))
+    return F.when(
+        b > 0, F.when(is_short, signed(short.cast("decimal(20,0)"))).otherwise(signed(wide))
+    )
 
-    steps = F.coalesce(short, wide)
-    signed = F.when(a < 0, -steps).otherwise(steps).cast("decimal(20,0)")
-    unit = F.lit(Decimal(1).scaleb(-places))
-    return F.when(b > 0, (signed * unit).cast(f"decimal({precision},{places})"))
+
+def times_div(a: Column | str, times: int, b: Column | str) -> Column:
+    """``a * times div b`` for ``a`` not negative, in 64 bits where they do and wide elsewhere.
+
+    NULL where ``b`` is zero. The result must fit in 64 bits.
+    """
+    a, b = as_col(a), as_col(b)
+    short = F.call_function("div", a.cast("bigint") * F.lit(times), b.cast("bigint"))
+    wide = F.call_function("div", a.cast(WIDE) * F.lit(times), b.cast(WIDE))
+    return F.when(b != 0, F.when(a <= F.lit(2**62 // times), short).otherwise(wide))
 
 
 def early_percent(part: Column | str, total: Column | str) -> Column:

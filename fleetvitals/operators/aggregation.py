@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import early_percent, mean_of, ratio, round_ratio, whole, whole_div
+from ..functions.numeric import early_percent, mean_of, ratio, round_ratio, times_div, whole, whole_div
 from ..functions.time import seconds_between
 from ._rows import columns_of, names
 
@@ -92,9 +92,7 @@ def throughput_by_month(
             *names(scope),
             F.year("_end").alias("year"),
             F.month("_end").alias("month"),
-            whole_div(
-                whole("_size") * F.lit(parts), F.col("_secs") * F.lit(unit)
-            ).alias("_rate"),
+            times_div("_size", parts, F.col("_secs") * F.lit(unit)).alias("_rate"),
         )
     )
     return (

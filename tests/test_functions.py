@@ -20,6 +20,7 @@ from fleetvitals.functions import (
     seconds_between,
     shift_millis,
     style_100,
+    times_div,
     whole_div,
 )
 
@@ -64,6 +65,18 @@ def test_round_ratio_is_exact(spark, pairs):
         assert row.x == Decimal(hundredths).scaleb(-2)
 
 
+def test_times_div_beyond_64_bits(spark):
+    assert one(spark, times_div("a", 10**9, "b"), a=7, b=2) == 3500000000
+    assert one(spark, times_div("a", 10**9, "b"), a=10**13, b=10**6) == 10**16
+    assert one(spark, times_div("a", 10, "b"), a=7, b=0) is None
+    assert one(spark, times_div("a", 10**9, "b"), a=Decimal(10) ** 19, b=10**12) == 10**16
+
+
+def test_round_ratio_beyond_64_bits(spark):
+    assert one(spark, round_ratio("a", "b", 2, 30), a=2**62, b=3) == Decimal("1537228672809129301.33")
+    assert one(spark, round_ratio("a", "b", 2, 5, times=100), a=Decimal(10) ** 30, b=Decimal(10) ** 30) == Decimal("100.00")
+
+
 def test_percent_is_rounded_before_the_multiplication(spark):
     assert one(spark, early_percent("a", "b"), a=3, b=7) == Decimal("43.00")
 

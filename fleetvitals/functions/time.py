@@ -4,14 +4,21 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from .numeric import as_col
 
 
+# Zones whose clock never changes, in which the fast conversion is the wall clock's.
+STEADY_ZONES = ("UTC", "Etc/UTC", "GMT", "Z")
+
+
 def _wall_seconds(moment: Column) -> Column:
     """Whole seconds on the wall clock, whatever the session's time zone."""
+    session = SparkSession.getActiveSession()
+    if session is not None and session.conf.get("spark.sql.session.timeZone") in STEADY_ZONES:
+        return F.unix_timestamp(moment)
     days = F.datediff(moment, F.lit(date(1970, 1, 1))).cast("bigint")
     return (
         days * F.lit(86400)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fleetvitals.llm import best_fit_pack as op9
 from fleetvitals.llm import license_scan as op1
 from fleetvitals.llm._scratch import table
 
@@ -12,5 +13,15 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1.summary(op1.license_scan(table(spark, sf_dir, "documents"))).drop("detections")
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan,)}
+def word_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op9_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9.pack_documents(table(spark, sf_dir, "documents"), word_tokenizer())
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op9_best_fit_pack)}
 ORACLE: dict[str, str] = {}

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fleetvitals.llm import best_fit_pack as op9
 from fleetvitals.llm import license_scan as op1
+from fleetvitals.llm import toxicity_chain as op7
 from fleetvitals.llm._scratch import table
 
 
@@ -19,9 +21,23 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: What the table labels. A document of low quality is the first category, a toxic one the last.
+CATEGORIES = {"low_quality": "quality = 0", "toxic": "toxic = 1"}
+
+
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> op7.Model:
+    return op7.fit(docs, table(spark, sf_dir, "labels"), CATEGORIES)
+
+
+def op7_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = op7.probabilities(docs, toxicity_model(spark, docs, sf_dir))
+    return found.withColumn("toxic", F.col("p_toxic") >= op7.THRESHOLD)
+
+
 def op9_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9.pack_documents(table(spark, sf_dir, "documents"), word_tokenizer())
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op9_best_fit_pack)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op7_toxicity_chain, op9_best_fit_pack)}
 ORACLE: dict[str, str] = {}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetvitals.llm import best_fit_pack as op9
 from fleetvitals.llm import license_scan as op1
+from fleetvitals.llm import line_chunks as op10
 from fleetvitals.llm import toxicity_chain as op7
 from fleetvitals.llm._scratch import table
 
@@ -39,5 +40,9 @@ def op9_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9.pack_documents(table(spark, sf_dir, "documents"), word_tokenizer())
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op7_toxicity_chain, op9_best_fit_pack)}
+def op10_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10.line_dedup(table(spark, sf_dir, "documents"), detail=True)
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op7_toxicity_chain, op9_best_fit_pack, op10_line_chunks)}
 ORACLE: dict[str, str] = {}

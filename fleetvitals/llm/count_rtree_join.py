@@ -227,7 +227,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of keys whose sets link, by the counts' bound and then the sets."""
     left = sets.select(F.col("key").alias("a"), F.col("counts").alias("ca"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("key").alias("b"), F.col("counts").alias("cb"), F.col("tokens").alias("tb"))
-    overlap = F.aggregate(F.zip_with("ca", "cb", F.least), F.lit(0).cast("bigint"), lambda s, x: s + x)
+    overlap = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.least(x, y)), F.lit(0).cast("bigint"), lambda s, x: s + x)
     bound = (100 + percent) * overlap >= F.lit(percent) * (F.length("ta") / 8 + F.length("tb") / 8)
     both = pairs.join(left, "a").join(right, "b").where(bound).select("a", "b", "ta", "tb")
 
@@ -279,8 +279,8 @@ def searched(held: DataFrame, labels: DataFrame, sets: DataFrame, percent: int,
 
 
 def ngram_join(docs: DataFrame, size: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of ``docs``: the id, ``_llm_hash`` of its text, ``n_shingles``, and ``component_id``,
-    the smallest id that can be reached over links.
+    """Per row of ``docs``: the id, ``_llm_hash`` of its text, ``n_shingles``, ``component_id`` (the
+    smallest id that can be reached over links), and ``_llm_component``, the component's own key.
 
     Words are lower-case runs of what is not blank; a set has the distinct ``size``-word shingles, or
     the whole sequence of a shorter text. Two documents link when their Jaccard similarity is at
@@ -316,7 +316,7 @@ def ngram_join(docs: DataFrame, size: int = 4, percent: int = 85, id_col: str =
     smallest = keyed.where("key is not null").groupBy("key").agg(F.min("_llm_id").alias("id")).join(labels, F.col("key") == F.col("node"), "left")
     smallest = smallest.groupBy(F.coalesce("label", "key").alias("root")).agg(F.min("id").alias("least_id"))
     out = labelled.join(smallest, F.col("comp") == F.col("root"), "left")
-    return out.select(F.col("_llm_id").alias(id_col), "_llm_hash", F.col("n").alias("n_shingles"), F.coalesce("least_id", "_llm_id").alias("component_id"))
+    return out.select(F.col("_llm_id").alias(id_col), "_llm_hash", F.col("n").alias("n_shingles"), F.coalesce("least_id", "_llm_id").alias("component_id"), F.col("comp").alias("_llm_component"))
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -326,7 +326,7 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "d
     in no group and all stay."""
     found = ngram_join(docs, size, percent, id_col, text_col)
     whole = docs.withColumn("_llm_hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    first = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct(id_col, "_llm_hash")).alias("at"))
+    first = found.where("n_shingles > 0").groupBy("_llm_component").agg(F.min(F.struct(id_col, "_llm_hash")).alias("at"))
     kept = first.select(F.col(f"at.{id_col}").alias("_llm_kept_id"), F.col("at._llm_hash").alias("_llm_kept_hash"))
     own = whole.join(kept, whole[id_col].eqNullSafe(kept["_llm_kept_id"]) & (whole["_llm_hash"] == kept["_llm_kept_hash"]), "left_semi")
     one = own.withColumn("_llm_row", F.row_number().over(Window.partitionBy(id_col, "_llm_hash").orderBy(F.lit(0)))).where("_llm_row = 1")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetvitals.llm import best_fit_pack as op9
+from fleetvitals.llm import count_rtree_join as op5
 from fleetvitals.llm import license_scan as op1
 from fleetvitals.llm import line_chunks as op10
 from fleetvitals.llm import toxicity_chain as op7
@@ -22,6 +23,10 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op5_count_rtree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5.ngram_join(table(spark, sf_dir, "documents")).drop("_llm_hash", "_llm_component")
+
+
 #: What the table labels. A document of low quality is the first category, a toxic one the last.
 CATEGORIES = {"low_quality": "quality = 0", "toxic": "toxic = 1"}
 
@@ -44,5 +49,5 @@ def op10_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10.line_dedup(table(spark, sf_dir, "documents"), detail=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op7_toxicity_chain, op9_best_fit_pack, op10_line_chunks)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op5_count_rtree_join, op7_toxicity_chain, op9_best_fit_pack, op10_line_chunks)}
 ORACLE: dict[str, str] = {}

@@ -54,6 +54,20 @@ def texts(column: pa.Array) -> Texts:
     return Texts(data[offsets[0] : offsets[-1]], offsets - offsets[0])
 
 
+def latin_folded(t: Texts) -> Texts:
+    """Capitals of the Latin-1 block (in UTF-8: C3 80 to C3 9E, without C3 97) in lower case."""
+    lead = np.flatnonzero(t.data[:-1] == 0xC3) if len(t.data) else np.empty(0, np.int64)
+    if not len(lead):
+        return t
+    after = t.data[lead + 1]
+    capital = lead[(after >= 0x80) & (after <= 0x9E) & (after != 0x97)] + 1
+    if not len(capital):
+        return t
+    data = t.data.copy()
+    data[capital] += 32
+    return Texts(data, t.offsets)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, Texts]]:
     """Row ranges of the batches that hold about ``most`` bytes of text each, one row at least."""
     for batch in batches:

@@ -9,6 +9,7 @@ from fleetvitals.llm import best_fit_pack as op9
 from fleetvitals.llm import count_rtree_join as op5
 from fleetvitals.llm import license_scan as op1
 from fleetvitals.llm import line_chunks as op10
+from fleetvitals.llm import lsa_decontam as op8
 from fleetvitals.llm import toxicity_chain as op7
 from fleetvitals.llm._scratch import table
 
@@ -41,6 +42,16 @@ def op7_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("toxic", F.col("p_toxic") >= op7.THRESHOLD)
 
 
+def op8_lsa_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = op8.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    best = F.try_element_at("found", F.lit(1))
+    return found.select(
+        "doc_id", (F.size("found") > 0).alias("contaminated"), F.size("found").cast("bigint").alias("n_items"),
+        best["item"].cast("bigint").alias("item_id"), *(best[c].alias(c) for c in ("share", "cosine", "first_word", "last_word")),
+        F.transform("found", lambda x: x["item"].cast("bigint")).alias("item_ids"),
+    )
+
+
 def op9_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9.pack_documents(table(spark, sf_dir, "documents"), word_tokenizer())
 
@@ -49,5 +60,5 @@ def op10_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10.line_dedup(table(spark, sf_dir, "documents"), detail=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op5_count_rtree_join, op7_toxicity_chain, op9_best_fit_pack, op10_line_chunks)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op5_count_rtree_join, op7_toxicity_chain, op8_lsa_decontam, op9_best_fit_pack, op10_line_chunks)}
 ORACLE: dict[str, str] = {}

@@ -62,6 +62,7 @@ class Model:
         """Pairs of (text, word number), each once, and the form."""
         w = _text.words(t, _text.ALNUM)
         form = _form(t, w.counts)
+        t = _text.latin_folded(t)
         if not len(w) or not len(self.words):
             none = np.empty(0, np.int64)
             return none, none, form
@@ -155,7 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str], max_rows
         hasher = _hasher()
         for batch, t in _text.slices(batches, "_llm_text"):
             w = _text.words(t, _text.ALNUM)
-            h = hasher.of(t.data, w.start, w.end).view(np.int64)
+            h = hasher.of(_text.latin_folded(t).data, w.start, w.end).view(np.int64)
             own = [np.unique(h[a:b]) for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist())]
             yield pa.record_batch(
                 [batch.column("_llm_fold"), *(batch.column(f) for f in flags.values()), pa.array(own, pa.list_(pa.int64())), pa.array(list(_form(t, w.counts)), pa.list_(pa.float64()))],

@@ -3,8 +3,7 @@
 A line is cut at line feeds, after punctuation before white space, and at content-defined words, so
 that a passage gives the same lines wherever it stands. A hash that rolls over two line hashes ends
 a chunk where its top bits say so; boundaries therefore move with the text. Chunks are shuffled once
-with their bytes: rows meet by hash and bytes, so equality is a comparison of bytes. Of each
-repeated chunk the occurrence with the smallest (id, place) is the one that stays.
+and meet by their bytes, so equality is a comparison of bytes. Of each repeated chunk the occurrence with the smallest (id, place) is the one that stays.
 
 What is removed are runs of repeated chunks, ``MIN_WORDS`` long at least among those whose kept
 occurrence is in one other document; short common phrases that happen to recur are left alone.
@@ -22,17 +21,19 @@ from pyspark.sql import functions as F
 from fleetvitals.llm import _text
 
 MIN_WORDS = 18
+#: Chunks of fewer words are not looked up; they go with the chunks on both sides of them.
+SMALL = 3
 #: Words whose mixed bytes are 0 in so many low bits end a line too: one word in 32.
 LONG_LINE_BITS = 5
-#: Top bits of the rolling hash that end a chunk: below 4 of 8 cases.
-ENDS_BELOW = np.uint64(1 << 63)
+#: The rolling hash ends a chunk in 3 of 8 cases.
+ENDS_BELOW = np.uint64(3 << 61)
 
 _CLOSING = np.zeros(256, bool)
 _CLOSING[list(b".,;:!?")] = True
 
 
 class Chunks:
-    """Chunks of several texts: trimmed byte range, hash, words; ``first[i]`` is text i's first."""
+    """Chunks of several texts: trimmed byte range, words; ``first[i]`` is text i's first."""
 
     def __init__(self, t: _text.Texts, hasher: _text.Hasher) -> None:
         w = _text.words(t, _text.SOLID)
@@ -40,7 +41,6 @@ class Chunks:
         if not n:
             none = np.empty(0, np.int64)
             self.start = self.end = self.words = none
-            self.hash = np.empty(0, np.uint64)
             self.first = np.zeros(len(t.offsets), np.int64)
             return
         feeds = np.concatenate([[0], np.cumsum(t.data == 10, dtype=np.int32)])
@@ -65,7 +65,6 @@ class Chunks:
         begin = np.concatenate([[0], last[:-1] + 1])
         self.start, self.end = w.start[line_first[begin]], w.end[line_end[last]]
         self.words = line_end[last] - line_first[begin] + 1
-        self.hash = hasher.of(t.data, self.start, self.end)
         self.first = np.searchsorted(begin, lines)
 
 
@@ -76,52 +75,49 @@ def _hasher() -> _text.Hasher:
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
     """Id and text hash name a row; equal rows are one document here."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return [F.col(id_col).alias("_llm_id"), F.xxhash64(text).alias("_llm_hash")]
+    return [F.col(id_col).alias("_llm_id"), F.hash(text).alias("_llm_hash")]
 
 
 def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per chunk: document, place in it, words, hash and bytes."""
+    """One row per chunk of ``SMALL`` words at least: id, text hash and place in one number, bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = _hasher()
         for batch, t in _text.slices(batches, "_llm_text"):
             c = Chunks(t, hasher)
-            counts = np.diff(c.first)
-            row = pa.array(np.repeat(np.arange(len(t)), counts))
+            row = np.repeat(np.arange(len(t)), np.diff(c.first))
+            used = np.flatnonzero(c.words >= SMALL)
+            row, place = row[used], used - c.first[row[used]]
             view = t.data.tobytes()
-            body = [view[a:b] for a, b in zip(c.start.tolist(), c.end.tolist())]
-            place = np.arange(len(c.hash)) - np.repeat(c.first[:-1], counts)
-            yield pa.record_batch(
-                [batch.column("_llm_id").take(row), batch.column("_llm_hash").take(row), pa.array(place, pa.int32()), pa.array(c.words, pa.int32()), pa.array(c.hash.view(np.int64)), pa.array(body, pa.binary())],
-                names=["_llm_id", "_llm_hash", "place", "words", "chunk", "body"],
-            )
+            body = [view[a:b] for a, b in zip(c.start[used].tolist(), c.end[used].tolist())]
+            at = (batch.column("_llm_hash").to_numpy()[row].astype(np.int64) << 32) + place
+            yield pa.record_batch([batch.column("_llm_id").take(pa.array(row)), pa.array(at), pa.array(body, pa.binary())], names=["_llm_id", "at", "body"])
 
     ids = docs.schema[id_col].dataType.simpleString()
     picked = docs.select(*_keyed(docs, id_col, text_col), F.col(text_col).alias("_llm_text"))
-    return picked.mapInArrow(run, f"_llm_id {ids}, _llm_hash bigint, place int, words int, chunk bigint, body binary")
+    return picked.mapInArrow(run, f"_llm_id {ids}, at bigint, body binary")
 
 
 def repeats(found: DataFrame) -> DataFrame:
-    """Per document the places of chunks that are kept elsewhere, with words and a hash of the
-    document that keeps them. Chunks meet by hash and bytes."""
-    at = F.struct("_llm_id", "_llm_hash", "place")
-    same = Window.partitionBy("chunk", "body")
-    kept = found.withColumn("_llm_at", at).withColumn("_llm_kept", F.min("_llm_at").over(same)).where(~F.col("_llm_at").eqNullSafe(F.col("_llm_kept")))
-    entry = F.struct("place", "words", F.xxhash64("_llm_kept._llm_id", "_llm_kept._llm_hash").alias("keeper"))
-    return kept.groupBy("_llm_id", "_llm_hash").agg(F.collect_list(entry).alias("_llm_repeats"))
-
-
-def removals(places: np.ndarray, words: np.ndarray, keepers: np.ndarray, least: int) -> list[tuple[int, int]]:
-    """Runs of places (first, last) to remove: consecutive ones of which ``least`` words belong to
-    one keeping document."""
-    order = np.argsort(places, kind="stable")
-    places, words, keepers = places[order], words[order], keepers[order]
-    fresh = np.concatenate([[True], places[1:] != places[:-1]])  # equal rows list each place again
-    places, words, keepers = places[fresh], words[fresh], keepers[fresh]
+    """Per document the places of chunks that are kept elsewhere, with a hash of the document that
+    keeps them. Chunks meet by their bytes; large groups of them spill, nothing collects them."""
+    same = Window.partitionBy("body")
+    first = F.min(F.struct("_llm_id", "at")).over(same)
+    kept = found.withColumn("kept", first).where(~F.struct("_llm_id", "at").eqNullSafe(F.col("kept")))
+    document = F.shiftright("kept.at", 32)
+    entry = F.struct(F.col("at").bitwiseAND(0xFFFFFFFF).cast("int").alias("place"), F.xxhash64("kept._llm_id", document).alias("keeper"))
+    return kept.groupBy("_llm_id", F.shiftright("at", 32).cast("int").alias("_llm_hash")).agg(F.collect_list(entry).alias("_llm_repeats"))
+
+
+def removals(places: np.ndarray, keepers: np.ndarray, words: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """Runs of places (first, last) to remove: repeated chunks in a row, but for small ones between
+    them, of which ``least`` words belong to one keeping document. ``words`` has all chunks."""
+    places, fresh = np.unique(places, return_index=True)  # equal rows list each place again
+    keepers, rank = keepers[fresh], np.cumsum(words >= SMALL)[places]
     out = []
-    for run in np.split(np.arange(len(places)), np.flatnonzero(np.diff(places) != 1) + 1):
+    for run in np.split(np.arange(len(places)), np.flatnonzero(np.diff(rank) != 1) + 1):
         _, which = np.unique(keepers[run], return_inverse=True)
-        if np.bincount(which, words[run]).max() >= least:
+        if np.bincount(which, words[places[run]]).max() >= least:
             out.append((int(places[run[0]]), int(places[run[-1]])))
     return out
 
@@ -129,8 +125,8 @@ def removals(places: np.ndarray, words: np.ndarray, keepers: np.ndarray, least:
 def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", detail: bool = False) -> DataFrame:
     """``docs`` with repeated runs taken out of the text; all other columns as they are.
 
-    With ``detail`` the result is instead id, text, n_chunks, n_removed, removed_words and the byte
-    spans removed from the text. Texts without repeats are returned untouched, null texts stay null,
+    With ``detail`` the result is instead id, text, removed_words and the byte spans removed from the
+    text. Texts without repeats are returned untouched, null texts stay null,
     and a text that is a repeat from end to end becomes empty. Rows equal in id and text are one
     document: they do not remove each other. Empty tables give empty ones."""
     lists = repeats(occurrences(docs, id_col, text_col))
@@ -139,22 +135,22 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_i
     on = plain["_llm_id"].eqNullSafe(lists["_llm_id"]) & (plain["_llm_hash"] == lists["_llm_hash"])
     joined = plain.join(lists, on, "left").select(*(plain[c] for c in docs.columns), lists["_llm_repeats"])
 
-    def cut(t: _text.Texts, lists: list) -> list[tuple[bytes, int, int, list[tuple[int, int]]]]:
+    def cut(t: _text.Texts, lists: list) -> list[tuple[bytes, int, list[tuple[int, int]]]]:
+        """For each text, what is left, the words removed and the spans removed."""
         hasher, out = _hasher(), []
         c = Chunks(t, hasher)
         for i, entries in enumerate(lists):
             lo, hi, base = int(c.first[i]), int(c.first[i + 1]), int(t.offsets[i])
             text, spans, gone = t.raw(i), [], 0
-            if entries:
-                places, words, keepers = (np.array([e[k] for e in entries], np.int64) for k in ("place", "words", "keeper"))
-                for a, b in removals(places, words, keepers, min_words):
-                    to = int(c.start[lo + b + 1]) - base if lo + b + 1 < hi else len(text)
-                    spans.append((int(c.start[lo + a]) - base, to))
-                    gone += int(c.words[lo + a : lo + b + 1].sum())
-                if spans:
-                    edges = [0, *(x for s in spans for x in s), len(text)]
-                    text = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])).rstrip()
-            out.append((text, hi - lo, gone, spans))
+            places, keepers = (np.array([e[k] for e in entries], np.int64) for k in ("place", "keeper"))
+            for a, b in removals(places, keepers, c.words[lo:hi], min_words):
+                to = int(c.start[lo + b + 1]) - base if lo + b + 1 < hi else len(text)
+                spans.append((int(c.start[lo + a]) - base, to))
+                gone += int(c.words[lo + a : lo + b + 1].sum())
+            if spans:
+                edges = [0, *(x for s in spans for x in s), len(text)]
+                text = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])).rstrip()
+            out.append((text, gone, spans))
         return out
 
     counted = "n_chars" in docs.columns and docs.schema["n_chars"].dataType.simpleString() in ("bigint", "int")
@@ -167,34 +163,35 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_i
             for part, t in _text.slices(iter([named]), f"c{column}"):
                 entries = part.column(part.num_columns - 1)
                 touched = np.flatnonzero(entries.is_valid().to_numpy(zero_copy_only=False))
+                some = part.take(pa.array(touched))
+                done = cut(_text.texts(some.column(f"c{column}")), some.column(some.num_columns - 1).to_pylist())
+                changed = {i: (x[0].decode("utf-8", "replace"), *x[1:]) for i, x in zip(touched.tolist(), done) if x[2]}
                 columns = list(part.columns[:-1])
-                if detail:
-                    done = cut(t, entries.to_pylist())
-                    yield pa.record_batch(
-                        [columns[id_at], pa.array([x[0].decode("utf-8", "replace") for x in done], pa.string()), *(pa.array([x[k] for x in done], pa.int64()) for k in (1, 2)), pa.array([[{"start": a, "end": b} for a, b in x[3]] for x in done], _SPANS)],
-                        names=["id", "text", "n_chunks", "removed_words", "spans"],
-                    )
+                if detail or changed:
+                    columns[column] = _put(columns[column], {i: x[0] for i, x in changed.items()})
+                if counted and changed:
+                    columns[size_at] = _put(columns[size_at], {i: len(x[0]) for i, x in changed.items()})
+                if not detail:
+                    yield pa.record_batch(columns, names=batch.schema.names[:-1])
                     continue
-                if len(touched):
-                    some = part.take(pa.array(touched))
-                    done = cut(_text.texts(some.column(f"c{column}")), some.column(some.num_columns - 1).to_pylist())
-                    changed = [(i, d[0].decode("utf-8", "replace")) for i, d in zip(touched.tolist(), done) if d[3]]
-                    if changed:
-                        texts = columns[column].to_pylist()
-                        sizes = columns[size_at].to_pylist() if counted else []
-                        for i, text in changed:
-                            texts[i] = text
-                            if counted:
-                                sizes[i] = len(text)
-                        columns[column] = pa.array(texts, columns[column].type)
-                        if counted:
-                            columns[size_at] = pa.array(sizes, columns[size_at].type)
-                yield pa.record_batch(columns, names=batch.schema.names[:-1])
+                gone, spans = np.zeros(len(t), np.int64), [[] for _ in range(len(t))]
+                for i, x in changed.items():
+                    gone[i], spans[i] = x[1], [{"start": a, "end": b} for a, b in x[2]]
+                yield pa.record_batch([columns[id_at], columns[column], pa.array(gone), pa.array(spans, _SPANS)], names=["id", "text", "removed_words", "spans"])
 
     if detail:
         ids = docs.schema[id_col].dataType.simpleString()
-        return joined.mapInArrow(run, f"id {ids}, text string, n_chunks bigint, removed_words bigint, spans array<struct<start:bigint,end:bigint>>").withColumnRenamed("id", id_col)
+        return joined.mapInArrow(run, f"id {ids}, text string, removed_words bigint, spans array<struct<start:bigint,end:bigint>>").withColumnRenamed("id", id_col)
     return joined.mapInArrow(run, docs.schema)
 
 
+def _put(column: pa.Array, values: dict) -> pa.Array:
+    if not values:
+        return column
+    out = column.to_pylist()
+    for i, x in values.items():
+        out[i] = x
+    return pa.array(out, column.type)
+
+
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))

@@ -6,11 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetvitals.llm import best_fit_pack as op9
+from fleetvitals.llm import chunk_recipes as op4
 from fleetvitals.llm import count_rtree_join as op5
+from fleetvitals.llm import language_id as op6
 from fleetvitals.llm import license_scan as op1
 from fleetvitals.llm import line_chunks as op10
 from fleetvitals.llm import lsa_decontam as op8
+from fleetvitals.llm import token_shards as op2
 from fleetvitals.llm import toxicity_chain as op7
+from fleetvitals.llm import warc_zst as op3
 from fleetvitals.llm._scratch import table
 
 
@@ -19,15 +23,37 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def word_tokenizer() -> str:
+    """Path of the tokenizer file that the packing contract names."""
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2.round_trip(table(spark, sf_dir, "documents"), word_tokenizer())
+
+
+def op3_warc_zst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = op3.round_trip(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op4_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4.exact_groups(table(spark, sf_dir, "documents"))
+
+
 def op5_count_rtree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5.ngram_join(table(spark, sf_dir, "documents")).drop("_llm_hash", "_llm_component")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = "crc32(coalesce(cast(doc_id as string), '')) % 4"
+    model = op6.fit(docs, f"{fold} <> 2")
+    found = op6.predict(docs, model)
+    return found.select("doc_id", F.expr(f"{fold} = 2").alias("held_out"), "lang_pred", "score")
+
+
 #: What the table labels. A document of low quality is the first category, a toxic one the last.
 CATEGORIES = {"low_quality": "quality = 0", "toxic": "toxic = 1"}
 
@@ -60,5 +86,28 @@ def op10_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10.line_dedup(table(spark, sf_dir, "documents"), detail=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op5_count_rtree_join, op7_toxicity_chain, op8_lsa_decontam, op9_best_fit_pack, op10_line_chunks)}
-ORACLE: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_license_scan, op2_token_shards, op3_warc_zst, op4_chunk_recipes, op5_count_rtree_join,
+        op6_language_id, op7_toxicity_chain, op8_lsa_decontam, op9_best_fit_pack, op10_line_chunks,
+    )
+}
+
+ORACLE = {
+    "op3_warc_zst": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        d AS (SELECT page_id, html, strlen(html) AS payload_bytes, sha1(html) AS hex FROM p),
+        first AS (SELECT html, min(page_id) AS least FROM p GROUP BY html)
+        SELECT d.page_id, payload_bytes,
+               list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                 1 + ((CAST('0x' || substr(hex, 1 + 5 * (i // 4), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31)::INTEGER, 1)), 'string_agg', '') AS payload_digest,
+               CASE WHEN d.page_id IS DISTINCT FROM least AND least IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN d.page_id IS DISTINCT FROM least THEN least END AS refers_to
+        FROM d JOIN first USING (html)""",
+    "op4_chunk_recipes": """
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
+        SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256
+        FROM d JOIN g USING (t)""",
+}

@@ -6,12 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType, IntegralType
 
-from ..functions.numeric import whole
-from ..session import settle
-
-# Spark cuts ranked rows before the shuffle up to spark.sql.optimizer.windowGroupLimitThreshold.
-PRESHUFFLE_LIMIT = 1000
+# Rows are cut into at most as many slices by bounds from a sample of fixed size.
+SLICES = 64
+SAMPLED_ROWS = 16 * SLICES
+# Parts of a scope in which its first rows are looked for before they meet.
+BUCKETS = 64
 
 
 def names(value: str | Sequence[str] | None) -> list[str]:
@@ -26,22 +27,58 @@ def columns_of(order: str | Column | Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in order]
 
 
+def exact(df: DataFrame, value: str) -> Column:
+    """``value`` as the widest decimal of its own scale, so that sums are exact and have room.
+
+    Floats have no exact sums and are refused.
+    """
+    kind = df.schema[value].dataType
+    if isinstance(kind, DecimalType):
+        return F.col(value).cast(DecimalType(38, kind.scale))
+    if isinstance(kind, IntegralType):
+        return F.col(value).cast(DecimalType(38, 0))
+    raise TypeError(f"{value} is {kind.simpleString()}; totals need whole numbers or decimals")
+
+
+def slice_of(df: DataFrame, place: Column, key: Sequence[Column]) -> Column:
+    """The number of the slice a row lies in, for slices that follow the order of ``place``.
+
+    The bounds are every 16th of the rows with the smallest hashes of ``key``, however many
+    rows there are. They are part of the plan (a scalar subquery), so nothing runs before the
+    query does, and every branch of it cuts alike. A row's slice is found by halving.
+    """
+    sample = df.select(place.alias("_place"), F.xxhash64(*key).alias("_hash"))
+    sample = sample.orderBy("_hash", "_place").limit(SAMPLED_ROWS)
+    ordered = sample.agg(F.sort_array(F.collect_list("_place")).alias("_places")).select(
+        F.filter("_places", lambda _, i: i % F.lit(SAMPLED_ROWS // SLICES) == F.lit(0))
+    )
+    bounds, at, step = ordered.scalar(), F.lit(0), SLICES // 2
+    while step:
+        bound = F.get(bounds, at + F.lit(step - 1))
+        at = at + F.when(bound <= place, F.lit(step)).otherwise(F.lit(0))
+        step //= 2
+    return at
+
+
 def with_running_total(
     df: DataFrame,
     value: str,
-    order: Sequence[Column],
+    key: Sequence[str],
     scope: Sequence[str] = (),
     few_groups: bool = False,
 ) -> DataFrame:
     """Add ``row_rank``, ``running`` (own row included) and ``total`` for every scope.
 
-    ``order`` must be total and ``value`` a whole number or decimal. With ``few_groups`` the
-    caller states that a scope holds few rows by nature (wait types of one server, databases of
-    one instance); a plain window does then. Otherwise the rows are range-partitioned by scope
-    and order, each partition adds up its own rows, and the sums of the partitions before it are
-    added on top: no task ever holds a whole scope. The sums are one row per partition and scope.
+    Rows are ranked by ``value``, largest first, then by ``key``, which is unique in a scope.
+    ``value`` is a whole number or decimal. With ``few_groups`` the caller states that a scope
+    holds few rows by nature (wait types of one server, databases of one instance); a plain
+    window does then. Otherwise the rows are cut into slices along that order, each slice adds up
+    its own rows, and the sums of the slices before it are added on top: no task ever holds a
+    whole scope. The sums are one row per slice and scope.
     """
     scope = names(scope)
+    amount = exact(df, value)
+    order = [F.col(value).desc(), *[F.col(k).asc() for k in key]]
     if few_groups:
         everyone = Window.partitionBy(*scope)
         so_far = everyone.orderBy(*order).rowsBetween(
@@ -50,20 +87,22 @@ def with_running_total(
         return df.select(
             "*",
             F.row_number().over(everyone.orderBy(*order)).cast("bigint").alias("row_rank"),
-            whole_sum(value).over(so_far).alias("running"),
-            whole_sum(value).over(everyone).alias("total"),
+            F.sum(amount).over(so_far).alias("running"),
+            F.sum(amount).over(everyone).alias("total"),
         )
 
+    # A NULL value ranks last, a NULL key first; structs compare NULL lowest.
+    place = F.struct(F.col(value).isNull(), (-amount).alias("_less"), *[F.col(k) for k in key])
     # One struct stands for the scope: a NULL inside still equals a NULL, so no row is lost in
     # the join below, and the window afterwards finds the rows where the join left them.
     slice_key = ["_slice"]
+    cut = slice_of(df, place, [F.col(c) for c in [*scope, *key]])
+    placed = df.withColumn("_slice", cut)
     if scope:
-        df = df.withColumn("_scope", F.struct(*scope))
+        placed = placed.withColumn("_scope", F.struct(*scope))
         slice_key = ["_scope", "_slice"]
-    ranged = df.repartitionByRange(*[F.col(c) for c in slice_key[:-1]], *order)
-    placed = settle(ranged.withColumn("_slice", F.spark_partition_id()))
     slices = placed.groupBy(*slice_key).agg(
-        whole_sum(value).alias("_sum"), F.count("*").alias("_rows")
+        F.sum(amount).alias("_sum"), F.count("*").alias("_rows")
     )
     everyone = Window.partitionBy(*slice_key[:-1])
     earlier = everyone.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -74,25 +113,22 @@ def with_running_total(
         F.sum("_sum").over(everyone).alias("total"),
     )
     if not scope:
-        # At most one row per range partition, a number set by the session and not by the data.
-        offsets = F.broadcast(offsets)
+        offsets = F.broadcast(offsets)  # at most one row per slice
     inside = Window.partitionBy(*slice_key).orderBy(*order)
     inside_so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    kept = [c for c in df.columns if c != "_scope"]
+    sums = df.schema[value].dataType
+    wide = DecimalType(38, sums.scale if isinstance(sums, DecimalType) else 0)
+    before = F.coalesce("_sum_before", F.lit(0).cast(wide))
     return placed.join(offsets, slice_key).select(
-        *kept,
+        *df.columns,
         (F.coalesce("_rows_before", F.lit(0)) + F.row_number().over(inside)).alias("row_rank"),
-        (F.coalesce("_sum_before", F.lit(0)) + whole_sum(value).over(inside_so_far)).alias(
-            "running"
-        ),
+        (before + F.coalesce(F.sum(amount).over(inside_so_far), F.lit(0).cast(wide)))
+        .cast(wide)
+        .alias("running"),
         "total",
     )
 
 
-def whole_sum(value: str) -> Column:
-    return F.sum(whole(value))
-
-
 def top_rows(
     df: DataFrame,
     order: Sequence[Column],
@@ -102,19 +138,19 @@ def top_rows(
 ) -> DataFrame:
     """The first ``n`` rows of every scope by a total order, their rank kept as ``rank_as``.
 
-    Without a scope this is a plain sorted limit. With one it is a ranked window, which Spark
-    cuts to ``n`` rows per task before the shuffle, so a scope with a third of all rows sends
-    little. Beyond the size Spark cuts early, ranks come from range-partitioned slices.
+    Cut twice, whatever ``n`` is: to ``n`` in every bucket of a scope, told apart by a fixed hash
+    of the row, and then to ``n`` in the scope. A scope with a third of all rows is ranked by
+    many tasks, and none gets more than ``BUCKETS`` times ``n`` rows of it. Without a scope and a
+    rank this is a sorted limit, of which every task first takes its own ``n`` rows.
     """
     scope = names(scope)
     if not scope and rank_as is None:
         return df.orderBy(*order).limit(n)
     rank_name = rank_as or "_rank"
-    if n > PRESHUFFLE_LIMIT:
-        ranked = with_running_total(df.withColumn("_one", F.lit(1)), "_one", order, scope)
-        kept = ranked.withColumnRenamed("row_rank", rank_name).select(*df.columns, rank_name)
-    else:
-        rank = F.row_number().over(Window.partitionBy(*scope).orderBy(*order))
-        kept = df.withColumn(rank_name, rank)
-    kept = kept.where(F.col(rank_name) <= n)
+    bucket = F.pmod(F.xxhash64(*df.columns), F.lit(BUCKETS))
+    in_bucket = Window.partitionBy(*scope, "_bucket").orderBy(*order)
+    first = df.withColumn("_bucket", bucket).withColumn("_in_bucket", F.row_number().over(in_bucket))
+    kept = first.where(F.col("_in_bucket") <= n).select(*df.columns)
+    rank = F.row_number().over(Window.partitionBy(*scope).orderBy(*order))
+    kept = kept.withColumn(rank_name, rank).where(F.col(rank_name) <= n)
     return kept if rank_as else kept.drop(rank_name)

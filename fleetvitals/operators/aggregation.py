@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import early_percent, mean_of, ratio, round_ratio, times_div, whole, whole_div
 from ..functions.time import seconds_between
-from ._rows import columns_of, names
+from ._rows import columns_of, names, slice_of
 
 
 def count_by(
@@ -175,14 +175,15 @@ def global_ratio(
     """What percentage of ``total`` is ``part``, and what is the rest; one row per scope.
 
     Sums first, divides once. NULL where the total is zero. Unlike ``coverage_topk`` no row is
-    left out for having no tasks. The sums are kept as ``part_sum`` and ``total_sum``.
+    left out for having no tasks. The sums are kept as ``part_sum`` and ``total_sum``, wider than
+    64 bits, since a whole fleet meets in a few rows.
     """
     part = F.col(part) if isinstance(part, str) else part
     total = F.col(total) if isinstance(total, str) else total
     if exclude:
         df = df.where(~F.col(exclude_on).isin(*exclude))
     sums = df.groupBy(*names(scope)).agg(
-        F.sum(part).alias("part_sum"), F.sum(total).alias("total_sum")
+        F.sum(whole(part)).alias("part_sum"), F.sum(whole(total)).alias("total_sum")
     )
     return sums.select(
         *names(scope),
@@ -219,74 +220,38 @@ def pages_to_mb(
     )
 
 
-# Keys to be split are looked for in one row of this many. They only decide how the work is cut,
-# never what comes out, so a part of the rows is enough; the part is fixed by a hash.
-LOOK_AT_ONE_IN = 64
-# A key is split if it has more than one in this many of those rows, so there are at most as many.
-MAX_SPLIT_KEYS = 100_000
-
-
-def _busy_keys(
-    df: DataFrame, key: Sequence[str], order: Sequence[str], split_rows: int
-) -> DataFrame:
-    """Keys with very many rows, marked by ``_split``; at most ``MAX_SPLIT_KEYS`` of them."""
-    looked_at = df.where(F.xxhash64(*key, *order).bitwiseAND(LOOK_AT_ONE_IN - 1) == 0)
-    everything = looked_at.agg(F.count("*")).scalar()
-    limit = F.greatest(
-        F.lit(split_rows // LOOK_AT_ONE_IN).cast("bigint"), whole_div(everything, MAX_SPLIT_KEYS)
-    )
-    return (
-        looked_at.groupBy(*key)
-        .agg(F.count("*").alias("_rows"))
-        .where(F.col("_rows") > limit)
-        .select(*key, F.lit(True).alias("_split"))
-    )
-
-
 def counter_delta(
     df: DataFrame,
     key: str | Sequence[str],
     order: str | Sequence[str],
     values: str | Sequence[str],
-    *,
-    stretch: Column | None = None,
-    split_rows: int = 100_000,
 ) -> DataFrame:
     """Growth of cumulative counters since the reading before; after a reset the reading itself.
 
     A reading below the one before it means the counter was cleared in between. The first reading
-    of a key has no growth (NULL). ``order`` is ascending, total within a key, and starts with a
-    timestamp. Keys are not NULL. Adds ``<value>_delta`` per value.
+    of a key has no growth (NULL). ``order`` is ascending and total within a key. Keys are not
+    NULL. Adds ``<value>_delta`` per value.
 
-    One key may hold a large part of all readings. Keys with more than about ``split_rows`` of them
-    are split into stretches of time (a day, unless ``stretch`` gives another expression that never
-    falls as ``order`` rises), and the last reading of a stretch is handed to the first row of the
-    key's next one. The other keys stay whole.
+    One key may hold a large part of all readings, even within one day: readings are cut into
+    slices along (key, order) whatever their number, and the last reading of a slice is handed to
+    the key's first one in the next.
     """
     key, order, values = names(key), names(order), names(values)
-    if stretch is None:
-        stretch = F.col(order[0]).cast("date")
-    # A bounded side: see _busy_keys.
-    busy = F.broadcast(_busy_keys(df, key, order, split_rows))
-    stretched = df.join(busy, key, "left").withColumn(
-        "_stretch", F.when(F.col("_split"), stretch)
-    )
-    ends = (
-        stretched.where(F.col("_split"))
-        .groupBy(*key, "_stretch")
-        .agg(F.max_by(F.struct(*values), F.struct(*order)).alias("_end"))
-    )
-    per_key = Window.partitionBy(*key).orderBy("_stretch")
-    handed = ends.select(*key, "_stretch", F.lag("_end").over(per_key).alias("_handed"))
-
-    inside = Window.partitionBy(*key, "_stretch").orderBy(*order)
-    before = stretched.select(
+    place = F.struct(*key, *order)
+    sliced = df.withColumn("_slice", slice_of(df, place, [F.col(c) for c in [*key, *order]]))
+    inside = Window.partitionBy(*key, "_slice").orderBy(*order)
+    before = sliced.select(
         *df.columns,
-        "_stretch",
+        "_slice",
         (F.row_number().over(inside) == 1).alias("_first"),
+        F.lead(F.lit(True)).over(inside).isNull().alias("_last"),
         *[F.lag(value).over(inside).alias(f"_before_{value}") for value in values],
     )
-    linked = before.join(handed, [*key, "_stretch"], "left")
+    ends = before.where("_last").select(*key, "_slice", F.struct(*values).alias("_end"))
+    per_key = Window.partitionBy(*key).orderBy("_slice")
+    handed = ends.select(*key, "_slice", F.lag("_end").over(per_key).alias("_handed"))
+    handed = handed.where(F.col("_handed").isNotNull())
+    linked = before.join(handed, [*key, "_slice"], "left")
     deltas = []
     for value in values:
         last = F.when(F.col("_first"), F.col("_handed")[value]).otherwise(F.col(f"_before_{value}"))

@@ -78,12 +78,18 @@ def event_time_from_ticks(now: str | Column, now_ticks: str | Column, ticks: str
 
 
 def log_lines(
-    df: DataFrame, text: str, term: str, *, keep: Sequence[str] = ()
+    df: DataFrame, text: str, term: str, *, keep: Sequence[str] = (), ignore_case: bool = False
 ) -> DataFrame:
     """Log lines that contain a term, with their position.
 
     Whole texts are searched first and only those with a hit are split into lines.
     """
-    hits = df.where(F.col(text).contains(term))
+
+    def holds(column: str) -> Column:
+        if ignore_case:
+            return F.lower(F.col(column)).contains(term.lower())
+        return F.col(column).contains(term)
+
+    hits = df.where(holds(text))
     lines = hits.select(*keep, F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
-    return lines.where(F.col("line").contains(term))
+    return lines.where(holds("line"))

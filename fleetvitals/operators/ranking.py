@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import ratio, whole
-from ._rows import columns_of, names, top_rows, with_running_total
+from ..functions.numeric import ratio
+from ._rows import columns_of, exact, names, top_rows, with_running_total
 
 
 def running_totals(
@@ -24,8 +24,8 @@ def running_totals(
     """Group, rank by value (largest first), and add the sum up to and including each row.
 
     The same rows as joining every ranked row to all rows of equal or smaller rank and adding
-    those up, without ever pairing rows. Ties in the value are broken by the key. ``measures``
-    are aggregates; with ``one_row_per_key`` the rows are taken as they are, which saves the
+    those up, without ever pairing rows. Ties in the value are broken by the key. The value is a
+    whole number or decimal, negative or not; floats are refused. ``measures`` are aggregates; with ``one_row_per_key`` the rows are taken as they are, which saves the
     shuffle of the grouping, and measures are plain columns.
     """
     scope, key = names(scope), names(key)
@@ -35,8 +35,7 @@ def running_totals(
         rows = df.select(*scope, *key, value.alias("value"), *extra)
     else:
         rows = df.groupBy(*scope, *key).agg(F.sum(value).alias("value"), *extra)
-    order = [F.col("value").desc(), *[F.col(k).asc() for k in key]]
-    return with_running_total(rows, "value", order, scope, few_groups)
+    return with_running_total(rows, "value", key, scope, few_groups)
 
 
 def coverage_topk(
@@ -57,7 +56,8 @@ def coverage_topk(
     A key stays while the keys *before* it hold less than ``pct`` percent, so the key that
     crosses the line is still in, and one key holding everything is not lost. Rows whose
     ``exclude_on`` (the key, unless given) is excluded or NULL do not count towards the total.
-    The comparison is by cross multiplication of exact totals. ``value`` must be whole numbers.
+    The comparison is by cross multiplication of exact totals. ``value`` is a whole number or
+    decimal, and its sum in a group is one too; floats are refused.
 
     Returns scope, key, ``value``, the measures, ``row_rank``, ``preceding`` and ``share``
     (a fraction as double). A scope whose total is zero has no shares and returns no rows.
@@ -74,7 +74,7 @@ def coverage_topk(
         few_groups=few_groups,
         one_row_per_key=one_row_per_key,
     )
-    preceding = F.col("running") - whole("value")
+    preceding = (F.col("running") - exact(ranked, "value")).cast(ranked.schema["running"].dataType)
     return (
         ranked.withColumn("preceding", preceding)
         .where(F.col("preceding") * F.lit(100) < F.col("total") * F.lit(pct))
@@ -148,7 +148,9 @@ def latest_per_group(
     scope, group = names(scope), names(group)
     if where is not None:
         df = df.where(where)
-    newest = top_rows(df, columns_of(order), 1, [*scope, *group])
+    # One row per group, whatever is asked: Spark cuts this rank before the shuffle.
+    rank = F.row_number().over(Window.partitionBy(*scope, *group).orderBy(*columns_of(order)))
+    newest = df.withColumn("_rank", rank).where(F.col("_rank") == 1).drop("_rank")
     for detail, on in facts:
         newest = newest.join(detail, [*scope, *names(on)])
     return newest

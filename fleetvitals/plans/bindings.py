@@ -167,6 +167,41 @@ def first_n_samples(spark: SparkSession, folder: str) -> DataFrame:
     return ops.first_n_samples(events, "user_id", [F.desc("ts"), F.desc("event_id")], 16)
 
 
+@binding("""
+    select l_returnflag, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity,
+           row_number() over (partition by l_returnflag order by
+               l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity) as sample
+    from lineitem
+    qualify sample <= 1500
+""")
+def first_n_samples_many(spark: SparkSession, folder: str) -> DataFrame:
+    """The first 1,500 lines of every return flag: far more than Spark cuts early."""
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
+    lines = read_table(spark, folder, "lineitem").select("l_returnflag", *order)
+    return ops.first_n_samples(lines, "l_returnflag", order, 1500)
+
+
+@binding("""
+    with b as (
+        select c_mktsegment, c_custkey, cast(c_acctbal as decimal(18,2)) as value from customer)
+    select c_mktsegment, c_custkey, value,
+           row_number() over (partition by c_mktsegment
+               order by value desc, c_custkey) as row_rank,
+           sum(value) over (partition by c_mktsegment order by value desc, c_custkey
+               rows unbounded preceding) as running,
+           sum(value) over (partition by c_mktsegment) as total
+    from b
+""")
+def running_totals_decimal(spark: SparkSession, folder: str) -> DataFrame:
+    """Running totals of balances with cents, some of them negative, per market segment."""
+    balances = read_table(spark, folder, "customer").select(
+        "c_mktsegment", "c_custkey", F.col("c_acctbal").cast("decimal(18,2)").alias("balance")
+    )
+    return ops.running_totals(
+        balances, "c_custkey", "balance", scope=["c_mktsegment"], one_row_per_key=True
+    )
+
+
 @binding("""
     select p_partkey, p_name, p_brand, line_count from (
         select l_partkey as p_partkey, count(*) as line_count from lineitem group by l_partkey)
@@ -287,7 +322,7 @@ def smoothed_average(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @binding("""
-    select cast(part_sum as bigint) as part_sum, cast(total_sum as bigint) as total_sum,
+    select cast(part_sum as decimal(38,0)) as part_sum, cast(total_sum as decimal(38,0)) as total_sum,
            cast(part_sum as double) / cast(total_sum as double) as part_ratio,
            cast(cast((2 * part_sum * 10000 + total_sum) // (2 * total_sum) as decimal(20,0))
                 * 0.01 as decimal(20,2)) as part_percent,

@@ -39,6 +39,11 @@ def reserved(expression: str) -> str:
     return f"case when {expression} % 50 = 49 then 32767 else {expression} % 50 end"
 
 
+def padded(expression: str) -> str:
+    """Counters come with names filled up with blanks, as the servers give them."""
+    return f"rpad({expression}, 128, ' ')"
+
+
 def database(expression: str) -> str:
     return f"concat('db', {reserved(expression)})"
 
@@ -110,25 +115,25 @@ DERIVED: dict[str, list[Selection]] = {
     "performance_counters": [
         Selection("{lineitem}", {
             **YEARLY,
-            "object_name": "concat('INST', l_suppkey, ':Databases')",
-            "counter_name": "'Log File(s) Size (KB)   '",
-            "instance_name": database("l_partkey"),
+            "object_name": padded("concat('INST', l_suppkey, ':Databases')"),
+            "counter_name": padded("'Log File(s) Size (KB)'"),
+            "instance_name": padded(database("l_partkey")),
             "cntr_value": f"sum({PRICE})",
         }, group=5),
         Selection("{lineitem}", {
             **YEARLY,
-            "object_name": "concat('INST', l_suppkey, ':Databases')",
-            "counter_name": "'Log File(s) Used Size (KB)'",
-            "instance_name": database("l_partkey"),
+            "object_name": padded("concat('INST', l_suppkey, ':Databases')"),
+            "counter_name": padded("'Log File(s) Used Size (KB)'"),
+            "instance_name": padded(database("l_partkey")),
             "cntr_value": "sum(cast(floor(l_extendedprice * l_tax) as bigint))",
         }, group=5),
         Selection("{events}", {
             **DAILY, "snapshot_ts": "ts",
-            "object_name": """case when event_type = 'view' then 'INST:Buffer Manager'
-                else 'INST:Memory Manager' end""",
-            "counter_name": """case when event_type = 'view' then 'Page life expectancy'
-                when event_type = 'error' then 'Memory Grants Pending' else 'Other' end""",
-            "instance_name": "event_type", "cntr_value": VALUE,
+            "object_name": padded("""case when event_type = 'view' then 'INST:Buffer Manager'
+                else 'INST:Memory Manager' end"""),
+            "counter_name": padded("""case when event_type = 'view' then 'Page life expectancy'
+                when event_type = 'error' then 'Memory Grants Pending' else 'Other' end"""),
+            "instance_name": padded("event_type"), "cntr_value": VALUE,
         }),
     ],
     "sessions": [Selection("{events}", {
@@ -388,6 +393,11 @@ def _fields(table: str) -> list[tuple[str, str]]:
     return [(name, _DUCK_TYPES.get(kind, kind)) for name, kind in pairs]
 
 
+def _typed(expression: str, kind: str) -> str:
+    value = f"cast({expression} as {kind})"
+    return f"rtrim({value})" if kind == "varchar" else value
+
+
 def with_clause(sql: str) -> str:
     """``sql`` with a common table expression in front for every snapshot table it reads."""
     needed = [t for t in DERIVED if re.search(rf"\b(?:from|join)\s+{t}\b", sql)]
@@ -397,7 +407,7 @@ def with_clause(sql: str) -> str:
         branches = []
         for selection, text in zip(DERIVED[table], _sql_of(table, **names)):
             typed = ", ".join(
-                f'cast({name if name in selection.columns else "null"} as {kind}) as {name}'
+                f"{_typed(name if name in selection.columns else 'null', kind)} as {name}"
                 for name, kind in _fields(table)
             )
             branches.append(f"select {typed} from ({text}) s")

@@ -90,8 +90,8 @@ add(
     r.manufacturer,
     f"""select * from (
         select {KEY}, unnest(string_split(text, chr(10))) as line from error_log)
-    where line like '%the of%'""",
-    log_term="the of",
+    where lower(line) like '%the of%'""",
+    log_term="The Of",
 )
 add(
     r.file_paths,
@@ -332,7 +332,11 @@ add(
         on {on('b', 'u', 'allocation_unit_id')} and u.database_name = d.name
         left join objects o on {on('u', 'o', 'database_name', 'object_id')}
         left join indexes i on {on('u', 'i', 'database_name', 'object_id', 'index_id')})
-    group by server_name, snapshot_ts, database_name, table_name, index_id, index_name, index_type""",
+    group by server_name, snapshot_ts, database_name, table_name, index_id, index_name, index_type
+    union all
+    select b.server_name, b.snapshot_ts, null, null, null, null, count(*)
+    from buffer_descriptors b left join databases d on {on('b', 'd', 'database_id')}
+    where d.database_id is null group by b.server_name, b.snapshot_ts""",
 )
 add(
     r.os_memory,

@@ -3,8 +3,8 @@
 A report takes the snapshot tables and the options and returns a DataFrame that starts with
 ``server_name, snapshot_ts``; what is a total, a rank or a "top n" on one server is one per server
 and snapshot here. With ``ReportOptions.database`` the reports about one database are limited to
-it; without, they cover every database. Reports are sorted for display, by server and snapshot
-first.
+it; without, they cover every database. ``ReportOptions.sorted`` sorts them for display, by server
+and snapshot first; that costs a range sort of each report, so only text output asks for it.
 """
 
 from __future__ import annotations
@@ -41,14 +41,16 @@ class ReportOptions:
     job_text: int = 87
     builtin_admin: str = "sa"
     log_term: str = k.MANUFACTURER_TERM
+    sorted: bool = False
 
 
 Report = Callable[[Tables, ReportOptions], DataFrame]
 
 
-def _sorted(df: DataFrame, *order: str | Column) -> DataFrame:
-    """Sort for display. Costly conversions come after it, since a sort looks at its input twice."""
-    return df.orderBy(*SNAPSHOT_KEY, *order)
+def _sorted(o: ReportOptions, df: DataFrame, *order: str | Column) -> DataFrame:
+    """Sort for display, if asked to. Costly conversions come after it: a sort looks at its input
+    twice."""
+    return df.orderBy(*SNAPSHOT_KEY, *order) if o.sorted else df
 
 
 def _one_database(options: ReportOptions, column: str = "database_name") -> Column | None:
@@ -75,9 +77,13 @@ def _columns(table: DataFrame) -> dict[str, str]:
     return {c: c for c in table.columns if c not in SNAPSHOT_KEY}
 
 
-def _listing(table: DataFrame, *order: str) -> DataFrame:
+def _order(o: ReportOptions, *order: str | Column) -> list[str | Column] | None:
+    return list(order) if o.sorted and order else None
+
+
+def _listing(o: ReportOptions, table: DataFrame, *order: str) -> DataFrame:
     return ops.unit_projection(
-        table, _columns(table), order=list(order), scope=SNAPSHOT_KEY
+        table, _columns(table), order=_order(o, *order), scope=SNAPSHOT_KEY
     )
 
 
@@ -85,11 +91,11 @@ def _listing(table: DataFrame, *order: str) -> DataFrame:
 
 
 def product_versions(t: Tables, o: ReportOptions) -> DataFrame:
-    return _listing(t["product_history"], "mod_time")
+    return _listing(o, t["product_history"], "mod_time")
 
 
 def server_properties(t: Tables, o: ReportOptions) -> DataFrame:
-    return _listing(t["server_properties"])
+    return _listing(o, t["server_properties"])
 
 
 def database_settings(t: Tables, o: ReportOptions) -> DataFrame:
@@ -103,7 +109,7 @@ def database_settings(t: Tables, o: ReportOptions) -> DataFrame:
         scope=SNAPSHOT_KEY,
     )
     settings = [c for c in t["databases"].columns if c not in SNAPSHOT_KEY]
-    return _sorted(paired, "name").select(
+    return _sorted(o, paired, "name").select(
         *SNAPSHOT_KEY,
         *settings,
         round_ratio("denominator", 1024, 2).alias("log_size_mb"),
@@ -120,19 +126,19 @@ def connections(t: Tables, o: ReportOptions) -> DataFrame:
         alias="session_count",
         scope=SNAPSHOT_KEY,
     )
-    return _sorted(counted, F.desc("session_count"), "login_name", "program_name")
+    return _sorted(o, counted, F.desc("session_count"), "login_name", "program_name")
 
 
 def trace_flags(t: Tables, o: ReportOptions) -> DataFrame:
-    return _listing(t["trace_flags"], "flag")
+    return _listing(o, t["trace_flags"], "flag")
 
 
 def windows_information(t: Tables, o: ReportOptions) -> DataFrame:
-    return _listing(t["windows_info"])
+    return _listing(o, t["windows_info"])
 
 
 def services(t: Tables, o: ReportOptions) -> DataFrame:
-    return _listing(t["services"], "servicename")
+    return _listing(o, t["services"], "servicename")
 
 
 def numa_nodes(t: Tables, o: ReportOptions) -> DataFrame:
@@ -140,7 +146,7 @@ def numa_nodes(t: Tables, o: ReportOptions) -> DataFrame:
         t["nodes"],
         _columns(t["nodes"]),
         where=F.col("node_state_desc") != k.ADMIN_CONNECTION_NODE,
-        order="node_id",
+        order=_order(o, "node_id"),
         scope=SNAPSHOT_KEY,
     )
 
@@ -165,7 +171,7 @@ def hardware(t: Tables, o: ReportOptions) -> DataFrame:
 
 
 def manufacturer(t: Tables, o: ReportOptions) -> DataFrame:
-    lines = ops.log_lines(t["error_log"], "text", o.log_term, keep=SNAPSHOT_KEY)
+    lines = ops.log_lines(t["error_log"], "text", o.log_term, keep=SNAPSHOT_KEY, ignore_case=True)
     return lines.drop("line_no")
 
 
@@ -192,20 +198,25 @@ def file_paths(t: Tables, o: ReportOptions) -> DataFrame:
         min_id=k.LAST_SYSTEM_DATABASE,
         excluded_id=k.RESOURCE_DATABASE,
         always_id=k.TEMP_DATABASE,
-        order=["database_name", "file_id"],
+        order=_order(o, "database_name", "file_id"),
         scope=SNAPSHOT_KEY,
     )
 
 
 def integrity_checks(t: Tables, o: ReportOptions) -> DataFrame:
-    """When each database last passed its check. Sorted by date, not by the date's text."""
-    picked = _limited(t["dbinfo"], o).where(F.col("Field") == k.CHECK_FIELD)
+    """When each database last passed its check, by date and not by the date's text.
+
+    A value that is no date keeps its row, without a date.
+    """
+    picked = _limited(t["dbinfo"], o)
     found = ops.drop_exact_duplicates(
-        picked.select(*DATABASE_KEY, F.col("Value").cast("timestamp_ntz").alias("checked_at"))
+        picked.select(
+            *DATABASE_KEY, "Field", F.col("Value").try_cast("timestamp_ntz").alias("checked_at")
+        )
     )
     labelled = ops.key_value_pick(
         found,
-        None,
+        k.CHECK_FIELD,
         "checked_at",
         F.lit(k.NEVER).cast("timestamp_ntz"),
         k.NEVER_LABEL,
@@ -213,7 +224,7 @@ def integrity_checks(t: Tables, o: ReportOptions) -> DataFrame:
         shown=style_100("checked_at"),
         alias="last_clean_check",
     )
-    return _sorted(labelled, "checked_at", "database_name").drop("checked_at")
+    return _sorted(o, labelled, "checked_at", "database_name").drop("checked_at")
 
 
 # Waits
@@ -252,7 +263,7 @@ def wait_statistics(t: Tables, o: ReportOptions) -> DataFrame:
     )
     resource = F.col("value") - F.col("signal_ms")
     per_wait = F.col("wait_count") * F.lit(1000)
-    return _sorted(top, "row_rank").select(
+    return _sorted(o, top, "row_rank").select(
         *SNAPSHOT_KEY,
         "wait_type",
         round_ratio("value", 1000, 2, 16).alias("wait_sec"),
@@ -285,6 +296,7 @@ def _newest_full_backup(t: Tables, o: ReportOptions) -> DataFrame:
 def last_full_backup(t: Tables, o: ReportOptions) -> DataFrame:
     """The newest full backup of each database, one row per medium it was written to."""
     return _sorted(
+        o,
         _newest_full_backup(t, o).select(
             *DATABASE_KEY,
             F.col("backup_finish_date").alias("backup_date"),
@@ -314,6 +326,7 @@ def last_log_backups(t: Tables, o: ReportOptions) -> DataFrame:
         scope=DATABASE_KEY,
     )
     return _sorted(
+        o,
         newest.select(
             *DATABASE_KEY,
             F.col("backup_finish_date").alias("backup_date"),
@@ -337,7 +350,7 @@ def backup_throughput(t: Tables, o: ReportOptions) -> DataFrame:
         min_secs=o.min_backup_secs,
         scope=SNAPSHOT_KEY,
     )
-    return _sorted(monthly, F.desc("year"), F.desc("month"))
+    return _sorted(o, monthly, F.desc("year"), F.desc("month"))
 
 
 def file_growth(t: Tables, o: ReportOptions) -> DataFrame:
@@ -354,7 +367,7 @@ def file_growth(t: Tables, o: ReportOptions) -> DataFrame:
         },
         ["database_name", "logical_name", "physical_name", "backup_finish_date"],
         where=chosen if database is None else chosen & database,
-        order=["database_name", F.desc("backup_finish_date"), "logical_name"],
+        order=_order(o, "database_name", F.desc("backup_finish_date"), "logical_name"),
         scope=SNAPSHOT_KEY,
     )
 
@@ -362,6 +375,7 @@ def file_growth(t: Tables, o: ReportOptions) -> DataFrame:
 def backup_sizes(t: Tables, o: ReportOptions) -> DataFrame:
     """The uncompressed size of each database's newest full backup, one row per medium."""
     return _sorted(
+        o,
         _newest_full_backup(t, o).select(
             *DATABASE_KEY,
             "backup_finish_date",
@@ -380,7 +394,7 @@ def log_segments(t: Tables, o: ReportOptions) -> DataFrame:
         alias="segment_count",
         scope=SNAPSHOT_KEY,
     )
-    return _sorted(counted, F.desc("segment_count"), "database_name")
+    return _sorted(o, counted, F.desc("segment_count"), "database_name")
 
 
 # I/O
@@ -402,7 +416,7 @@ def volumes(t: Tables, o: ReportOptions) -> DataFrame:
         ],
         scope=SNAPSHOT_KEY,
     )
-    return _sorted(found, "volume_mount_point")
+    return _sorted(o, found, "volume_mount_point")
 
 
 def io_by_database(t: Tables, o: ReportOptions) -> DataFrame:
@@ -421,7 +435,7 @@ def io_by_database(t: Tables, o: ReportOptions) -> DataFrame:
         few_groups=True,
         one_row_per_key=True,
     )
-    return _sorted(_with_database(ranked, t), "row_rank").select(
+    return _sorted(o, _with_database(ranked, t), "row_rank").select(
         *SNAPSHOT_KEY,
         F.col("row_rank").alias("io_rank"),
         "database_name",
@@ -444,7 +458,7 @@ def file_stalls(t: Tables, o: ReportOptions) -> DataFrame:
             "avg_write_stall_ms": ("io_stall_write_ms", "num_of_writes"),
             "avg_io_stall_ms": (stall, operations),
         },
-        order=[stall.desc(), "physical_name"],
+        order=_order(o, stall.desc(), "physical_name"),
         scope=SNAPSHOT_KEY,
     )
     return averaged.select(
@@ -477,6 +491,7 @@ def missing_indexes(t: Tables, o: ReportOptions) -> DataFrame:
         scope=SNAPSHOT_KEY,
     )
     return _sorted(
+        o,
         scored.select(
             *SNAPSHOT_KEY,
             "index_advantage",
@@ -507,6 +522,7 @@ def autogrowth_events(t: Tables, o: ReportOptions) -> DataFrame:
         scope=SNAPSHOT_KEY,
     )
     return _sorted(
+        o,
         grown.select(
             *SNAPSHOT_KEY,
             "StartTime",
@@ -553,7 +569,7 @@ def cpu_history(t: Tables, o: ReportOptions) -> DataFrame:
         event_time=ops.event_time_from_ticks("snapshot_ts", "now_ticks", "timestamp"),
         scope=SNAPSHOT_KEY,
     )
-    return _sorted(newest, F.desc("record_id")).drop("record_id")
+    return _sorted(o, newest, F.desc("record_id")).drop("record_id")
 
 
 def signal_waits(t: Tables, o: ReportOptions) -> DataFrame:
@@ -567,6 +583,7 @@ def signal_waits(t: Tables, o: ReportOptions) -> DataFrame:
         scope=SNAPSHOT_KEY,
     )
     return _sorted(
+        o,
         shares.select(
             *SNAPSHOT_KEY,
             F.col("part_percent").alias("signal_percent"),
@@ -598,7 +615,7 @@ def cpu_by_database(t: Tables, o: ReportOptions) -> DataFrame:
         few_groups=True,
         one_row_per_key=True,
     )
-    return _sorted(_with_database(ranked, t), "row_rank").select(
+    return _sorted(o, _with_database(ranked, t), "row_rank").select(
         *SNAPSHOT_KEY,
         F.col("row_rank").alias("cpu_rank"),
         "database_name",
@@ -618,6 +635,7 @@ def _gauge(t: Tables, object_like: str, counter: str, alias: str) -> DataFrame:
 
 def page_life_expectancy(t: Tables, o: ReportOptions) -> DataFrame:
     return _sorted(
+        o,
         _gauge(t, k.PAGE_LIFE_OBJECT, k.PAGE_LIFE_COUNTER, "page_life_expectancy"),
         "object_name",
     )
@@ -632,7 +650,7 @@ def memory_grants_pending(t: Tables, o: ReportOptions) -> DataFrame:
         ["snapshot_ts", "object_name", "memory_grants_pending"],
         o.grant_samples,
     )
-    return polled.orderBy("server_name", "sample")
+    return polled.orderBy("server_name", "sample") if o.sorted else polled
 
 
 def buffer_by_database(t: Tables, o: ReportOptions) -> DataFrame:
@@ -645,6 +663,7 @@ def buffer_by_database(t: Tables, o: ReportOptions) -> DataFrame:
         scope=SNAPSHOT_KEY,
     )
     return _sorted(
+        o,
         _with_database(cached, t).select(
             *SNAPSHOT_KEY, "database_name", F.col("mb").alias("cached_size_mb")
         ),
@@ -653,25 +672,33 @@ def buffer_by_database(t: Tables, o: ReportOptions) -> DataFrame:
     )
 
 
+# What a unit of each type belongs to.
+OWNERS = ((1, "hobt_id"), (3, "hobt_id"), (2, "partition_id"))
+
+
 def buffer_by_object(t: Tables, o: ReportOptions) -> DataFrame:
     """Cached pages per object and index.
 
     Units of type 1 and 3 belong to a partition's row store, units of type 2 to the partition.
     Pages, by far the most rows, carry the database's id; the units get it too, so pages are
-    counted before anything is joined to them.
+    counted before anything is joined to them. Pages of databases without a name are one row with
+    nothing but their number, unless one database is asked for.
     """
-    units = _limited(t["allocation_units"], o).join(_database_names(t), DATABASE_KEY)
-    partitions = t["partitions"]
-
-    def branch(types: list[int], container: str) -> DataFrame:
-        owners = partitions.select(
-            *DATABASE_KEY, F.col(container).alias("container_id"), "object_id", "index_id"
-        )
-        return (
-            units.where(F.col("type").isin(*types))
-            .join(owners, [*DATABASE_KEY, "container_id"])
-            .select(*DATABASE_KEY, "database_id", "allocation_unit_id", "object_id", "index_id")
+    names = _database_names(t)
+    units = _limited(t["allocation_units"], o).join(names, DATABASE_KEY)
+    partition = t["partitions"].select(*DATABASE_KEY, "hobt_id", "partition_id", "object_id", "index_id")
+    # One row per way to own a unit, so units meet their owners in one join.
+    owner = F.explode(
+        F.array(
+            *[F.struct(F.lit(kind).alias("type"), F.col(c).alias("container_id")) for kind, c in OWNERS]
         )
+    )
+    owners = partition.select(*DATABASE_KEY, "object_id", "index_id", owner.alias("owner")).select(
+        *DATABASE_KEY, "object_id", "index_id", "owner.*"
+    )
+    owned = units.join(owners, [*DATABASE_KEY, "type", "container_id"]).select(
+        *DATABASE_KEY, "database_id", "allocation_unit_id", "object_id", "index_id"
+    )
 
     objects = t["objects"].select(*DATABASE_KEY, "object_id", F.col("name").alias("table_name"))
     indexes = t["indexes"].select(
@@ -681,12 +708,8 @@ def buffer_by_object(t: Tables, o: ReportOptions) -> DataFrame:
         F.col("name").alias("index_name"),
         F.col("type_desc").alias("index_type"),
     )
-    branches = [
-        b.join(objects, [*DATABASE_KEY, "object_id"], "left")
-        for b in (branch([1, 3], "hobt_id"), branch([2], "partition_id"))
-    ]
     counted = ops.union_hierarchy_count(
-        branches,
+        [owned.join(objects, [*DATABASE_KEY, "object_id"], "left")],
         indexes,
         t["buffer_descriptors"],
         ["database_name", "object_id", "index_id"],
@@ -695,9 +718,15 @@ def buffer_by_object(t: Tables, o: ReportOptions) -> DataFrame:
         alias="cached_pages",
         scope=SNAPSHOT_KEY,
     )
-    return _sorted(
-        counted.drop("index_id"), "database_name", F.desc("cached_pages"), "table_name", "index_name"
-    )
+    shown = counted.drop("index_id")
+    if o.database is None:
+        pages = t["buffer_descriptors"].groupBy(*SNAPSHOT_KEY, "database_id").agg(
+            F.count("*").alias("cached_pages")
+        )
+        unnamed = pages.join(names, [*SNAPSHOT_KEY, "database_id"], "left_anti")
+        unnamed = unnamed.groupBy(*SNAPSHOT_KEY).agg(F.sum("cached_pages").alias("cached_pages"))
+        shown = shown.unionByName(unnamed, allowMissingColumns=True)
+    return _sorted(o, shown, "database_name", F.desc("cached_pages"), "table_name", "index_name")
 
 
 def os_memory(t: Tables, o: ReportOptions) -> DataFrame:
@@ -719,7 +748,7 @@ def os_memory(t: Tables, o: ReportOptions) -> DataFrame:
 
 
 def process_memory(t: Tables, o: ReportOptions) -> DataFrame:
-    return _listing(t["process_memory"])
+    return _listing(o, t["process_memory"])
 
 
 def memory_over_physical(t: Tables, o: ReportOptions) -> DataFrame:
@@ -736,6 +765,7 @@ def memory_over_physical(t: Tables, o: ReportOptions) -> DataFrame:
         scope=SNAPSHOT_KEY,
     )
     return _sorted(
+        o,
         breached.select(
             *SNAPSHOT_KEY,
             F.col("minimum").alias("min_memory_mb"),
@@ -764,6 +794,7 @@ def agent_jobs(t: Tables, o: ReportOptions) -> DataFrame:
         scope=SNAPSHOT_KEY,
     ).join(owners, [*SNAPSHOT_KEY, "owner_sid"], "left")
     return _sorted(
+        o,
         listed.select(
             *SNAPSHOT_KEY,
             F.col("name").alias("job_name"),
@@ -791,7 +822,7 @@ def sysadmins(t: Tables, o: ReportOptions) -> DataFrame:
         exclude=o.builtin_admin,
         scope=SNAPSHOT_KEY,
     )
-    return _sorted(found, "details")
+    return _sorted(o, found, "details")
 
 
 def security_admins(t: Tables, o: ReportOptions) -> DataFrame:
@@ -805,7 +836,7 @@ def security_admins(t: Tables, o: ReportOptions) -> DataFrame:
         pattern=("", ""),
         scope=SNAPSHOT_KEY,
     )
-    return _sorted(found.withColumnRenamed("details", "login"), "login")
+    return _sorted(o, found.withColumnRenamed("details", "login"), "login")
 
 
 # Indexes and statistics
@@ -828,6 +859,7 @@ def index_fragmentation(t: Tables, o: ReportOptions) -> DataFrame:
         scope=DATABASE_KEY,
     )
     return _sorted(
+        o,
         joined.select(
             *DATABASE_KEY, "table_name", "index_name", "rowcnt", "avg_fragmentation_in_percent"
         ),
@@ -852,6 +884,7 @@ def statistics_dates(t: Tables, o: ReportOptions) -> DataFrame:
         scope=DATABASE_KEY,
     )
     return _sorted(
+        o,
         dated.select(*DATABASE_KEY, "table_name", "index_name", "stats_updated"),
         "database_name",
         "table_name",
@@ -874,6 +907,7 @@ def volatile_statistics(t: Tables, o: ReportOptions) -> DataFrame:
         scope=DATABASE_KEY,
     )
     return _sorted(
+        o,
         top.select(
             *DATABASE_KEY,
             "object_name",

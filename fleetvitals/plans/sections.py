@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from datetime import datetime
 
 from pyspark.sql import DataFrame
 
-from ..sources.textsink import write_sections
+from ..sources.textsink import run_header, write_sections
 from . import reports as r
 from .reports import Report, ReportOptions, Tables
 
@@ -126,17 +127,29 @@ def chosen_reports(on: Switches, options: ReportOptions) -> list[Report]:
     return [report for wanted, group in sections if wanted for report in group]
 
 
+# Fixed value: what the text report calls itself.
+REPORT_TITLE = "Database Performance Data"
+
+
 def run_sections(
-    tables: Tables, on: Switches, options: ReportOptions | None = None
+    tables: Tables,
+    on: Switches,
+    options: ReportOptions | None = None,
+    for_text: bool = False,
 ) -> dict[str, DataFrame]:
     """The reports of the switched-on sections in report order, as lazy DataFrames by name.
 
-    A table is opened only when a chosen report reads it.
+    A table is opened only when a chosen report reads it. ``for_text`` sorts them for display.
     """
     options = options or ReportOptions()
+    if for_text:
+        options = replace(options, sorted=True)
     return {report.__name__: report(tables, options) for report in chosen_reports(on, options)}
 
 
-def write_text(found: dict[str, DataFrame], path: str) -> None:
-    """Write reports as text, a folder each, with the usual widths."""
-    write_sections(found, path, TEXT_WIDTHS)
+def write_text(
+    found: dict[str, DataFrame], path: str, title: str = REPORT_TITLE, ran_at: datetime | None = None
+) -> None:
+    """Write reports as text, a folder each, with the usual widths, and a header with the date."""
+    header = run_header(title, ran_at or datetime.now())
+    write_sections(found, path, TEXT_WIDTHS, header=header)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,16 +11,26 @@ from pyspark.sql import functions as F
 def rollover_set(newest: str) -> str:
     """From the newest file's path, a pattern for the file without a number and all numbered ones.
 
-    ``/x/log_12.trc`` gives ``/x/{log.trc,log_*.trc}``. A name without a number stands for
-    itself and its rollovers.
+    ``/x/log_12.trc`` gives the base file ``log.trc`` and ``log_<digits>.trc``. Only ``_`` and
+    digits before the extension are a number: ``audit_log.trc`` stands for itself and its own
+    rollovers. Characters that mean something in a pattern stand for themselves.
     """
-    folder, _, file = newest.rpartition("/")
+    folder, slash, file = newest.rpartition("/")
     stem, dot, extension = file.rpartition(".")
     if not dot:
         stem, extension = file, ""
-    base = stem.rpartition("_")[0] or stem
-    pattern = f"{{{base}{dot}{extension},{base}_*{dot}{extension}}}"
-    return f"{folder}/{pattern}" if folder else pattern
+    base = re.sub(r"_[0-9]+$", "", stem)
+    quoted, end = _literal(base), _literal(dot + extension)
+    numbers = [f"{quoted}_{'[0-9]' * digits}{end}" for digits in range(1, MOST_DIGITS + 1)]
+    return f"{_literal(folder)}{slash}{{{','.join([quoted + end, *numbers])}}}"
+
+
+# Rollover numbers of more digits are not looked for.
+MOST_DIGITS = 10
+
+
+def _literal(text: str) -> str:
+    return re.sub(r"([\\*?\[\]{},])", r"\\\1", text)
 
 
 def rollover_rows(

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
 
 from ..functions.numeric import whole_div
 
@@ -121,8 +121,9 @@ _OLD_UNITS = {"sys_info": {"physical_memory_kb": ("physical_memory_in_bytes", 10
 def align(df: DataFrame, table: str) -> DataFrame:
     """Bring a collector's rows to the schema of ``table``.
 
-    Columns an older server lacks become NULL, figures in an older unit are converted, and every
-    column gets its type.
+    Columns an older server lacks become NULL, figures in an older unit are converted, every
+    column gets its type, and names lose the blanks at their end: servers pad them, and names that
+    differ only by that are the same name there.
     """
     old_units = _OLD_UNITS.get(table, {})
     aligned: list[Column] = []
@@ -134,7 +135,10 @@ def align(df: DataFrame, table: str) -> DataFrame:
             value = whole_div(F.col(old).cast("bigint"), size)
         else:
             value = F.lit(None)
-        aligned.append(value.cast(field.dataType).alias(field.name))
+        value = value.cast(field.dataType)
+        if isinstance(field.dataType, StringType):
+            value = F.rtrim(value)
+        aligned.append(value.alias(field.name))
     return df.select(*aligned)
 
 
@@ -146,12 +150,12 @@ def read_snapshots(
     days: tuple[str, str] | None = None,
     servers: Sequence[str] = (),
 ) -> DataFrame:
-    """One snapshot table from parquet; ``days`` (first, last) prunes folders by ``snapshot_date``."""
-    schema = f"{SNAPSHOTS[table]}, snapshot_date date"
-    df = spark.read.schema(schema).parquet(f"{root}/{table}")
+    """One snapshot table from parquet, aligned; ``days`` (first, last) prunes folders by
+    ``snapshot_date``."""
+    df = spark.read.option("mergeSchema", "true").parquet(f"{root}/{table}")
     if days is not None:
         first, last = days
         df = df.where(F.col("snapshot_date").between(F.to_date(F.lit(first)), F.to_date(F.lit(last))))
     if servers:
         df = df.where(F.col("server_name").isin(*servers))
-    return df.drop("snapshot_date")
+    return align(df, table)

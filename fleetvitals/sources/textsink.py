@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,10 +50,18 @@ def as_lines(
     return text.select(F.rtrim(F.concat_ws(" ", *cells)).alias("value"))
 
 
+# The forms of a section's banner and of the lines a report begins with.
 def banner(title: str) -> str:
     return f"##########  {title} #############"
 
 
+def run_header(title: str, ran_at: datetime) -> list[str]:
+    """The report's title and when it ran, as the server writes a date."""
+    hour = ran_at.hour % 12 or 12
+    date = f"{ran_at:%b} {ran_at.day:>2} {ran_at:%Y} {hour:>2}:{ran_at:%M}{ran_at:%p}"
+    return [title, banner("Date Run"), f"Date Ran : {date}"]
+
+
 def _heading(title: str, df: DataFrame, widths: Widths, default: int) -> list[str]:
     names = []
     for name in df.columns:
@@ -66,13 +75,20 @@ def write_sections(
     path: str,
     widths: Mapping[str, Widths] | None = None,
     default: int = DEFAULT_WIDTH,
+    header: list[str] | None = None,
 ) -> None:
     """One text folder per section, written by the executors, banner and column names first.
 
+    With ``header`` its lines are written once, to the folder ``header``.
+
     ``widths`` are given per section. Several part files stay several: their names keep the order
     of a sorted report.
     """
     for title, df in sections.items():
+        if header:
+            lines = df.sparkSession.createDataFrame([("\n".join(header),)], "value string")
+            lines.coalesce(1).write.mode("errorifexists").text(f"{path}/header")
+            header = None
         chosen = (widths or {}).get(title, {})
         heading = df.sparkSession.createDataFrame(
             [("\n".join(_heading(title, df, chosen, default)),)], "value string"

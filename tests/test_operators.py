@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import random
+import re
 from datetime import datetime, timedelta
+from decimal import Decimal
 
 import pytest
 from hypothesis import given, settings
@@ -11,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from fleetvitals import operators as ops
-from fleetvitals.operators._rows import top_rows, with_running_total
+from fleetvitals.operators._rows import slice_of, top_rows, with_running_total
 from tests.conftest import cells
 
 
@@ -36,12 +38,11 @@ def test_running_total_over_slices_equals_brute_force(spark, scope, broadcast):
     # A third of the rows in one scope, many equal values, one scope without a name.
     rows = [(None if i % 5 == 0 else "ab"[i % 3 == 0], i, rng.choice([0, 5, 5, 5, 9, i])) for i in range(300)]
     df = spark.createDataFrame(rows, "s string, k int, v int")
-    order = [F.desc("v"), F.asc("k")]
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", str(broadcast != "-1"))
     try:
-        sliced = with_running_total(df, "v", order, scope).collect()
-        plain = with_running_total(df, "v", order, scope, few_groups=True).collect()
+        sliced = with_running_total(df, "v", ["k"], scope).collect()
+        plain = with_running_total(df, "v", ["k"], scope, few_groups=True).collect()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
@@ -109,14 +110,73 @@ def test_share_rank_sums_to_one_and_leaves_excluded_and_null_keys_out(spark):
         assert [r.k for r in by_rank] == list(range(11, 0, -1))
 
 
-def test_top_rows_beyond_the_early_cut(spark):
-    df = spark.range(6000).select((F.col("id") % 2).alias("s"), "id")
-    found = top_rows(df, [F.desc("id")], 1500, ["s"])
-    per = {r.s: (r["count"], r["min"]) for r in found.groupBy("s").agg(
-        F.count("*").alias("count"), F.min("id").alias("min")).collect()}
-    assert per == {0: (1500, 3000), 1: (1500, 3001)}
-    numbered = top_rows(df, [F.desc("id")], 1500, ["s"], rank_as="r")
-    assert numbered.agg(F.max("r")).first()[0] == 1500
+def shape_of(df):
+    """The operators of a plan, without what differs between sessions and numbers."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return [re.sub(r"[^A-Za-z].*", "", line.lstrip(" :+-")) for line in plan.splitlines()]
+
+
+@pytest.mark.parametrize("n", [1, 16, 1000, 1001, 5000])
+def test_top_rows_are_the_same_for_every_n(spark, n):
+    rows = [(None if i % 7 == 0 else "ab"[i % 3 == 0], i * 37 % 1009, i) for i in range(6000)]
+    df = spark.createDataFrame(rows, "s string, v int, i int")
+    order = [F.desc("v"), F.asc("i")]
+    expected = set()
+    for scope in (None, "a", "b"):
+        own = sorted((r for r in rows if r[0] == scope), key=lambda r: (-r[1], r[2]))[:n]
+        expected |= {(*r, rank) for rank, r in enumerate(own, 1)}
+    found = top_rows(df, order, n, ["s"], rank_as="r")
+    assert set(map(tuple, found.collect())) == expected
+    assert {tuple(r) for r in top_rows(df, order, n, ["s"]).collect()} == {e[:3] for e in expected}
+    assert found.dtypes == [("s", "string"), ("v", "int"), ("i", "int"), ("r", "int")]
+    without_limit = [x for x in shape_of(found) if x != "WindowGroupLimit"]
+    small = [x for x in shape_of(top_rows(df, order, 2, ["s"], rank_as="r")) if x != "WindowGroupLimit"]
+    assert without_limit == small
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_ranking_of_fractions(spark, few):
+    values = ["0.40", "0.40", "0.20", "-0.10", "1234567.89", None]
+    rows = [(i, None if v is None else Decimal(v)) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "k int, v decimal(18,2)")
+    numbers = {i: v for i, v in rows if v is not None}
+    total = sum(numbers.values())
+    ranked = sorted(numbers, key=lambda k: (-numbers[k], k))
+    found = {r.k: r for r in ops.running_totals(df, "k", "v", few_groups=few).collect()}
+    for rank, k in enumerate(ranked, 1):
+        before = sum((numbers[x] for x in ranked[:rank]), Decimal(0))
+        assert (found[k].row_rank, found[k].running, found[k].total) == (rank, before, total)
+    assert found[5].row_rank == 6
+    shares = {r.k: r.share for r in ops.share_rank(df, "k", "v", few_groups=few).collect()}
+    assert shares[1] == pytest.approx(float(Decimal("0.40") / total)) and shares[5] is None
+    covered = ops.coverage_topk(spark.createDataFrame(rows[:3], "k int, v decimal(18,2)"), "k", "v", pct=50, few_groups=few)
+    assert sorted((r.k, r.preceding) for r in covered.collect()) == [(0, Decimal("0.00")), (1, Decimal("0.40"))]
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_ranking_refuses_floats(spark, few):
+    df = spark.createDataFrame([(1, 0.5)], "k int, v double")
+    with pytest.raises(TypeError, match="whole numbers or decimals"):
+        ops.share_rank(df, "k", "v", few_groups=few)
+
+
+def test_building_a_ranking_starts_no_job(spark):
+    df = spark.range(1000).select((F.col("id") % 10).alias("k"), "id")
+    spark.sparkContext.setJobGroup("building", "")
+    try:
+        for build in (ops.running_totals, ops.coverage_topk, ops.share_rank):
+            build(df, "k", "id")
+        ops.counter_delta(df, "k", "id", "id")
+        top_rows(df, [F.desc("id")], 5000, ["k"])
+        assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("building")) == []
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+
+
+def test_global_ratio_beyond_64_bits(spark):
+    df = spark.createDataFrame([(5 * 10**18, 5 * 10**18)] * 3, "p bigint, t bigint")
+    row = ops.global_ratio(df, "p", "t").first()
+    assert (int(row.part_sum), str(row.part_percent), str(row.rest_percent)) == (15 * 10**18, "100.00", "0.00")
 
 
 def test_latest_per_group_gives_one_row_whatever_the_partitions(spark):
@@ -146,40 +206,33 @@ def brute_delta(rows):
 
 
 @pytest.mark.parametrize("broadcast", ["10485760", "-1"])
-@pytest.mark.parametrize("split_rows", [0, 100, 10**6])
-def test_counter_delta_crosses_days_and_gaps(spark, broadcast, split_rows):
+@pytest.mark.parametrize("days", [[0, 1, 2, 5, 9, 30], [0]])
+def test_counter_delta_crosses_slices_and_gaps(spark, broadcast, days):
     rng = random.Random(3)
     start = datetime(2024, 1, 1)
     rows = []
-    for number in range(400):
-        # Two keys of three readings belong to one key; days are skipped.
+    for number in range(2400):
+        # Two readings of three belong to one key; days are skipped, or all is one day.
         key = "hot" if number % 3 else f"k{number % 7}"
-        day = rng.choice([0, 1, 2, 5, 9, 30])
-        at = start + timedelta(days=day, minutes=rng.randrange(0, 1440, 60))
+        at = start + timedelta(days=rng.choice(days), minutes=rng.randrange(0, 1440, 60))
         rows.append((key, at, number, rng.randrange(100)))
     df = spark.createDataFrame(rows, "k string, at timestamp_ntz, n int, v int").repartition(5)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
     try:
-        found = ops.counter_delta(df, "k", ["at", "n"], "v", split_rows=split_rows).collect()
-        hourly = ops.counter_delta(
-            df, "k", ["at", "n"], "v", stretch=F.date_trunc("hour", "at"), split_rows=split_rows
-        ).collect()
+        found = ops.counter_delta(df, "k", ["at", "n"], "v").collect()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    expected = brute_delta(rows)
-    assert {(r.k, r.n): r.v_delta for r in found} == expected
-    assert {(r.k, r.n): r.v_delta for r in hourly} == expected
-
+    assert {(r.k, r.n): r.v_delta for r in found} == brute_delta(rows)
 
-def test_only_busy_keys_are_split(spark):
-    from fleetvitals.operators.aggregation import _busy_keys
 
+def test_one_busy_day_of_one_key_is_many_slices(spark):
     df = spark.range(20000).select(
-        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id"))).alias("k"),
+        F.when(F.col("id") % 3 == 0, F.concat(F.lit("k"), F.col("id"))).otherwise("hot").alias("k"),
         "id",
     )
-    assert cells(_busy_keys(df, ["k"], ["id"], 1000), "k") == ["hot"]
-    assert cells(_busy_keys(df, ["k"], ["id"], 10**6), "k") == []
+    cut = slice_of(df, F.struct("k", "id"), [F.col("k"), F.col("id")])
+    sizes = [r["count"] for r in df.withColumn("cut", cut).groupBy("cut").count().collect()]
+    assert len(sizes) > 40 and max(sizes) < 20000 / 20
 
 
 def test_counter_delta_with_a_missing_reading(spark):

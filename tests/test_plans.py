@@ -5,7 +5,9 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as contract
+from fleetvitals.plans import bindings, report_bindings
 
+LIBRARY = {**bindings.QUERIES, **report_bindings.QUERIES}
 FOLDER = "/root/testdata/sf0.001"
 BANNED = ("BroadcastNestedLoopJoin", "CartesianProduct", "Python", "ArrowEval")
 
@@ -16,17 +18,22 @@ def plan_of(df) -> str:
 
 @pytest.fixture(scope="module")
 def plans(spark):
-    return {name: plan_of(query(spark, FOLDER)) for name, query in contract.queries().items()}
+    return {name: plan_of(query(spark, FOLDER)) for name, query in LIBRARY.items()}
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(LIBRARY))
 def test_no_pairs_and_no_python(plans, name):
     assert not [word for word in BANNED if word in plans[name]]
 
 
-@pytest.mark.parametrize("name", ["latest_per_group", "recent_n", "first_n_samples"])
-def test_ranked_rows_are_cut_before_the_shuffle(plans, name):
-    assert plans[name].count("WindowGroupLimit") == 2
+@pytest.mark.parametrize("name, cuts", [("latest_per_group", 2), ("recent_n", 4), ("first_n_samples", 4)])
+def test_ranked_rows_are_cut_before_the_shuffle(plans, name, cuts):
+    assert plans[name].count("WindowGroupLimit") == cuts
+
+
+@pytest.mark.parametrize("name", sorted(report_bindings.QUERIES))
+def test_reports_are_not_sorted(plans, name):
+    assert "rangepartitioning" not in plans[name]
 
 
 @pytest.mark.parametrize("name", ["top_volatile", "payload_history"])
@@ -72,12 +79,21 @@ def test_large_joins_do_not_broadcast(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-def test_only_keys_worth_splitting_are_broadcast(spark):
-    """The broadcast side of counter_delta is filtered by a count, so its size has a bound."""
+def test_bounds_and_offsets_are_all_that_is_broadcast(spark):
+    """Rows are placed by bounds from a sample of fixed size; no input is broadcast by hint."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         plan = plan_of(contract.queries()["counter_delta"](spark, FOLDER))
+        assert "BroadcastHashJoin" not in plan and "TakeOrderedAndProject(limit=1024" in plan
+        assert "BroadcastHashJoin [_slice" in plan_of(contract.queries()["running_totals"](spark, FOLDER))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert "BroadcastHashJoin [user_id" in plan
-    assert "Filter (_rows" in plan and "greatest(1562" in plan
+
+
+def test_counter_delta_reads_its_input_twice_when_it_runs(spark):
+    """Once for the bounds and once for the rows; the exchange is used again for the last rows."""
+    df = contract.queries()["counter_delta"](spark, FOLDER)
+    df.collect()
+    plan = plan_of(df)
+    final = plan[: plan.index("+- == Initial Plan ==")] if "+- == Initial Plan ==" in plan else plan
+    assert "ReusedExchange" in final or final.count("FileScan") <= 2

@@ -12,8 +12,13 @@ from fleetvitals.plans.constants import IDLE_WAITS
 from fleetvitals.plans.reports import ReportOptions
 from tests.conftest import T0, cells
 
-ALL = ReportOptions()
-SALES = ReportOptions(database="sales")
+def shown_sorted(**chosen) -> ReportOptions:
+    return ReportOptions(sorted=True, **chosen)
+
+
+ALL = shown_sorted()
+SALES = shown_sorted(database="sales")
+
 
 
 def D(text):
@@ -145,7 +150,7 @@ def test_integrity_checks(snapshot):
         ("c", "Sep 30 2014  1:05AM"),
         ("b", "Nov  8 2014  1:05PM"),
     ]
-    assert cells(r.integrity_checks(t, ReportOptions(database="b")), "database_name") == ["b"]
+    assert cells(r.integrity_checks(t, shown_sorted(database="b")), "database_name") == ["b"]
 
 
 def wait(name, total, signal=0, tasks=1, **more):
@@ -236,7 +241,7 @@ def test_last_full_backup_keeps_all_media_of_the_newest(backups):
 def test_last_log_backups_count_media_rows(backups):
     found = r.last_log_backups(backups, SALES)
     assert cells(found, "physical_device_name") == ["copy7", "disk7", "copy6", "disk6", "disk5"]
-    assert cells(r.last_log_backups(backups, ReportOptions(database="hr")), "physical_device_name") == ["disk9"]
+    assert cells(r.last_log_backups(backups, shown_sorted(database="hr")), "physical_device_name") == ["disk9"]
 
 
 def test_backup_sizes(backups):
@@ -579,7 +584,7 @@ def test_index_fragmentation(snapshot):
     }
     found = r.index_fragmentation(t, SALES)
     assert cells(found, "table_name", "index_name", "rowcnt") == [("t1", "ix", 100), ("t2", "ix", 200)]
-    loose = r.index_fragmentation(t, ReportOptions(database="sales", strict_index_names=False))
+    loose = r.index_fragmentation(t, shown_sorted(database="sales", strict_index_names=False))
     assert sorted(cells(loose, "table_name", "rowcnt")) == [
         ("t1", 100), ("t1", 200), ("t2", 100), ("t2", 200),
     ]

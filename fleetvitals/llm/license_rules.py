@@ -88,7 +88,7 @@ bsd-3-clause | 88 | endorse | neither the name of .{0,80}? may be used to endors
 isc | 75 | isc | isc license
 isc | 80 | isc | spdx license identifier isc
 isc | 85 | fee | permission to use copy modify and or distribute this software for any purpose with or without fee
-hpnd | 80 | fee | permission to use copy modify and distribute this software and its documentation for any purpose
+hpnd | 80 | documentation | permission to use copy modify and distribute this software and its documentation for any purpose
 zlib | 75 | zlib | zlib(?: libpng)? license
 zlib | 80 | zlib | spdx license identifier zlib
 zlib | 85 | misrepresented | the origin of this software must not be misrepresented
@@ -234,7 +234,7 @@ watcom | 75 | watcom | sybase open watcom public license
 intel | 70 | intel | intel (?:open source|simplified software) license
 nvidia | 70 | nvidia | nvidia (?:software )?license agreement
 oracle-otn | 70 | oracle | oracle technology network license agreement
-naist | 75 | naist | nara institute of science and technology license
+naist | 75 | nara | nara institute of science and technology license
 unicode | 75 | unicode | unicode (?:license|terms of use)
 icu | 75 | icu | icu license
 wxwindows | 75 | wxwindows | wxwindows library licen[sc]e

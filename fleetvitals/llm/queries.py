@@ -30,7 +30,7 @@ def word_tokenizer() -> str:
 
 
 def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op2.round_trip(table(spark, sf_dir, "documents"), word_tokenizer())
+    return op2.round_trip(table(spark, sf_dir, "documents"), word_tokenizer(), read_from_files=True)
 
 
 def op3_warc_zst(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -118,15 +118,23 @@ def sequences(docs: DataFrame, tokenizer: str, key: bytes, id_col: str, text_col
     return picked.mapInArrow(run, f"id {ids}, start bigint, length bigint, ids binary, `order` bigint"), total
 
 
-def write_shards(docs: DataFrame, tokenizer: str, key: bytes = b"epoch 0", folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
+def write_shards(
+    docs: DataFrame, tokenizer: str, key: bytes = b"epoch 0", folder: str | None = None,
+    id_col: str = "doc_id", text_col: str = "text", read_from_files: bool = False,
+) -> tuple[DataFrame, str]:
     """Writes the shards; returns their index and the folder.
 
+    Numbers depend on how the table is split, so it is written down first; not so where the caller
+    says that ``docs`` is ``read_from_files`` as they are, which are split alike every time.
+
     The index has one row per sequence: id, start (ids of its text before it), length, shard,
     record, slot, and the path of its shard. A record is its length and then its ids, padded with
     zeros; both are little-endian and of 16 bits where the vocabulary allows. A null or empty text is
     its end id alone; repeated rows and repeated or null ids are sequences of their own."""
     spark = docs.sparkSession
     folder = folder or shared_folder(spark)
+    if not read_from_files:
+        docs = settle(docs.select(id_col, text_col))
     rows, total = sequences(docs, tokenizer, key, id_col, text_col)
     size = docs.agg(F.sum(F.octet_length(text_col)).alias("n")).first()["n"] or 0
     shards = max(1, -(-size // SHARD_BYTES))
@@ -195,9 +203,9 @@ def read_shards(index: DataFrame, folder: str, tokenizer: str, from_slot: int =
     return shards.mapInArrow(run, "slot bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids)
 
 
-def round_trip(docs: DataFrame, tokenizer: str, key: bytes = b"epoch 0", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer: str, key: bytes = b"epoch 0", id_col: str = "doc_id", text_col: str = "text", read_from_files: bool = False) -> DataFrame:
     """The index of the written shards joined with what reading them gives: id, start, length,
     ids_crc32, slot, shard, record."""
-    index, folder = write_shards(docs, tokenizer, key, None, id_col, text_col)
+    index, folder = write_shards(docs, tokenizer, key, None, id_col, text_col, read_from_files)
     read = read_shards(index, folder, tokenizer)
     return index.drop("length", "path").join(read, "slot").select(id_col, "start", "length", "ids_crc32", "slot", "shard", "record")

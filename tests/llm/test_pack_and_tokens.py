@@ -1,0 +1,118 @@
+from __future__ import annotations
+
+import random
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+from tokenizers import Tokenizer
+
+from fleetvitals.llm import _text, _tokens, best_fit_pack, token_shards
+
+PATH = public_tokenizers.path("word_bpe_49k.json")
+STRANGE = ["", "  ", "a.", "a'.", "don't, it's.", "%%%, x", "İstanbul. ſ", "<|endoftext|> a<|ENDOFTEXT|>b", "é́ é.", "́a \t\r\n b.", "naïve, ΣΑΣ. x", "x.,", "'s. 'S,", "A1.b, 日本,語.  x", "ß ẞ ﬁ. Ŀ ŉ ĳ"]
+
+
+def plain_ids(text):
+    return Tokenizer.from_file(PATH).encode(text or "", add_special_tokens=False).ids
+
+
+def test_ids_are_the_tokenizers_own(prose):
+    texts = STRANGE + [prose(200, 1), prose(2000, 2), "x" * 5000]
+    encoder = _tokens.Encoder(PATH)
+    for _ in range(2):  # a second time from the cache
+        ids, offsets = encoder.encode(_text.texts(pa.array(texts)))
+        for i, text in enumerate(texts):
+            assert ids[offsets[i] : offsets[i + 1]].tolist() == plain_ids(text), text[:40]
+
+
+def test_best_fit_against_search():
+    r = random.Random(3)
+    for _ in range(100):
+        window = r.randint(1, 40)
+        lengths = sorted((r.randint(1, window) for _ in range(r.randint(1, 60))), reverse=True)
+        left: list[int] = []
+        for n, number, offset in zip(lengths, *best_fit_pack.best_fit(lengths, window)):
+            fits = [x for x in left if x >= n]
+            if number == len(left):
+                assert not fits
+                left.append(window)
+            assert left[number] == (min(fits) if fits else window) and offset == window - left[number]
+            left[number] -= n
+
+
+def test_pieces_cover_documents_and_sequences(documents, odd, prose):
+    rows = [(d, t) for d, t in odd if d != 3] + [(20 + i, prose(n, i)) for i, n in enumerate((1, 30, 700, 2500, 9000))]
+    out = best_fit_pack.pack_documents(documents(rows), PATH, with_ids=True).collect()
+    ids = {d: [*plain_ids(t), 1] for d, t in rows if d is not None}
+    for d, own in ids.items():
+        pieces = sorted((r for r in out if r.doc_id == d), key=lambda r: r.start)
+        assert sum((list(r.ids) for r in pieces), []) == own
+        assert all(r.doc_tokens == len(own) and r.length == len(r.ids) <= 2048 for r in pieces)
+        assert all(r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes()) for r in pieces)
+    sequences = defaultdict(list)
+    for r in out:
+        sequences[r.sequence_id].append(r)
+    for held in sequences.values():
+        at = 0
+        for r in sorted(held, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= 2048 and {r.padded_to for r in held} == {at if at & (at - 1) == 0 else 2048}
+
+
+def test_little_padding_on_given_documents(spark):
+    out = best_fit_pack.pack_documents(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), PATH)
+    rows = out.groupBy("sequence_id").agg({"length": "sum", "padded_to": "max"}).collect()
+    used, padded = sum(r["sum(length)"] for r in rows), sum(r["max(padded_to)"] for r in rows)
+    assert (padded - used) / padded < 0.02
+
+
+def test_empty_and_clashing(documents, clashing):
+    assert best_fit_pack.pack_documents(documents([]), PATH).collect() == []
+    assert best_fit_pack.pack_documents(clashing([(1, "a b")]), PATH).count() == 1
+
+
+def test_feistel_permutes_and_inverts():
+    for n in (1, 2, 3, 10, 255, 257, 5000):
+        f = token_shards.Feistel(n, b"key")
+        x = np.arange(n)
+        y = f.permute(x)
+        assert sorted(y.tolist()) == list(range(n))
+        assert f.invert(y).tolist() == list(range(n))
+    assert token_shards.Feistel(5000, b"a").permute(np.arange(50)).tolist() != token_shards.Feistel(5000, b"b").permute(np.arange(50)).tolist()
+
+
+def test_shards_round_trip(spark, documents, odd, prose):
+    rows = odd + [(20 + i, prose(n, i)) for i, n in enumerate((1, 400, 3000))]
+    docs = documents(rows)
+    index, folder = token_shards.write_shards(docs, PATH)
+    held = index.collect()
+    assert sorted(r.slot for r in held) == list(range(len(held)))
+    read = {r.slot: r for r in token_shards.read_shards(index, folder, PATH, with_ids=True).collect()}
+    got = defaultdict(list)
+    for r in sorted(held, key=lambda r: (repr(r.doc_id), r.start)):
+        assert r.length == read[r.slot].length == len(read[r.slot].ids)
+        got[r.doc_id] += read[r.slot].ids
+    want = defaultdict(list)
+    for d, t in rows:
+        want[d] += [*plain_ids(t), 1]
+    assert {d: sorted(x) for d, x in got.items()} == {d: sorted(x) for d, x in want.items()}
+    assert all(got[d] == want[d] for d in (20, 21, 22))
+    resumed = token_shards.read_shards(index, folder, PATH, from_slot=5).collect()
+    assert sorted(r.slot for r in resumed) == list(range(5, len(held)))
+    again, _ = token_shards.write_shards(docs.coalesce(2), PATH, key=b"epoch 1")
+    assert sorted((repr(r.doc_id), r.start) for r in again.collect()) == sorted((repr(r.doc_id), r.start) for r in held)
+
+
+def test_shards_of_nothing(documents, clashing):
+    assert token_shards.round_trip(documents([]), PATH).collect() == []
+    assert token_shards.round_trip(clashing([(1, "a b")]), PATH).count() == 1
+
+
+def test_given_files_give_the_same_order_every_time(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    both = [sorted(map(tuple, token_shards.round_trip(docs, PATH, read_from_files=True).collect())) for _ in range(2)]
+    assert both[0] == both[1] and len({r[4] for r in both[0]}) == len(both[0])

@@ -7,13 +7,15 @@ so points are first dealt into cells between which no linked pair can be lost: t
 into more blocks than two linked sets can differ in tokens, so some block of theirs is equal; a cell
 is a block's content. Equal sets are one class before anything is compared.
 
-Within the cells, three rounds find enough links to join what is linked, and test every pair that
-might still join two components:
+Within the cells, rounds find enough links to join what is linked, and the last one tests every pair
+that might still join two components:
 
 1. every member against the cell's first member;
-2. in cells that still hold several components, members outside the cell's largest component search
-   the tree of the cell for their best partner in each other component;
-3. the same, for all partners whose bound allows a link.
+2. in cells that still hold several components, members outside the cell's largest one search the
+   tree of the cell for partners in other components, the ``PARTNERS`` whose bound is best; first
+   each in its largest cell only, which joins most copies, and then in all;
+3. cells in which some member had more are searched again, now between fewer components and for
+   eight times as many partners, until no cell is left.
 
 Every pair found is verified by intersecting the sets. Pairs inside a component are never emitted,
 so a group of copies costs as much as its members, not its pairs. Large cells are split: the few
@@ -35,15 +37,21 @@ from fleetvitals.llm import _text
 from fleetvitals.llm._graph import components
 from fleetvitals.llm._scratch import settle
 
-GROUPS = 32
+#: So many that tokens which differ seldom meet in a group: the bound is then close to the overlap.
+GROUPS = 256
 LEAF = 16
 CELL_ROWS = 4096
+#: Partners that a search tells of at once; a cell with more is searched again, for 8 times as many.
+PARTNERS = 8
+#: Bits of the filter that spares documents whose sets are not asked for; its size is fixed.
+FILTER_BITS = 1 << 23
 LEVEL_RATIO = 1.6
 _MOST = 1 << 40
 
 
 class CountTree:
-    """R-tree over count vectors, packed by halving along the widest coordinate."""
+    """R-tree over count vectors, packed by halving, by size first and then along the widest
+    coordinate."""
 
     def __init__(self, points: np.ndarray) -> None:
         self.points = points.astype(np.int64)
@@ -51,27 +59,34 @@ class CountTree:
         self.root = self._node(np.arange(len(points)))
 
     def _node(self, rows: np.ndarray) -> tuple:
-        own = self.points[rows]
-        upper, least = own.max(axis=0), self.sizes[rows].min()
+        own, sizes = self.points[rows], self.sizes[rows]
+        upper, least, most = own.max(axis=0), int(sizes.min()), int(sizes.max())
         if len(rows) <= LEAF:
-            return upper, least, rows, None
-        axis = int(np.argmax(upper - own.min(axis=0)))
-        rows = rows[np.argsort(own[:, axis], kind="stable")]
+            return upper, least, most, rows, None
+        if most > 1.1 * least:
+            rows = rows[np.argsort(sizes, kind="stable")]
+        else:
+            axis = int(np.argmax(upper - own.min(axis=0)))
+            rows = rows[np.argsort(own[:, axis], kind="stable")]
         half = len(rows) // 2
-        return upper, least, None, (self._node(rows[:half]), self._node(rows[half:]))
+        return upper, least, most, None, (self._node(rows[:half]), self._node(rows[half:]))
 
     def search(self, point: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
         """Rows whose bound allows a Jaccard similarity of ``percent``, and the bounds."""
         point = point.astype(np.int64)
-        size, stack, rows, bounds = point.sum(), [self.root], [], []
+        held = np.flatnonzero(point)  # only these coordinates add to a minimum
+        own = point[held]
+        size, stack, rows, bounds = own.sum(), [self.root], [], []
         while stack:
-            upper, least, leaf, below = stack.pop()
-            if (100 + percent) * np.minimum(point, upper).sum() < percent * (size + least):
+            upper, least, most, leaf, below = stack.pop()
+            if 100 * most < percent * size or 100 * size < percent * least:
+                continue
+            if (100 + percent) * np.minimum(own, upper[held]).sum() < percent * (size + least):
                 continue
             if leaf is None:
                 stack.extend(below)
                 continue
-            bound = np.minimum(point, self.points[leaf]).sum(axis=1)
+            bound = np.minimum(own, self.points[leaf][:, held]).sum(axis=1)
             fits = (100 + percent) * bound >= percent * (size + self.sizes[leaf])
             rows.append(leaf[fits])
             bounds.append(bound[fits])
@@ -107,8 +122,12 @@ def levels(percent: int) -> list[tuple[int, int, int, int]]:
     return out
 
 
-def block_keys(tokens: np.ndarray, table: list[tuple[int, int, int, int]]) -> np.ndarray:
-    """Hashes that name the cells of a sorted set: one per level it falls in and block of that."""
+def block_keys(tokens: np.ndarray, table: list[tuple[int, int, int, int]]) -> list[tuple[int, int, np.ndarray]]:
+    """For each level that a sorted set falls in: the level, how many of its cells may be left out,
+    and hashes that name the cells, one per block with tokens.
+
+    Two linked sets share more blocks than are spare, empty ones included. If each leaves out half
+    of the spare blocks that it does not need for its empty ones, they still share one."""
     n, found = len(tokens), []
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_text.mixed(tokens + np.uint64(1)))]) if n else None
     for number, (low, beyond, blocks, spare) in enumerate(table):
@@ -119,12 +138,14 @@ def block_keys(tokens: np.ndarray, table: list[tuple[int, int, int, int]]) -> np
         edges = (np.arange(1, blocks, dtype=np.uint64) * np.uint64((1 << 64) // blocks)).astype(np.uint64)
         at = np.concatenate([[0], np.searchsorted(tokens, edges), [n]])
         full = np.diff(at) > 0
-        if blocks - int(full.sum()) > spare:
+        empty = blocks - int(full.sum())
+        if empty > spare:
             full[:] = True
         where = np.flatnonzero(full).astype(np.uint64)
         content = sums[at[1:]] - sums[at[:-1]]
-        found.append(_text.mixed(content[full] + _text.mixed(where + np.uint64(number << 40) + np.uint64(7))))
-    return np.concatenate(found) if found else np.empty(0, np.uint64)
+        names = _text.mixed(content[full] + _text.mixed(where + np.uint64(number << 40) + np.uint64(7)))
+        found.append((number, max(0, (spare - empty) // 2), names))
+    return found
 
 
 class Sets:
@@ -138,6 +159,16 @@ class Sets:
         return _text.shingles(self.hasher.of(t.data, w.start, w.end), w.first, self.size)
 
 
+def _counts(tokens: np.ndarray) -> bytes:
+    """Tokens in each group; 16 bits each where that is enough."""
+    counts = np.bincount((tokens & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
+    return counts.astype("<u2" if counts.max() < 1 << 16 else "<u4").tobytes()
+
+
+def _point(counts: bytes) -> np.ndarray:
+    return np.frombuffer(counts, "<u2" if len(counts) == 2 * GROUPS else "<u4").astype(np.int64)
+
+
 def _key(tokens: np.ndarray) -> bytes:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
@@ -172,14 +203,17 @@ def classes(named: DataFrame, size: int) -> DataFrame:
 
 
 def cells(named: DataFrame, size: int, percent: int) -> DataFrame:
-    """(cell, short) for every cell with two different sets at least; ``short`` is the beginning of
-    the set's key. A task says each set once."""
+    """(cell, short, first) for every cell with two different sets at least; ``short`` is the
+    beginning of the set's key, ``first`` the least in the cell. A task says each set once.
+
+    A set leaves out its most crowded cells, as many as it may: those of a passage that very many
+    documents share go, and no link is lost."""
     table = levels(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, said = Sets(size), set()
         for _, t in _text.slices(batches, "_llm_text"):
-            cell, short = [], []
+            cell, short, level = [], [], []
             for own in sets.of(t):
                 if not len(own):
                     continue
@@ -188,48 +222,85 @@ def cells(named: DataFrame, size: int, percent: int) -> DataFrame:
                     continue
                 if len(said) < 500_000:  # only spares repeated rows
                     said.add(key)
-                names = block_keys(own, table)
-                cell.append(names)
-                short.append(np.full(len(names), key, np.int64))
+                for number, room, names in block_keys(own, table):
+                    cell.append(names)
+                    short.append(np.full(len(names), key, np.int64))
+                    level.append(np.full(len(names), number << 40 | room, np.int64))
             if cell:
-                yield pa.record_batch([pa.array(np.concatenate(cell).view(np.int64)), pa.array(np.concatenate(short))], names=["cell", "short"])
+                columns = np.concatenate(cell).view(np.int64), np.concatenate(short), np.concatenate(level)
+                yield pa.record_batch([pa.array(c) for c in columns], names=["cell", "short", "level"])
 
-    rows = named.select("_llm_text").mapInArrow(run, "cell bigint, short bigint")
+    rows = named.select("_llm_text").mapInArrow(run, "cell bigint, short bigint, level bigint")
     one = Window.partitionBy("cell")
     several = rows.withColumn("first", F.min("short").over(one)).withColumn("last", F.max("short").over(one)).where("first != last")
-    return several.select("cell", "short", "first").distinct()
-
-
-def members(named: DataFrame, keyed: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(key, counts, tokens) of the sets that ``wanted`` names by the beginning of their key, each
-    made from the text of one document."""
-    first = keyed.where("key is not null").groupBy("key").agg(F.min(F.struct("_llm_id", "_llm_hash")).alias("at"))
-    short = F.conv(F.hex(F.substring("key", 1, 8)), 16, -10).cast("bigint")
-    some = first.withColumn("short", short).join(wanted, "short", "left_semi").select(F.col("at._llm_id").alias("id"), F.col("at._llm_hash").alias("hash"))
-    texts = named.join(some, named["_llm_id"].eqNullSafe(some["id"]) & (named["_llm_hash"] == some["hash"]), "left_semi").select("_llm_text")
+    held = settle(several.select("cell", "short", "level").distinct())
+    crowd = held.groupBy("cell").agg(F.count(F.lit(1)).alias("crowd"))
+    order = Window.partitionBy("short", "level").orderBy(F.desc("crowd"), "cell")
+    used = held.join(crowd, "cell").withColumn("rank", F.row_number().over(order)).where(F.col("rank") > F.col("level").bitwiseAND((1 << 40) - 1))
+    first = used.groupBy("cell").agg(F.min("short").alias("first"), F.max("short").alias("last")).where("first != last")
+    return used.join(first, "cell").select("cell", "short", "first")
+
+
+def members(named: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(key, short, counts, tokens) of the sets whose short key is in ``wanted``.
+
+    A filter of fixed size tells most documents that are not wanted apart where they lie, so no text
+    is shuffled; a join settles the rest."""
+    bit = F.pmod("short", F.lit(FILTER_BITS))
+    bits = wanted.select(bit.alias("bit")).distinct()
+    mask = bits.groupBy(F.expr("bitmap_bucket_number(bit + 1)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit + 1))").alias("map"))
+    seen = np.zeros(FILTER_BITS, bool)
+    for r in mask.collect():  # 4096 bytes for each 32768 bits of the filter
+        part = np.unpackbits(np.frombuffer(bytes(r["map"]), np.uint8), bitorder="little")
+        seen[(r["bucket"] - 1) * len(part) : r["bucket"] * len(part)] = part[: FILTER_BITS - (r["bucket"] - 1) * len(part)]
+    packed = np.packbits(seen).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = Sets(size)
+        sets, asked, said = Sets(size), np.unpackbits(np.frombuffer(packed, np.uint8)), set()
         for _, t in _text.slices(batches, "_llm_text"):
-            own = sets.of(t)
-            counts = [np.bincount((x & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype(np.int32) for x in own]
-            keys = [_key(x) for x in own]
-            shorts = [int.from_bytes(k[:8], "big", signed=True) for k in keys]
+            own, keys, shorts = [], [], []
+            for x in sets.of(t):
+                if not len(x):
+                    continue
+                key = _key(x)
+                short = int.from_bytes(key[:8], "big", signed=True)
+                if not asked[short % FILTER_BITS] or key in said:
+                    continue
+                if len(said) < 500_000:  # only spares repeated rows
+                    said.add(key)
+                own.append(x)
+                keys.append(key)
+                shorts.append(short)
             yield pa.record_batch(
-                [pa.array(keys, pa.binary()), pa.array(shorts, pa.int64()), pa.array(counts, pa.list_(pa.int32())), pa.array([x.tobytes() for x in own], pa.binary())],
+                [pa.array(keys, pa.binary()), pa.array(shorts, pa.int64()), pa.array(list(map(_counts, own)), pa.binary()), pa.array([x.tobytes() for x in own], pa.binary())],
                 names=["key", "short", "counts", "tokens"],
             )
 
-    return texts.mapInArrow(run, "key binary, short bigint, counts array<int>, tokens binary")
+    made = named.select("_llm_text").mapInArrow(run, "key binary, short bigint, counts binary, tokens binary")
+    return made.join(wanted, "short", "left_semi").dropDuplicates(["key"])
+
+
+def possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose counts' bound allows a link."""
+    left = sets.select(F.col("key").alias("a"), F.col("counts").alias("ca"))
+    right = sets.select(F.col("key").alias("b"), F.col("counts").alias("cb"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fits = []
+            for x, y in zip(batch.column("ca").to_pylist(), batch.column("cb").to_pylist()):
+                x, y = _point(x), _point(y)
+                fits.append((100 + percent) * int(np.minimum(x, y).sum()) >= percent * int(x.sum() + y.sum()))
+            yield batch.select(["a", "b"]).filter(pa.array(fits, pa.bool_()))
+
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ca", "cb").mapInArrow(run, "a binary, b binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of keys whose sets link, by the counts' bound and then the sets."""
-    left = sets.select(F.col("key").alias("a"), F.col("counts").alias("ca"), F.col("tokens").alias("ta"))
-    right = sets.select(F.col("key").alias("b"), F.col("counts").alias("cb"), F.col("tokens").alias("tb"))
-    overlap = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.least(x, y)), F.lit(0).cast("bigint"), lambda s, x: s + x)
-    bound = (100 + percent) * overlap >= F.lit(percent) * (F.length("ta") / 8 + F.length("tb") / 8)
-    both = pairs.join(left, "a").join(right, "b").where(bound).select("a", "b", "ta", "tb")
+    """The pairs (a, b) of keys whose sets link."""
+    left = sets.select(F.col("key").alias("a"), F.col("tokens").alias("ta"))
+    right = sets.select(F.col("key").alias("b"), F.col("tokens").alias("tb"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -240,42 +311,91 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a binary, b binary").distinct()
 
 
-def searched(held: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, best: bool) -> DataFrame:
-    """Pairs of keys in a cell and not in a component whose bound allows a link: for each member
-    outside the cell's largest component all of them, or the best in each other component."""
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+    """Rows of one (cell, part) at a time, from batches that are sorted by them."""
+    kept: list[pd.DataFrame] = []
+    for batch in batches:
+        rows = batch.to_pandas()
+        if not len(rows):
+            continue
+        cell, part = rows["cell"].to_numpy(), rows["part"].to_numpy()
+        new = np.concatenate([[True], (cell[1:] != cell[:-1]) | (part[1:] != part[:-1])])
+        if kept:
+            last = kept[-1].iloc[-1]
+            new[0] = last["cell"] != rows["cell"].iloc[0] or last["part"] != rows["part"].iloc[0]
+        edges = [*np.flatnonzero(new).tolist(), len(rows)]
+        if edges[0]:
+            kept.append(rows.iloc[: edges[0]])
+        for a, b in zip(edges, edges[1:]):
+            if kept:
+                yield pd.concat(kept)
+            kept = [rows.iloc[a:b]]
+    if kept:
+        yield pd.concat(kept)
+
+
+def _pairs(one: pd.DataFrame, percent: int, most: int) -> tuple[set[tuple[bytes, bytes]], bool]:
+    """Pairs of one cell's part, and whether a member had more than ``most`` partners."""
+    asks = one["asks"].to_numpy()
+    index, query = one[~asks], one[asks]
+    out: set[tuple[bytes, bytes]] = set()
+    more = False
+    if not len(index) or not len(query):
+        return out, more
+    tree = CountTree(np.stack([_point(c) for c in index["counts"]]))
+    keys, comps = index["key"].to_numpy(), index["comp"].to_numpy()
+    for key, own, counts in zip(query["key"], query["comp"], query["counts"]):
+        hits, bounds = tree.search(_point(counts), percent)
+        other = comps[hits] != own
+        hits, bounds = hits[other], bounds[other]
+        if len(hits) > most:
+            more = True
+            hits = hits[np.lexsort([keys[hits], -bounds])[:most]]
+        out.update((min(key, keys[i]), max(key, keys[i])) for i in hits)
+    return out, more
+
+
+def searched(held: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, most: int, one_cell: bool) -> DataFrame:
+    """Pairs (a, b) of keys in a cell and not in a component whose bound allows a link: for each
+    member outside the cell's largest component the ``most`` best. A cell in which some had more is
+    told as well, as a row with that ``cell`` and no pair. With ``one_cell`` a member searches only
+    the largest of its cells."""
     comp = F.coalesce("label", "key")
     placed = held.join(labels, held["key"] == labels["node"], "left").select("cell", "key", comp.alias("comp"))
-    sizes = placed.groupBy("cell", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("key")).alias("mark"))
-    mark = F.sum(F.col("mark").cast("decimal(38,0)"))
+    sizes = placed.groupBy("cell", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("mark"))
     open_cells = (
-        sizes.groupBy("cell").agg(F.max(F.struct("n", "comp"))["comp"].alias("main"), F.count(F.lit(1)).alias("comps"), F.sum("n").alias("size"), mark.alias("mark"))
-        .where("comps > 1")
+        sizes.groupBy("cell").agg(F.max(F.struct("n", "comp"))["comp"].alias("main"), F.count(F.lit(1)).alias("comps"), F.sum("n").alias("size"), F.sum("mark").alias("mark"))
+        .where("comps > 1 and size > 2")  # the one pair of a cell of two has been tested
     )
     once = open_cells.groupBy("mark", "size").agg(F.min("cell").alias("cell"))  # cells with the same members
-    chosen = open_cells.join(once.select("cell"), "cell", "left_semi").select("cell", "main", (F.ceil(F.col("size") / CELL_ROWS)).cast("int").alias("parts"))
-    rows = placed.join(chosen, "cell").join(sets.select("key", "counts").dropDuplicates(["key"]), "key")
-    asks = (F.col("comp") != F.col("main")).alias("asks")
-    data = rows.select("cell", (F.pmod(F.xxhash64("key"), F.col("parts"))).cast("int").alias("part"), "key", "comp", "counts", F.lit(False).alias("asks"))
-    asking = rows.where(asks).select("cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "key", "comp", "counts", F.lit(True).alias("asks"))
-
-    def run(one: pd.DataFrame) -> pd.DataFrame:
-        index, query = one[~one["asks"]], one[one["asks"]]
-        out: set[tuple[bytes, bytes]] = set()
-        if len(index) and len(query):
-            tree = CountTree(np.stack(index["counts"].to_numpy()))
-            keys, comps = index["key"].map(bytes).to_numpy(), index["comp"].map(bytes).to_numpy()
-            for key, own, counts in zip(query["key"].map(bytes), query["comp"].map(bytes), query["counts"]):
-                hits, bounds = tree.search(np.asarray(counts), percent)
-                other = comps[hits] != own
-                hits, bounds = hits[other], bounds[other]
-                if best:
-                    order = np.argsort(-bounds, kind="stable")
-                    _, first = np.unique(comps[hits][order], return_index=True)
-                    hits = hits[order][first]
-                out.update((min(key, keys[i]), max(key, keys[i])) for i in hits)
-        return pd.DataFrame(sorted(out), columns=["a", "b"])
-
-    return data.unionByName(asking).groupBy("cell", "part").applyInPandas(run, "a binary, b binary").distinct()
+    chosen = open_cells.join(once.select("cell"), "cell", "left_semi").select("cell", "main", "size", (F.ceil(F.col("size") / CELL_ROWS)).cast("int").alias("parts"))
+    rows = placed.join(chosen, "cell")
+    asks = F.col("comp") != F.col("main")
+    if one_cell:
+        best = Window.partitionBy("key").orderBy(F.when(asks, F.col("size")).desc_nulls_last(), "cell")
+        rows = rows.withColumn("chosen", asks & (F.row_number().over(best) == 1))
+        asks = F.col("chosen")
+        busy = rows.where("chosen").select("cell").distinct()
+        rows = rows.join(busy, "cell", "left_semi")
+    rows = rows.join(sets.select("key", "counts"), "key")
+    own = F.struct((F.pmod(F.xxhash64("key"), F.col("parts"))).cast("int").alias("part"), F.lit(False).alias("asks"))
+    every = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.struct(i.alias("part"), F.lit(True).alias("asks")))
+    spread = F.explode(F.when(asks, F.concat(F.array(own), every)).otherwise(F.array(own)))
+    dealt = rows.withColumn("to", spread).select("cell", "to.part", "key", "comp", "counts", "to.asks")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        said: set[tuple[bytes, bytes]] = set()
+        for one in _groups(batches):
+            found, more = _pairs(one, percent, most)
+            fresh = sorted(found - said)
+            if len(said) < 500_000:  # only spares what the task has said before
+                said.update(fresh)
+            cell = [None] * len(fresh) + [int(one["cell"].iloc[0])] * more
+            pair = [[p[k] for p in fresh] + [None] * more for k in (0, 1)]
+            yield pa.record_batch([*(pa.array(x, pa.binary()) for x in pair), pa.array(cell, pa.int64())], names=["a", "b", "cell"])
+
+    placed_rows = dealt.repartition("cell", "part").sortWithinPartitions("cell", "part")
+    return placed_rows.mapInArrow(run, "a binary, b binary, cell bigint").distinct()
 
 
 def ngram_join(docs: DataFrame, size: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -291,26 +411,31 @@ def ngram_join(docs: DataFrame, size: int = 4, percent: int = 85, id_col: str =
     named = _named(docs, id_col, text_col)
     keyed = settle(classes(named, size))
     held = settle(cells(named, size, percent))
-    sets = settle(members(named, keyed, held.select("short").distinct(), size))
-    names = settle(sets.select("short", "key").distinct())
+    sets = settle(members(named, held.select("short").distinct(), size))
+    names = sets.select("short", "key")
     first = names.select(F.col("short").alias("first"), F.col("key").alias("first_key"))
     placed = settle(held.join(names, "short").join(first, "first").select("cell", "key", "first_key").distinct())
 
     stars = placed.where("key != first_key").select(F.least("key", "first_key").alias("a"), F.greatest("key", "first_key").alias("b")).distinct()
-    tested = settle(stars)
+    tested = settle(possible(stars, sets, percent))
     links = settle(verified(tested, sets, percent))
     labels = components(links)
-    # Sets of one class are never placed twice, so a cell's members are its distinct keys.
-    inside = placed.select("cell", "key").distinct()
-    for best in (True, False):
-        pairs = settle(searched(inside, labels, sets, percent, best).join(tested, ["a", "b"], "left_anti"))
-        if pairs.isEmpty():
-            continue
+    inside, most, one_cell = placed.select("cell", "key").distinct(), PARTNERS, True
+    while True:
+        found = settle(searched(inside, labels, sets, percent, most, one_cell))
+        pairs = found.where("a is not null").select("a", "b").join(tested, ["a", "b"], "left_anti")
         more = settle(verified(pairs, sets, percent))
         tested = tested.unionByName(pairs)
         if not more.isEmpty():
             links = links.unionByName(more)
             labels = components(links)
+        if one_cell:
+            one_cell = False
+            continue
+        unfinished = found.where("cell is not null").select("cell").distinct()
+        if unfinished.isEmpty():
+            break
+        inside, most = inside.join(unfinished, "cell", "left_semi"), most * 8
 
     labelled = keyed.join(labels, keyed["key"] == labels["node"], "left").select(keyed["*"], F.coalesce("label", "key").alias("comp"))
     smallest = keyed.where("key is not null").groupBy("key").agg(F.min("_llm_id").alias("id")).join(labels, F.col("key") == F.col("node"), "left")

@@ -163,11 +163,15 @@ def fit(docs: DataFrame, usable: str, text_col: str = "text", lang_col: str = "l
     """Fits on rows of ``docs`` where the SQL condition ``usable`` holds and neither text nor
     language is null; an equal share of ``max_rows`` for each language."""
     rows = docs.where(usable).select(F.col(lang_col).alias("_llm_lang"), F.col(text_col).alias("_llm_text")).dropna()
-    n = rows.select("_llm_lang").distinct().count()
-    if not n:
+    counts = {r["_llm_lang"]: r["n"] for r in rows.groupBy("_llm_lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a language
+    if not counts:
         return Model({}, [], np.zeros((1 << BITS, 0)), np.zeros(0))
+    quota = max(1, max_rows // len(counts))
+    # Of a language with many texts only one in so many is compared, three times what is wanted.
+    one_in = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, max(1, n // (3 * quota)))))
+    few = rows.where(F.pmod(F.xxhash64("_llm_text"), one_in[F.col("_llm_lang")]) == 0)
     order = Window.partitionBy("_llm_lang").orderBy(F.xxhash64("_llm_text"))
-    chosen = rows.withColumn("_llm_rank", F.row_number().over(order)).where(F.col("_llm_rank") <= max(1, max_rows // n))
+    chosen = few.withColumn("_llm_rank", F.row_number().over(order)).where(F.col("_llm_rank") <= quota)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, t in _text.slices(batches, "_llm_text", 1 << 19):

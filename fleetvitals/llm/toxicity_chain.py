@@ -142,10 +142,10 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str], max_rows
     as positive if any is. Without usable labels every probability is 0."""
     flags = {name: f"_llm_y{i}" for i, name in enumerate(categories)}
     marked = labels.select(F.col("doc_id").alias("_llm_id"), *(F.expr(c).cast("int").alias(flags[n]) for n, c in categories.items())).dropna()
-    chosen = (
-        marked.groupBy("_llm_id").agg(*(F.max(f).alias(f) for f in flags.values()))
-        .orderBy(F.xxhash64("_llm_id"), "_llm_id").limit(max_rows)
-    )
+    labelled = marked.groupBy("_llm_id").agg(*(F.max(f).alias(f) for f in flags.values()))
+    # Few more than are wanted are compared, however many labels there are.
+    one_in = F.pmod(F.xxhash64("_llm_id"), F.lit(max(1, labelled.count() // max_rows)))
+    chosen = labelled.where(one_in == 0).orderBy(F.xxhash64("_llm_id"), "_llm_id").limit(max_rows)
     rows = (
         docs.select(F.col("doc_id").alias("_llm_id"), F.coalesce(F.col("text"), F.lit("")).alias("_llm_text"))
         .join(F.broadcast(chosen), "_llm_id")  # at most max_rows rows of a few numbers

@@ -1,12 +1,11 @@
 """Column helpers shared by the operators."""
 
 from .numeric import early_percent, mean_of, ratio, round_ratio, scaled, times_div, whole, whole_div
-from .text import cut, drop_rollover, style_100
+from .text import cut, style_100
 from .time import seconds_between, shift_millis
 
 __all__ = [
     "cut",
-    "drop_rollover",
     "early_percent",
     "mean_of",
     "ratio",

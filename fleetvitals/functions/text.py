@@ -24,8 +24,3 @@ def style_100(value: Column | str) -> Column:
         F.lpad(F.date_format(value, "h"), 2, " "),
         F.date_format(value, ":mma"),
     )
-
-
-def drop_rollover(path: Column | str) -> Column:
-    """Take the rollover number off a file name: ``log_12.trc`` becomes ``log.trc``."""
-    return F.regexp_replace(as_col(path), r"_[^_/\\.]*(\.[^./\\]*)$", "$1")

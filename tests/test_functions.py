@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from fleetvitals.functions import (
     cut,
-    drop_rollover,
     early_percent,
     mean_of,
     ratio,
@@ -103,17 +102,6 @@ def test_cut(spark):
     assert one(spark, cut("s", 5), s="abc  defgh") == "abc"
 
 
-@pytest.mark.parametrize(
-    "path, expected",
-    [
-        ("C:\\x\\log_12.trc", "C:\\x\\log.trc"),
-        ("/x_1/log.trc", "/x_1/log.trc"),
-        ("/x/a_b_3.trc", "/x/a_b.trc"),
-    ],
-)
-def test_drop_rollover(spark, path, expected):
-    assert one(spark, drop_rollover("p"), p=path) == expected
-
 
 def test_seconds_count_boundaries(spark):
     assert (

@@ -153,18 +153,22 @@ def mixed(h: np.ndarray) -> np.ndarray:
 _STEP = _odd(77, 64)
 
 
+def rolled(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Hash of ``size`` hashes in a row at each place that has them."""
+    out = np.zeros(max(0, len(hashes) - size + 1), np.uint64)
+    for k in range(size):
+        out += hashes[k : k + len(out)] * _STEP[k]
+    return mixed(out)
+
+
 def shingles(hashes: np.ndarray, first: np.ndarray, size: int) -> list[np.ndarray]:
     """For each text the sorted distinct hashes of ``size`` words in a row; of all its words if it
     has fewer; nothing for a text without words."""
-    n = len(hashes)
-    rolled = np.zeros(max(0, n - size + 1), np.uint64)
-    for k in range(size):
-        rolled += hashes[k : k + len(rolled)] * _STEP[k]
-    rolled = mixed(rolled)
+    grams = rolled(hashes, size)
     found = []
     for lo, hi in zip(first[:-1].tolist(), first[1:].tolist()):
         if hi - lo >= size:
-            one = np.sort(rolled[lo : hi - size + 1])
+            one = np.sort(grams[lo : hi - size + 1])
             found.append(one[np.concatenate([[True], one[1:] != one[:-1]])])
         elif hi > lo:
             short = (hashes[lo:hi] * _STEP[: hi - lo]).sum(dtype=np.uint64) + np.uint64(hi - lo)

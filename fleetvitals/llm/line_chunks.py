@@ -7,11 +7,16 @@ and meet by their bytes, so equality is a comparison of bytes. Of each repeated
 
 What is removed are runs of repeated chunks, ``MIN_WORDS`` long at least among those whose kept
 occurrence is in one other document; short common phrases that happen to recur are left alone.
+
+``passage_dedup`` removes whole passages of ``PASSAGE_WORDS`` words or more, to the word. A hash rolls
+over ``GRAM`` words; the least of each ``WINDOW`` in a row is an anchor, so a passage has two anchors
+at least, the same ones wherever it stands. The first place of an anchor is asked for its words, and
+the match is extended on both sides by comparing the words themselves.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetvitals.llm import _text
+from fleetvitals.llm._scratch import settle
 
 MIN_WORDS = 18
 #: Chunks of fewer words are not looked up; they go with the chunks on both sides of them.
@@ -28,6 +34,13 @@ LONG_LINE_BITS = 5
 #: The rolling hash ends a chunk in 3 of 8 cases.
 ENDS_BELOW = np.uint64(3 << 61)
 
+#: ``passage_dedup``: least words of a passage, words of an anchor, anchors of which one is taken,
+#: and words beyond the outer anchors that are compared.
+PASSAGE_WORDS = 50
+GRAM = 8
+WINDOW = 20
+BEYOND = 64
+
 _CLOSING = np.zeros(256, bool)
 _CLOSING[list(b".,;:!?")] = True
 
@@ -129,14 +142,8 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_i
     text. Texts without repeats are returned untouched, null texts stay null,
     and a text that is a repeat from end to end becomes empty. Rows equal in id and text are one
     document: they do not remove each other. Empty tables give empty ones."""
-    lists = repeats(occurrences(docs, id_col, text_col))
-    column = docs.columns.index(text_col)
-    plain = docs.select("*", *_keyed(docs, id_col, text_col))
-    on = plain["_llm_id"].eqNullSafe(lists["_llm_id"]) & (plain["_llm_hash"] == lists["_llm_hash"])
-    joined = plain.join(lists, on, "left").select(*(plain[c] for c in docs.columns), lists["_llm_repeats"])
 
     def cut(t: _text.Texts, lists: list) -> list[tuple[bytes, int, list[tuple[int, int]]]]:
-        """For each text, what is left, the words removed and the spans removed."""
         hasher, out = _hasher(), []
         c = Chunks(t, hasher)
         for i, entries in enumerate(lists):
@@ -147,12 +154,26 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_i
                 to = int(c.start[lo + b + 1]) - base if lo + b + 1 < hi else len(text)
                 spans.append((int(c.start[lo + a]) - base, to))
                 gone += int(c.words[lo + a : lo + b + 1].sum())
-            if spans:
-                edges = [0, *(x for s in spans for x in s), len(text)]
-                text = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])).rstrip()
-            out.append((text, gone, spans))
+            out.append((_without(text, spans), gone, spans))
         return out
 
+    return _applied(docs, repeats(occurrences(docs, id_col, text_col)), cut, id_col, text_col, detail)
+
+
+def _without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
+    if not spans:
+        return text
+    edges = [0, *(x for s in spans for x in s), len(text)]
+    return b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])).rstrip()
+
+
+def _applied(docs: DataFrame, lists: DataFrame, cut: Callable, id_col: str, text_col: str, detail: bool) -> DataFrame:
+    """``docs`` after ``cut``, which gives for each text with an entry in ``lists`` what is left, the
+    words removed and the spans removed."""
+    column = docs.columns.index(text_col)
+    plain = docs.select("*", *_keyed(docs, id_col, text_col))
+    on = plain["_llm_id"].eqNullSafe(lists["_llm_id"]) & (plain["_llm_hash"] == lists["_llm_hash"])
+    joined = plain.join(lists, on, "left").select(*(plain[c] for c in docs.columns), lists["_llm_repeats"])
     counted = "n_chars" in docs.columns and docs.schema["n_chars"].dataType.simpleString() in ("bigint", "int")
     size_at = docs.columns.index("n_chars") if counted else -1
     id_at = docs.columns.index(id_col)
@@ -185,6 +206,167 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_i
     return joined.mapInArrow(run, docs.schema)
 
 
+def anchors(t: _text.Texts, hasher: _text.Hasher) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, word number in it and hash of each anchor."""
+    w = _text.words(t, _text.SOLID)
+    n = len(w) - GRAM - WINDOW + 2
+    if n <= 0:
+        none = np.empty(0, np.int64)
+        return none, none, np.empty(0, np.uint64)
+    rolled = _text.rolled(hasher.of(t.data, w.start, w.end), GRAM)
+    text = w.text_of()
+    at = np.flatnonzero(text[:n] == text[GRAM + WINDOW - 2 :])  # windows within one text
+    least = np.lib.stride_tricks.sliding_window_view(rolled, WINDOW)[at].argmin(axis=1)
+    at = np.unique(at + least)
+    return text[at], at - w.first[text[at]], rolled[at]
+
+
+def anchor_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per anchor: id, text hash and word number in one number, hash of its words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = _hasher()
+        for batch, t in _text.slices(batches, "_llm_text"):
+            row, word, key = anchors(t, hasher)
+            at = (batch.column("_llm_hash").to_numpy()[row].astype(np.int64) << 32) + word
+            yield pa.record_batch([batch.column("_llm_id").take(pa.array(row)), pa.array(at), pa.array(key.view(np.int64))], names=["_llm_id", "at", "key"])
+
+    ids = docs.schema[id_col].dataType.simpleString()
+    picked = docs.select(*_keyed(docs, id_col, text_col), F.col(text_col).alias("_llm_text"))
+    return picked.mapInArrow(run, f"_llm_id {ids}, at bigint, key bigint")
+
+
+def regions(seeds: list[tuple], least: int = PASSAGE_WORDS) -> list[tuple]:
+    """(keeper, shift, word numbers) of the anchors (word number, keeper, its word number) that can
+    lie in a passage: a passage has two, so another stands near by. Anchors of one keeper at one shift
+    are one region as long as the words beyond them touch."""
+    seeds = sorted(set(seeds), key=lambda s: s[0])
+    at = np.array([s[0] for s in seeds])
+    near = np.diff(at) <= least
+    asked = np.concatenate([near, [False]]) | np.concatenate([[False], near])
+    groups: dict[tuple, list[int]] = {}
+    last, taken = None, 0
+    for i in np.flatnonzero(asked).tolist():
+        word, keeper, kept = seeds[i]
+        if (keeper, kept) != last or word - taken >= WINDOW:  # else one word or phrase over and over
+            groups.setdefault((keeper, word - kept), []).append(word)
+            last, taken = (keeper, kept), word
+    out = []
+    for (keeper, shift), words in groups.items():
+        for part in np.split(np.array(words), np.flatnonzero(np.diff(words) > 2 * BEYOND) + 1):
+            out.append((keeper, shift, part.tolist()))
+    return out
+
+
+def _asks(docs: DataFrame, least: int, id_col: str, text_col: str) -> DataFrame:
+    """What each document asks of which keeper: the shift, its own anchors and the keeper's first and
+    last one."""
+    found = anchor_rows(docs, id_col, text_col)
+    kept = found.groupBy("key").agg(F.min(F.struct("_llm_id", "at")).alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n")
+    low = lambda c: F.col(c).bitwiseAND(0xFFFFFFFF).cast("int")
+    high = lambda c: F.shiftright(c, 32).cast("int")
+    seed = F.struct(low("at").alias("word"), F.col("kept._llm_id").alias("keeper"), high("kept.at").alias("keeper_hash"), low("kept.at").alias("kept"))
+    seeds = (
+        found.join(kept, "key").where(~F.struct("_llm_id", "at").eqNullSafe(F.col("kept")))
+        .groupBy("_llm_id", high("at").alias("_llm_hash")).agg(F.collect_list(seed).alias("seeds")).where(F.size("seeds") > 1)
+    )
+    ids = docs.schema[id_col].dataType.simpleString()
+    names = ["_llm_id", "_llm_hash", "keeper", "keeper_hash", "first", "last", "shift", "words"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, out = [], []
+            for i, entries in enumerate(batch.column("seeds").to_pylist()):
+                for (keeper, text), shift, words in regions([(e["word"], (e["keeper"], e["keeper_hash"]), e["kept"]) for e in entries], least):
+                    rows.append(i)
+                    out.append((keeper, text, words[0] - shift, words[-1] - shift, shift, words))
+            own = batch.select(["_llm_id", "_llm_hash"]).take(pa.array(rows, pa.int64()))
+            kinds = [batch.schema.field("_llm_id").type, *[pa.int32()] * 4, pa.list_(pa.int32())]
+            yield pa.record_batch([*own.columns, *(pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds))], names=names)
+
+    return seeds.mapInArrow(run, f"_llm_id {ids}, _llm_hash int, keeper {ids}, keeper_hash int, first int, last int, shift int, words array<int>")
+
+
+def _copies(docs: DataFrame, asks: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The words that are asked for, each stretch once: ``BEYOND`` words more on both sides."""
+    wanted = asks.groupBy("keeper", "keeper_hash").agg(F.collect_set(F.struct("first", "last")).alias("asked"))
+    # All columns go along, so that Spark shuffles the texts once for this join and for the last one.
+    plain = docs.select("*", *_keyed(docs, id_col, text_col))
+    column = docs.columns.index(text_col)
+    on = plain["_llm_id"].eqNullSafe(wanted["keeper"]) & (plain["_llm_hash"] == wanted["keeper_hash"])
+    ids = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            named = batch.rename_columns([f"c{i}" for i in range(batch.num_columns - 3)] + ["keeper", "keeper_hash", "asked"])
+            for part, t in _text.slices(iter([named]), f"c{column}"):
+                w, view = _text.words(t, _text.SOLID), t.data.tobytes()
+                rows, out = [], []
+                for i, asked in enumerate(part.column("asked").to_pylist()):
+                    lo, hi = int(w.first[i]), int(w.first[i + 1])
+                    for one in asked:
+                        a, b = lo + max(0, one["first"] - BEYOND), min(hi, lo + one["last"] + GRAM + BEYOND)
+                        if a < b:
+                            rows.append(i)
+                            out.append((one["first"], one["last"], view[w.start[a] : w.end[b - 1]]))
+                own = part.select(["keeper", "keeper_hash"]).take(pa.array(rows, pa.int64()))
+                columns = [pa.array([o[k] for o in out], kind) for k, kind in enumerate((pa.int32(), pa.int32(), pa.binary()))]
+                yield pa.record_batch([*own.columns, *columns], names=["keeper", "keeper_hash", "first", "last", "copy"])
+
+    found = plain.join(wanted, on).select(*(plain[c] for c in docs.columns), *(wanted[c] for c in ("keeper", "keeper_hash", "asked")))
+    found = found.mapInArrow(run, f"keeper {ids}, keeper_hash int, first int, last int, copy binary")
+    return found.groupBy("keeper", "keeper_hash", "first", "last").agg(F.min("copy").alias("copy"))  # equal rows tell the same
+
+
+def matched(own: list[bytes], entries: list[dict], least: int) -> np.ndarray:
+    """Which words lie in a run of ``least`` words that a keeper has as well, word for word."""
+    gone = np.zeros(len(own), bool)
+    for e in entries:
+        copy, done = e["copy"].split(), 0
+        back = e["shift"] + max(0, e["first"] - BEYOND)  # own word number less number in the copy
+        low, high = max(0, back), min(len(own), len(copy) + back)
+        for word in sorted(e["words"]):
+            a = b = word
+            if word < done or not low <= word < high:
+                continue
+            while b < high and own[b] == copy[b - back]:
+                b += 1
+            while a > low and own[a - 1] == copy[a - 1 - back]:
+                a -= 1
+            done = b
+            if b - a >= least:
+                gone[a:b] = True
+    return gone
+
+
+def passage_dedup(docs: DataFrame, least: int = PASSAGE_WORDS, id_col: str = "doc_id", text_col: str = "text", detail: bool = False) -> DataFrame:
+    """Like ``line_dedup``, but what goes are whole runs of ``least`` words or more that an earlier
+    place has as well, from their first word to their last; words are compared, not hashes.
+    ``least`` is ``GRAM + 2 * WINDOW - 1`` at least. What is asked for is written down."""
+    if least < GRAM + 2 * WINDOW - 1:
+        raise ValueError("shorter passages need smaller windows")
+    asks = settle(_asks(docs, least, id_col, text_col))
+    copies = _copies(docs, asks, id_col, text_col)
+    on = asks["keeper"].eqNullSafe(copies["keeper"])
+    for c in ("keeper_hash", "first", "last"):
+        on &= asks[c] == copies[c]
+    entry = F.struct(asks["first"], asks["shift"], asks["words"], copies["copy"])
+    lists = asks.join(copies, on).groupBy("_llm_id", "_llm_hash").agg(F.collect_list(entry).alias("_llm_repeats"))
+
+    def cut(t: _text.Texts, lists: list) -> list[tuple[bytes, int, list[tuple[int, int]]]]:
+        w, out = _text.words(t, _text.SOLID), []
+        for i, entries in enumerate(lists):
+            text, start = t.raw(i), w.start[w.first[i] : w.first[i + 1]] - t.offsets[i]
+            gone = matched(text.split(), entries, least)
+            edges = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]])))
+            bounds = np.append(start, len(text))[edges].tolist()
+            spans = list(zip(bounds[::2], bounds[1::2]))
+            out.append((_without(text, spans), int(gone.sum()), spans))
+        return out
+
+    return _applied(docs, lists, cut, id_col, text_col, detail)
+
+
 def _put(column: pa.Array, values: dict) -> pa.Array:
     if not values:
         return column

@@ -83,7 +83,7 @@ def op9_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op10.line_dedup(table(spark, sf_dir, "documents"), detail=True)
+    return op10.passage_dedup(table(spark, sf_dir, "documents"), detail=True)
 
 
 QUERIES = {

@@ -136,3 +136,55 @@ def test_runs():
     assert line_chunks.removals(np.array([0, 2, 4]), same, words, 18) == [(0, 2)]
     assert line_chunks.removals(np.array([0, 2, 3]), np.array([1, 2, 3]), words, 18) == []
     assert line_chunks.removals(np.array([3, 3, 2, 2]), np.zeros(4, np.int64), words, 18) == [(2, 3)]
+
+
+def passages(rows, least=line_chunks.PASSAGE_WORDS):
+    """The words of each text that lie in runs of ``least`` words which an earlier text has as well."""
+    seen, out = set(), {}
+    for d, t in sorted(rows):
+        words, gone = t.split(), set()
+        grams = [tuple(words[k : k + least]) for k in range(len(words) - least + 1)]
+        for k, g in enumerate(grams):
+            if g in seen:
+                gone.update(range(k, k + least))
+        seen.update(grams)
+        out[d] = " ".join(x for k, x in enumerate(words) if k not in gone)
+    return out
+
+
+def test_passages_of_just_over_fifty_words_go_whole(documents, prose):
+    rows = []
+    for k in range(60):
+        p = prose(50 + k % 11, 20_000 + k, 5000)
+        p = p.replace(".", "") if k % 2 else p
+        for j in range(3):
+            at = 3 * k + j
+            rows.append((at, f"{prose(60, 30_000 + at, 5000)}{' ' if j else chr(10)}{p} {prose(45, 40_000 + at, 5000)}"))
+    out = {r.doc_id: r.text for r in line_chunks.passage_dedup(documents(rows)).collect()}
+    want = passages(rows)
+    assert {d: " ".join(t.split()) for d, t in out.items()} == want
+    assert sum(len(t.split()) for t in want.values()) == sum(105 + (50 + d // 3 % 11) * (d % 3 == 0) for d in want)
+
+
+def test_shorter_repeats_and_repeats_within_a_text(documents, prose):
+    short, long = prose(49, 1, 5000).replace(".", ""), prose(130, 2, 5000)
+    rows = [(i, f"{prose(80, 500 + i, 5000)} {short} {prose(80, 600 + i, 5000)}") for i in range(6)]
+    rows += [(20, f"{long} {prose(30, 3, 5000)} {long}"), (21, "x " * 400), (22, "y " * 99 + "x " * 300), (23, long)]
+    out = {r.doc_id: r.text for r in line_chunks.passage_dedup(documents(rows)).collect()}
+    assert all(out[i] == t for i, t in rows[:6])
+    assert out[20] == rows[6][1][: -len(long)].rstrip() and out[23] == ""
+    assert out[21].count("x") < 100 and out[22].count("x") < line_chunks.WINDOW + line_chunks.GRAM and 0 < out[22].count("y") < 99
+
+
+def test_passages_with_odd_rows(documents, clashing, odd, prose):
+    text = prose(100, 12)
+    dedup = line_chunks.passage_dedup
+    assert sorted(((r.doc_id, r.text) for r in dedup(documents(odd)).collect()), key=repr) == sorted(odd, key=repr)
+    assert [r.text for r in dedup(documents([(1, text), (1, text)])).collect()] == [text, text]
+    assert {r.doc_id: r.text for r in dedup(documents([(1, text), (2, text), (None, text)])).collect()} == {1: "", 2: "", None: text}
+    extra = clashing([(1, "é " + text), (2, "é " + text)])
+    out = {r.doc_id: r for r in dedup(extra).collect()}
+    assert out[1].text == "é " + text and out[2].text == "" and out[2].n_chars == 0 and out[2].body == "xbody"
+    one = {r.doc_id: r for r in dedup(extra, detail=True).collect()}[2]
+    assert one.removed_words == 101 and [(s["start"], s["end"]) for s in one.spans] == [(0, len(("é " + text).encode()))]
+    assert dedup(documents([])).collect() == []

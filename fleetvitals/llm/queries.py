@@ -12,6 +12,7 @@ from fleetvitals.llm import language_id as op6
 from fleetvitals.llm import license_scan as op1
 from fleetvitals.llm import line_chunks as op10
 from fleetvitals.llm import lsa_decontam as op8
+from fleetvitals.llm import merkle_manifest as op12
 from fleetvitals.llm import token_shards as op2
 from fleetvitals.llm import toxicity_chain as op7
 from fleetvitals.llm import warc_zst as op3
@@ -86,14 +87,43 @@ def op10_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10.passage_dedup(table(spark, sf_dir, "documents"), detail=True)
 
 
+#: The columns of a leaf, in their order.
+LEAF = ("doc_id", "source", "lang", "n_chars", "text")
+CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    changed = [F.translate(c, CAPITALS, SMALL) if c == "text" else F.col(c) for c in LEAF]
+    claim = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, op12.leaf(changed))
+    found = op12.manifest(docs, "doc_id", "lang", LEAF, claim)
+    return found.select("doc_id", "leaf", "subroot", "root", op12.proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", "verified")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_license_scan, op2_token_shards, op3_warc_zst, op4_chunk_recipes, op5_count_rtree_join,
         op6_language_id, op7_toxicity_chain, op8_lsa_decontam, op9_best_fit_pack, op10_line_chunks,
+        op12_merkle_manifest,
     )
 }
 
+
+
+def _crc32(value: str) -> str:
+    """DuckDB SQL for the unsigned CRC-32 of an ASCII string."""
+    bit = "CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END"
+    byte = f"list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: {bit})"
+    bytes_ = f"list_transform(string_split({value}, ''), lambda c: ascii(c)::BIGINT)"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {bytes_}), lambda a, b: {byte}), 4294967295)"
+
+
+def _merkle(text: str) -> str:
+    parts = [text if c == "text" else f"CAST({c} AS VARCHAR)" for c in LEAF]
+    return "sha256(" + " || ".join(f"coalesce(strlen({p}) || ':' || {p}, '-')" for p in parts) + ")"
+
+
 ORACLE = {
     "op3_warc_zst": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
@@ -110,4 +140,42 @@ ORACLE = {
         g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256
         FROM d JOIN g USING (t)""",
+    "op12_merkle_manifest": f"""
+        WITH RECURSIVE leaves AS (
+          SELECT doc_id, lang, coalesce('=' || lang, '-') AS g, {_merkle("text")} AS leaf,
+                 CASE WHEN {_crc32("CAST(doc_id AS VARCHAR)")} % 3 = 0 THEN {_merkle(f"translate(text, '{CAPITALS}', '{SMALL}')")} ELSE {_merkle("text")} END AS claim
+          FROM documents),
+        placed AS (
+          SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, row_number() OVER () AS row FROM leaves),
+        low(g, level, i, node, n) AS (
+          SELECT g, 0, i, leaf, count(*) OVER (PARTITION BY g) FROM placed
+          UNION ALL
+          SELECT g, level + 1, i, node, count(*) OVER (PARTITION BY g) FROM (
+            SELECT g, level, i // 8 AS i, sha256(string_agg(node, '' ORDER BY i)) AS node FROM low WHERE n > 1 GROUP BY g, level, i // 8)),
+        subroots AS (
+          SELECT g, node AS subroot, level AS height, row_number() OVER (ORDER BY g) - 1 AS k FROM low WHERE n = 1),
+        high(level, i, node, n) AS (
+          SELECT 0, k, subroot, count(*) OVER () FROM subroots
+          UNION ALL
+          SELECT level + 1, i, node, count(*) OVER () FROM (
+            SELECT level, i // 8 AS i, sha256(string_agg(node, '' ORDER BY i)) AS node FROM high WHERE n > 1 GROUP BY level, i // 8)),
+        top AS (SELECT node AS root, level AS height FROM high WHERE n = 1),
+        runs AS (
+          SELECT p.row, low.level AS step,
+                 coalesce(string_agg(node, '' ORDER BY low.i) FILTER (low.i < p.i >> (3 * low.level)), '') AS l,
+                 coalesce(string_agg(node, '' ORDER BY low.i) FILTER (low.i > p.i >> (3 * low.level)), '') AS r
+          FROM placed p JOIN low ON p.g = low.g AND low.n > 1 AND low.i >> 3 = p.i >> (3 * low.level + 3) GROUP BY 1, 2
+          UNION ALL
+          SELECT p.row, s.height + high.level,
+                 coalesce(string_agg(node, '' ORDER BY high.i) FILTER (high.i < s.k >> (3 * high.level)), ''),
+                 coalesce(string_agg(node, '' ORDER BY high.i) FILTER (high.i > s.k >> (3 * high.level)), '')
+          FROM placed p JOIN subroots s USING (g) JOIN high ON high.n > 1 AND high.i >> 3 = s.k >> (3 * high.level + 3) GROUP BY 1, 2),
+        proofs AS (SELECT row, sha256(string_agg(l || r, '' ORDER BY step)) AS proof FROM runs GROUP BY row),
+        folds(row, step, node) AS (
+          SELECT row, 0, claim FROM placed
+          UNION ALL
+          SELECT f.row, f.step + 1, sha256(l || node || r) FROM folds f JOIN runs ON runs.row = f.row AND runs.step = f.step),
+        folded AS (SELECT row, arg_max(node, step) AS node FROM folds GROUP BY row)
+        SELECT doc_id, leaf, subroot, root, coalesce(proof, sha256('')) AS proof_sha256, f.node AS folded_root, f.node = root AS verified
+        FROM placed p JOIN subroots USING (g) CROSS JOIN top JOIN folded f ON f.row = p.row LEFT JOIN proofs ON proofs.row = p.row""",
 }

@@ -14,6 +14,7 @@ from fleetvitals.llm import line_chunks as op10
 from fleetvitals.llm import lsa_decontam as op8
 from fleetvitals.llm import merkle_manifest as op12
 from fleetvitals.llm import token_shards as op2
+from fleetvitals.llm import prefix_trie as op11
 from fleetvitals.llm import toxicity_chain as op7
 from fleetvitals.llm import warc_zst as op3
 from fleetvitals.llm._scratch import table
@@ -87,6 +88,12 @@ def op10_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10.passage_dedup(table(spark, sf_dir, "documents"), detail=True)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = op11.turns_of(table(spark, sf_dir, "conversations"))
+    taken = F.crc32(F.col("conv_id").cast("string")) % 9
+    return op11.trie(op11.rebuilt(own, F.col("conv_id") - F.col("conv_id") % 5, taken))
+
+
 #: The columns of a leaf, in their order.
 LEAF = ("doc_id", "source", "lang", "n_chars", "text")
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -105,7 +112,7 @@ QUERIES = {
     for f in (
         op1_license_scan, op2_token_shards, op3_warc_zst, op4_chunk_recipes, op5_count_rtree_join,
         op6_language_id, op7_toxicity_chain, op8_lsa_decontam, op9_best_fit_pack, op10_line_chunks,
-        op12_merkle_manifest,
+        op11_prefix_trie, op12_merkle_manifest,
     )
 }
 
@@ -140,6 +147,33 @@ ORACLE = {
         g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256
         FROM d JOIN g USING (t)""",
+    "op11_prefix_trie": f"""
+        WITH t AS (
+          SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+        own AS (
+          SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, left(sha256(strlen(role) || ':' || role || text), 32)) AS turns,
+                 ({_crc32("CAST(conv_id AS VARCHAR)")} % 9)::INTEGER AS h
+          FROM t GROUP BY conv_id),
+        convs AS (
+          SELECT own.conv_id, list_concat(coalesce(list_slice(base.turns, 1, own.h), []), list_slice(own.turns, own.h + 1, len(own.turns))) AS turns
+          FROM own LEFT JOIN own base ON base.conv_id = own.conv_id - own.conv_id % 5),
+        members AS (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS depth FROM convs),
+        nodes AS (
+          SELECT list_slice(turns, 1, depth) AS p, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+                 sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (len(turns) = depth), '')) AS ends_sha256
+          FROM members GROUP BY 1, 2),
+        kids AS (SELECT list_slice(p, 1, depth - 1) AS p, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+        own_part AS (
+          SELECT nodes.*, coalesce(n_children, 0) AS n_children,
+                 CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * strlen(nodes.p[nodes.depth].text) END AS saved
+          FROM nodes LEFT JOIN kids ON nodes.p = kids.p),
+        climbed AS (SELECT p, unnest(range(0, depth + 1)) AS k, n_children, saved FROM own_part),
+        sums AS (
+          SELECT list_slice(p, 1, k) AS p, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved)::BIGINT AS saved_tokens
+          FROM climbed GROUP BY 1)
+        SELECT o.conv_id, o.depth, parent.conv_id AS parent_conv_id, o.n_convs, o.n_children, n_leaves, saved_tokens, o.ends_sha256
+        FROM own_part o JOIN sums ON sums.p = o.p
+        LEFT JOIN nodes parent ON o.depth > 0 AND parent.p = list_slice(o.p, 1, o.depth - 1)""",
     "op12_merkle_manifest": f"""
         WITH RECURSIVE leaves AS (
           SELECT doc_id, lang, coalesce('=' || lang, '-') AS g, {_merkle("text")} AS leaf,

@@ -14,6 +14,7 @@ from fleetvitals.llm import line_chunks as op10
 from fleetvitals.llm import lsa_decontam as op8
 from fleetvitals.llm import merkle_manifest as op12
 from fleetvitals.llm import token_shards as op2
+from fleetvitals.llm import pii_disclosure as op13
 from fleetvitals.llm import prefix_trie as op11
 from fleetvitals.llm import toxicity_chain as op7
 from fleetvitals.llm import warc_zst as op3
@@ -107,12 +108,17 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "leaf", "subroot", "root", op12.proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", "verified")
 
 
+def op13_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return op13.find(docs, op13.fit(docs))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_license_scan, op2_token_shards, op3_warc_zst, op4_chunk_recipes, op5_count_rtree_join,
         op6_language_id, op7_toxicity_chain, op8_lsa_decontam, op9_best_fit_pack, op10_line_chunks,
-        op11_prefix_trie, op12_merkle_manifest,
+        op11_prefix_trie, op12_merkle_manifest, op13_pii_disclosure,
     )
 }
 

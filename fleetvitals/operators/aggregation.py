@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import early_percent, mean_of, ratio, round_ratio, times_div, whole, whole_div
 from ..functions.time import seconds_between
-from ._rows import columns_of, names, slice_of
+from ._rows import columns_of, names, with_slice
 
 
 def count_by(
@@ -237,8 +237,8 @@ def counter_delta(
     the key's first one in the next.
     """
     key, order, values = names(key), names(order), names(values)
-    place = F.struct(*key, *order)
-    sliced = df.withColumn("_slice", slice_of(df, place, [F.col(c) for c in [*key, *order]]))
+    columns = [F.col(c) for c in [*key, *order]]
+    sliced = with_slice(df, F.struct(*columns), columns)
     inside = Window.partitionBy(*key, "_slice").orderBy(*order)
     before = sliced.select(
         *df.columns,

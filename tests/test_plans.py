@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
+from fleetvitals.operators import _rows
 from fleetvitals.plans import bindings, report_bindings
 
 LIBRARY = {**bindings.QUERIES, **report_bindings.QUERIES}
@@ -26,7 +28,7 @@ def test_no_pairs_and_no_python(plans, name):
     assert not [word for word in BANNED if word in plans[name]]
 
 
-@pytest.mark.parametrize("name, cuts", [("latest_per_group", 2), ("recent_n", 4), ("first_n_samples", 4)])
+@pytest.mark.parametrize("name, cuts", [("latest_per_group", 2), ("recent_n", 2), ("first_n_samples", 2)])
 def test_ranked_rows_are_cut_before_the_shuffle(plans, name, cuts):
     assert plans[name].count("WindowGroupLimit") == cuts
 
@@ -79,17 +81,54 @@ def test_large_joins_do_not_broadcast(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-def test_bounds_and_offsets_are_all_that_is_broadcast(spark):
-    """Rows are placed by bounds from a sample of fixed size; no input is broadcast by hint."""
+def test_offsets_are_all_that_is_broadcast(spark):
+    """One row per slice; no input is broadcast by hint."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        plan = plan_of(contract.queries()["counter_delta"](spark, FOLDER))
-        assert "BroadcastHashJoin" not in plan and "TakeOrderedAndProject(limit=1024" in plan
+        assert "BroadcastHashJoin" not in plan_of(contract.queries()["counter_delta"](spark, FOLDER))
         assert "BroadcastHashJoin [_slice" in plan_of(contract.queries()["running_totals"](spark, FOLDER))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+@pytest.mark.parametrize("name", ["coverage_topk", "running_totals", "share_rank", "counter_delta"])
+def test_bounds_are_bound_once_in_every_branch(spark, name):
+    """The rows and the sums of their slices: each holds the array of bounds once, and no sort or
+    limit of all rows finds it."""
+    plan = contract.queries()[name](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("scalar-subquery#") <= 2 and "GlobalLimit" not in plan
+
+
+@pytest.mark.parametrize("rows", [400, 6400])
+def test_slices_and_their_tasks_grow_with_the_rows(spark, monkeypatch, rows):
+    monkeypatch.setattr(_rows, "SLICE_ROWS", 64)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        df = spark.range(rows).select("id", F.pmod(F.xxhash64("id"), F.lit(97)).alias("v"))
+        ranked = _rows.with_running_total(df, "v", ["id"]).withColumn("_task", F.spark_partition_id())
+        assert "SortMergeJoin" not in plan_of(ranked)
+        found = ranked.collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    tasks = len({row["_task"] for row in found})
+    assert rows / 64 / 3 < tasks <= rows / 64 * 2  # about one task a slice, at either size
+    running = 0
+    for rank, row in enumerate(sorted(found, key=lambda r: (-r.v, r.id)), 1):
+        running += row.v
+        assert (row.row_rank, row.running) == (rank, running)
+
+
+def test_slices_beyond_their_number_grow(spark, monkeypatch):
+    monkeypatch.setattr(_rows, "SLICE_ROWS", 8)
+    monkeypatch.setattr(_rows, "DIGITS", 2)
+    df = spark.range(3000).select("id", (F.col("id") % 5).alias("v"))
+    placed = _rows.with_slice(df, F.struct("v", "id"), [F.col("id")])
+    sizes = [r["count"] for r in placed.groupBy("_slice").count().collect()]
+    assert 12 <= len(sizes) <= 16 and sum(sizes) == 3000
+
+
 def test_counter_delta_reads_its_input_twice_when_it_runs(spark):
     """Once for the bounds and once for the rows; the exchange is used again for the last rows."""
     df = contract.queries()["counter_delta"](spark, FOLDER)

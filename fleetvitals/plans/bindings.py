@@ -14,7 +14,16 @@ from pyspark.sql import functions as F
 
 from .. import operators as ops
 from ..functions import scaled, shift_millis, whole_div
-from ..sources import read_table, render_text, rollover_rows
+from ..session import scratch_folder
+from ..sources import (
+    latest_rollover_rows,
+    numbered_log_lines,
+    read_table,
+    render_text,
+    rollover_rows,
+    write_logs,
+    write_rollover,
+)
 from ..sources.tables import TABLES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -698,6 +707,59 @@ def rollover_events(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@binding("""
+    with kinds as (select distinct event_type, upper(event_type) as name from events)
+    select event_id, name, cast(floor(value) as bigint) * 8 / 1024.0::double as growth_mb,
+           'trace' || ['', '_1', '_2', '_10'][event_id % 4 + 1] || '.parquet' as file,
+           cast(nullif([0, 1, 2, 10][event_id % 4 + 1], 0) as bigint) as rollover
+    from events join kinds using (event_type) where event_type in ('error', 'purchase')
+""")
+def rolled_over_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The same from a set of files that is found by itself, among files of other sets.
+
+    All events are written as one file that rolled over three times, beside older files with
+    similar names; the set is read back from the folder alone."""
+    events = read_table(spark, folder, "events")
+    traces = scratch_folder(spark)
+    for stranger, number in (("audit", 7), ("trace_old", 3), ("trace_2x", 0)):
+        write_rollover(events.where("event_type = 'error'"), F.lit(number), traces, stranger)
+    numbers = F.element_at(F.array(*map(F.lit, (0, 1, 2, 10))), (F.col("event_id") % 4 + 1).cast("int"))
+    write_rollover(events, numbers, traces, "trace")
+    rows = latest_rollover_rows(spark, traces, schema=TABLES["events"]).select(
+        "event_id",
+        F.col("event_type").alias("EventClass"),
+        F.floor("value").alias("IntegerData"),
+        F.lit(0).alias("duration"),
+        F.element_at(F.split("source_file", "/"), -1).alias("file"),
+        F.col("rollover").cast("bigint").alias("rollover"),
+    )
+    kinds = events.select(F.col("event_type").alias("trace_event_id")).distinct()
+    kinds = kinds.withColumn("name", F.upper("trace_event_id"))
+    return ops.rollover_events(rows, ["error", "purchase"], kinds).select(
+        "event_id", "name", "growth_mb", "file", "rollover"
+    )
+
+
+@binding("""
+    with lines as (
+        select event_type, event_id || ' ' || props as line,
+               row_number() over (partition by event_type order by ts, event_id) - 1 as line_no
+        from events)
+    select event_type, line_no, line from lines where line like '%7%'
+""")
+def log_file_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines with a term and their numbers, from text files that several tasks read.
+
+    All events are written as one log per type; splits are a sixth of the usual size or less, so
+    even these files are several splits each."""
+    logs = scratch_folder(spark)
+    events = read_table(spark, folder, "events")
+    line = F.concat_ws(" ", F.col("event_id").cast("string"), "props")
+    write_logs(events, line, [F.col("ts"), F.col("event_id")], "event_type", logs)
+    found = numbered_log_lines(spark, logs, "7", split_bytes=16 << 10)
+    return found.select("event_type", "line_no", "line")
+
+
 @binding("""
     select event_id, cast(props ->> '$.k' as integer) as k,
            100 - cast(props ->> '$.k' as integer) as rest,

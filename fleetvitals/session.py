@@ -1,8 +1,9 @@
-"""Session defaults and the reliable cut used by the operators."""
+"""Session defaults and the shared folder for what has to be written down."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,19 +31,26 @@ def build_session(app: str = "fleetvitals", master: str | None = None, **conf: s
     return builder.getOrCreate()
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and go on from the written rows.
+def scratch_folder(spark: SparkSession) -> str:
+    """A new path in the folder that all executors share (``spark.checkpoint.dir``).
 
-    Used where two branches of one plan must see the same row placement. The folder is
-    the one the session already has; only a local session without one gets a temporary one,
-    because a folder of one machine is useless to the executors of a cluster.
+    Only a local session without that setting gets a temporary folder; a folder of one machine is
+    useless to the executors of a cluster, so there it is refused.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="fleetvitals-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="fleetvitals-"))
+        root = spark.sparkContext.getCheckpointDir()
+    return f"{root.rstrip('/')}/fleetvitals-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The same rows, read back from Parquet in the shared folder.
+
+    Used where two branches of one plan must see the same placement of rows.
+    """
+    path = scratch_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,6 +1,15 @@
 """Readers, snapshot schemas and the text sink."""
 
-from .files import log_files, rollover_rows, rollover_set
+from .files import (
+    latest_rollover_rows,
+    log_files,
+    newest_file,
+    numbered_log_lines,
+    rollover_rows,
+    rollover_set,
+    write_logs,
+    write_rollover,
+)
 from .tables import Tables, read_table
 from .telemetry import SNAPSHOT_KEY, SNAPSHOTS, align, read_snapshots
 from .textsink import banner, render_text, write_sections
@@ -11,11 +20,16 @@ __all__ = [
     "Tables",
     "align",
     "banner",
+    "latest_rollover_rows",
     "log_files",
+    "newest_file",
+    "numbered_log_lines",
     "read_snapshots",
     "read_table",
     "render_text",
     "rollover_rows",
     "rollover_set",
+    "write_logs",
+    "write_rollover",
     "write_sections",
 ]

@@ -3,10 +3,18 @@
 from __future__ import annotations
 
 import re
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
+# Digits of the largest 64-bit number, which a rollover number is.
+MOST_DIGITS = 19
+_SPLIT_BYTES = "spark.sql.files.maxPartitionBytes"
+_NUMBERED = r"^(.*?)(?:_([0-9]{1,19}))?(\.[^.]*)?$"
+
 
 def rollover_set(newest: str) -> str:
     """From the newest file's path, a pattern for the file without a number and all numbered ones.
@@ -25,10 +33,6 @@ def rollover_set(newest: str) -> str:
     return f"{_literal(folder)}{slash}{{{','.join([quoted + end, *numbers])}}}"
 
 
-# Rollover numbers of more digits are not looked for.
-MOST_DIGITS = 10
-
-
 def _literal(text: str) -> str:
     return re.sub(r"([\\*?\[\]{},])", r"\\\1", text)
 
@@ -45,8 +49,125 @@ def rollover_rows(
     )
 
 
+def rollover_number(name: Column) -> Column:
+    """The number in a file's name; NULL for the file that has none yet."""
+    return F.nullif(F.regexp_extract(name, _NUMBERED, 2), F.lit("")).cast("decimal(19,0)")
+
+
+def newest_file(spark: SparkSession, folder: str) -> str | None:
+    """The path of the file in ``folder`` that was changed last; of several, the highest number.
+
+    Names and times come from a listing by Spark; no file is opened, and one row is returned.
+    """
+    files = spark.read.format("binaryFile").load(_literal(folder)).select("path", "modificationTime")
+    name = F.element_at(F.split("path", "/"), -1)
+    found = files.orderBy(F.desc("modificationTime"), F.desc_nulls_last(rollover_number(name)), "path").first()
+    if found is None:
+        return None
+    return unquote(found["path"]) if re.match(r"^file:/", found["path"]) and "%" in found["path"] else found["path"]
+
+
+def latest_rollover_rows(
+    spark: SparkSession, folder: str, fmt: str = "parquet", schema=None
+) -> DataFrame:
+    """All rows of the newest file in ``folder`` and of the files that rolled over to it.
+
+    The newest file gives the base name, the base name the set; other files in the folder are never
+    opened. ``source_file`` is where a row came from and ``rollover`` that file's number.
+    """
+    newest = newest_file(spark, folder)
+    if newest is None:
+        raise ValueError(f"no files in {folder}")
+    rows = rollover_rows(spark, newest, fmt, schema)
+    return rows.withColumn("rollover", rollover_number(F.element_at(F.split("source_file", "/"), -1)))
+
+
+def write_rollover(df: DataFrame, number: Column, folder: str, base: str, fmt: str = "parquet") -> None:
+    """Write ``df`` as a set of rolled-over files: ``base.<fmt>`` for number 0 or NULL, then
+    ``base_<number>.<fmt>``.
+
+    Rows of one number are one file, as a server writes them. Executors write into a hidden folder
+    beside the files; only names are changed afterwards.
+    """
+    spark = df.sparkSession
+    staging = f"{folder}/_writing-{base}"
+    numbered = df.withColumn("_number", F.coalesce(number.cast("bigint"), F.lit(0)))
+    numbered.repartition("_number").write.partitionBy("_number").format(fmt).save(staging)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(staging).getFileSystem(spark._jsc.hadoopConfiguration())
+    for part in files.listStatus(path(staging)):
+        if not part.isDirectory():
+            continue
+        value = part.getPath().getName().partition("=")[2]
+        name = f"{base}.{fmt}" if value == "0" else f"{base}_{value}.{fmt}"
+        for file in files.listStatus(part.getPath()):
+            if file.getPath().getName().startswith("part-"):
+                files.rename(file.getPath(), path(f"{folder}/{name}"))
+    files.delete(path(staging), True)
+
+
 def log_files(spark: SparkSession, path: str) -> DataFrame:
     """Text logs line by line, with the file each line came from."""
     return spark.read.text(path).select(
         F.col("value").alias("text"), F.col("_metadata.file_path").alias("source_file")
     )
+
+
+def numbered_log_lines(
+    spark: SparkSession,
+    path: str,
+    term: str | None = None,
+    *,
+    ignore_case: bool = False,
+    split_bytes: int | None = None,
+) -> DataFrame:
+    """Lines of text logs that contain ``term`` (all lines without one), with ``line_no`` from 0.
+
+    A file of any size is read by many tasks, split after split. Each split counts its own lines and
+    keeps the hits with their place in the split; that is one row per split, made in the task that
+    reads it. The lines before a split are a prefix sum over a file's splits, added when the hits
+    are spread out again. ``source_file`` names the file, other columns are those of its folders.
+    An empty file has no lines; a file without the term counts but gives none. ``split_bytes`` is the
+    largest split of this read, unless it is the session's.
+    """
+    lines = spark.read.text(path)
+    folders = [c for c in lines.columns if c != "value"]
+    text = F.lower("value") if ignore_case else F.col("value")
+    wanted = F.lit(True) if term is None else text.contains(term.lower() if ignore_case else term)
+    # Ids ascend by one from line to line of a split, which is read by one task from its start.
+    tagged = lines.select(
+        *folders,
+        "value",
+        F.col("_metadata.file_path").alias("source_file"),
+        F.col("_metadata.file_block_start").alias("_split"),
+        F.monotonically_increasing_id().alias("_id"),
+    )
+    hit = F.when(wanted, F.struct("_id", F.col("value").alias("line")))
+    per_split = tagged.groupBy(*folders, "source_file", "_split").agg(
+        F.count("*").alias("_lines"), F.min("_id").alias("_first"), F.collect_list(hit).alias("_hits")
+    )
+    usual = spark.conf.get(_SPLIT_BYTES)
+    spark.conf.set(_SPLIT_BYTES, usual if split_bytes is None else str(split_bytes))
+    try:
+        splits = written(per_split)
+    finally:
+        spark.conf.set(_SPLIT_BYTES, usual)
+    earlier = Window.partitionBy("source_file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    starts = splits.select(
+        "source_file", "_split", F.coalesce(F.sum("_lines").over(earlier), F.lit(0)).alias("_before")
+    )
+    found = splits.where(F.size("_hits") > 0).join(starts, ["source_file", "_split"])
+    return found.select(*folders, "source_file", "_before", "_first", F.explode("_hits").alias("_hit")).select(
+        *folders,
+        "source_file",
+        (F.col("_before") + F.col("_hit._id") - F.col("_first")).alias("line_no"),
+        F.col("_hit.line").alias("line"),
+    )
+
+
+def write_logs(df: DataFrame, line: Column, order: list[Column], by: str, folder: str) -> None:
+    """Write ``line`` of every row as text, a folder ``by=<value>`` each, lines in their order.
+
+    Values are sorted apart first, so each one's lines are a single file written by one task."""
+    placed = df.repartition(by).sortWithinPartitions(by, *order)
+    placed.select(line.alias("value"), by).write.partitionBy(by).text(folder)

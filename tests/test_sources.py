@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import os
+import re
 from datetime import date, datetime
 from decimal import Decimal
 
@@ -10,11 +11,16 @@ from pyspark.sql import functions as F
 from fleetvitals.sources import (
     align,
     banner,
+    latest_rollover_rows,
     log_files,
+    newest_file,
+    numbered_log_lines,
     read_snapshots,
     render_text,
     rollover_rows,
     rollover_set,
+    write_logs,
+    write_rollover,
     write_sections,
 )
 from fleetvitals.sources.textsink import as_lines
@@ -50,6 +56,59 @@ def test_rollover_rows_read_the_whole_set_and_no_stranger(spark, tmp_path):
     assert sorted(cells(rollover_rows(spark, f"{folder}/audit_log.csv", "csv", "n int"), "n")) == [5, 6]
 
 
+def test_the_newest_file_names_the_set_and_no_other_file_is_opened(spark, tmp_path):
+    folder = tmp_path / "of {server} [1] + ü"
+    folder.mkdir()
+    rows = spark.range(40)
+    write_rollover(rows.where("id < 5"), F.lit(3), str(folder), "other")
+    write_rollover(rows, F.when(F.col("id") % 3 > 0, F.col("id") % 3 * 9), str(folder), "log")
+    (folder / "log_x.parquet").write_bytes(b"no parquet at all")
+    (folder / "stray.txt").write_text("x")
+    for name, age in (("log_x.parquet", 50), ("stray.txt", 60), ("other_3.parquet", 40), ("log.parquet", 0), ("log_9.parquet", 0), ("log_18.parquet", 0)):
+        os.utime(folder / name, (1_700_000_000 - age, 1_700_000_000 - age))
+    assert newest_file(spark, str(folder)).endswith("/log_18.parquet")
+    found = latest_rollover_rows(spark, str(folder), schema="id bigint").collect()
+    assert sorted(r.id for r in found) == list(range(40))
+    assert {(r.id % 3, None if r.rollover is None else int(r.rollover)) for r in found} == {(0, None), (1, 9), (2, 18)}
+    os.utime(folder / "other_3.parquet", (1_800_000_000, 1_800_000_000))
+    assert latest_rollover_rows(spark, str(folder), schema="id bigint").count() == 5
+
+
+def test_no_file_is_no_set(spark, tmp_path):
+    (tmp_path / "empty").mkdir()
+    assert newest_file(spark, f"{tmp_path}/empty") is None
+    with pytest.raises(ValueError):
+        latest_rollover_rows(spark, f"{tmp_path}/empty")
+
+
+@pytest.mark.parametrize("split", [7, 64, 1000, None])
+def test_line_numbers_do_not_depend_on_the_splits(spark, tmp_path, split):
+    texts = {
+        "a": "".join(f"line {i} {'long ' * (i % 40)}\n" for i in range(200)),
+        "b": "no end", "c": "\n\nx 1\r\n\ny 1", "d": "", "e": "z" * 500 + "1\n" + "1",
+    }
+    for name, text in texts.items():
+        (tmp_path / f"errorlog {name}").write_bytes(text.encode())
+    want = {(n, i, x) for n, t in texts.items() for i, x in enumerate(re.split("\r?\n", t)[: -1 if t.endswith("\n") or not t else None])}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+
+    def found(*term, **more):
+        out = numbered_log_lines(spark, str(tmp_path), *term, split_bytes=split, **more).collect()
+        return {(r.source_file[-1], r.line_no, r.line) for r in out}
+
+    assert found() == want
+    assert found("1") == {w for w in want if "1" in w[2]}
+    assert found("LINE 7", ignore_case=True) == {w for w in want if "line 7" in w[2]}
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == before
+
+
+def test_written_logs_are_read_by_many_tasks(spark, tmp_path):
+    df = spark.range(3000).select("id", (F.col("id") % 2).alias("of"))
+    write_logs(df, F.concat(F.lit("entry "), F.col("id")), [F.desc("id")], "of", f"{tmp_path}/logs")
+    lines = numbered_log_lines(spark, f"{tmp_path}/logs", split_bytes=2000).collect()
+    assert sorted((r.of, r.line_no, r.line) for r in lines) == sorted((i % 2, (2999 - i) // 2, f"entry {i}") for i in range(3000))
+
+
 def test_log_files(spark, tmp_path):
     (tmp_path / "errorlog.1").write_text("one\nManufacturer: x\n")
     found = log_files(spark, str(tmp_path)).where(F.col("text").contains("Manufacturer"))

@@ -6,6 +6,7 @@ text, never by the partition. Null texts count as empty.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -68,6 +69,15 @@ def latin_folded(t: Texts) -> Texts:
     return Texts(data, t.offsets)
 
 
+def release() -> None:
+    """Gives freed memory back; a worker is used again and would keep the most it ever held."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not glibc
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, Texts]]:
     """Row ranges of the batches that hold about ``most`` bytes of text each, one row at least."""
     for batch in batches:
@@ -81,6 +91,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYT
             lo, hi = whole.offsets[at], whole.offsets[to]
             yield batch.slice(at, to - at), Texts(whole.data[lo:hi], whole.offsets[at : to + 1] - lo)
             at = to
+    release()
 
 
 @dataclass

@@ -17,6 +17,8 @@ import numpy as np
 from fleetvitals.llm import _text
 
 CACHED_PARTS = 350_000
+#: Bytes of encoded parts that outlive a task.
+KEPT_BYTES = 48 << 20
 
 #: Space and line feed part a text; other white space stays in a part and is left to the tokenizer.
 _PART = np.ones(256, bool)
@@ -42,9 +44,15 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.names = _byte_names()
-        self.hash_a, self.hash_b = _text.Hasher(21), _text.Hasher(22)
         self.young: dict[bytes, bytes] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Leaves one generation of parts of at most ``KEPT_BYTES`` to the worker's next task."""
+        self.hash_a, self.hash_b = _text.Hasher(21), _text.Hasher(22)
         self.old: dict[bytes, bytes] = {}
+        if sum(len(k) + len(v) + 180 for k, v in self.young.items()) > KEPT_BYTES:
+            self.young = {}
 
     def _parts(self, t: _text.Texts) -> _text.Words:
         """Parts between blanks; a last comma or full stop after an ASCII letter is its own part."""

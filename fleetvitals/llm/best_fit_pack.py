@@ -77,9 +77,9 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_
     """Pieces of at most ``window`` ids that cover each row's ids and its end id, in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _tokens.encoder(tokenizer).encode
+        encoder = _tokens.encoder(tokenizer)
         for batch, t in _text.slices(batches, "_llm_text"):
-            ids, offsets = encode(t)
+            ids, offsets = encoder.encode(t)
             row, start, length, crc, total, kept = [], [], [], [], [], []
             for i, (lo, hi) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
                 own = np.append(ids[lo:hi], np.uint32(end_id)).astype("<u4")
@@ -98,6 +98,8 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_
                 columns.append(pa.array(kept, pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.record_batch(columns, names=names)
+        encoder.forget()
+        _text.release()
 
     ids = docs.schema[id_col].dataType.simpleString()
     picked = docs.select(F.col(id_col).alias("_llm_id"), F.col(text_col).alias("_llm_text"))

@@ -1,17 +1,18 @@
 """Line dedup by content-defined chunks.
 
-A line is cut at line feeds, after punctuation before white space, and at content-defined words, so
-that a passage gives the same lines wherever it stands. A hash that rolls over two line hashes ends
-a chunk where its top bits say so; boundaries therefore move with the text. Chunks are shuffled once
-and meet by their bytes, so equality is a comparison of bytes. Of each repeated chunk the occurrence with the smallest (id, place) is the one that stays.
-
-What is removed are runs of repeated chunks, ``MIN_WORDS`` long at least among those whose kept
-occurrence is in one other document; short common phrases that happen to recur are left alone.
-
-``passage_dedup`` removes whole passages of ``PASSAGE_WORDS`` words or more, to the word. A hash rolls
-over ``GRAM`` words; the least of each ``WINDOW`` in a row is an anchor, so a passage has two anchors
-at least, the same ones wherever it stands. The first place of an anchor is asked for its words, and
-the match is extended on both sides by comparing the words themselves.
+A line ends at a line feed, after punctuation, and at content-defined words, so that a passage gives
+the same lines wherever it stands. A hash rolls over the hashes of two lines in a row; a line end
+whose value is the least of any ``WINDOW`` words in a row ends a chunk; where they hold no line end,
+their least word does. What lies around a passage can
+move a boundary only before the first and after the last of its own. Chunks are put together to
+multi-line chunks of ``CHUNK_WORDS`` words at least; the first place that holds one, by (id, place),
+keeps it.
+
+The keeper is asked for its words around the chunk. Equality is a comparison of their bytes, word by
+word, and extends to both sides of the chunk. What goes are runs of ``PASSAGE_WORDS`` words or more, to
+the word, of which every word lies in ``PIECE_WORDS`` words or more that an earlier place has as well;
+a passage that was quoted in pieces before is found by its pieces. A passage of ``PASSAGE_WORDS`` has
+a chunk that all its places share as long as its first two lines have no more than nine words.
 """
 
 from __future__ import annotations
@@ -20,26 +21,24 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetvitals.llm import _text
 from fleetvitals.llm._scratch import settle
 
-MIN_WORDS = 18
-#: Chunks of fewer words are not looked up; they go with the chunks on both sides of them.
-SMALL = 3
-#: Words whose mixed bytes are 0 in so many low bits end a line too: one word in 32.
-LONG_LINE_BITS = 5
-#: The rolling hash ends a chunk in 3 of 8 cases.
-ENDS_BELOW = np.uint64(3 << 61)
-
-#: ``passage_dedup``: least words of a passage, words of an anchor, anchors of which one is taken,
-#: and words beyond the outer anchors that are compared.
+#: Least words of what is removed, and of each piece of it that some keeper has.
 PASSAGE_WORDS = 50
-GRAM = 8
-WINDOW = 20
+PIECE_WORDS = 16
+#: Words of which one line end becomes a boundary (a power of two), and least words of a chunk.
+WINDOW = 16
+CHUNK_WORDS = 10
+#: Words whose mixed bytes are 0 in so many low bits end a line too: every other word.
+LINE_BITS = 1
+#: Words beyond the outer chunks that are compared.
 BEYOND = 64
+#: Chunks with more than one in so many of all places are met without a shuffle; there are no more of them.
+HEAVY = 1000
 
 _CLOSING = np.zeros(256, bool)
 _CLOSING[list(b".,;:!?")] = True
@@ -85,79 +84,78 @@ def _hasher() -> _text.Hasher:
     return _text.Hasher(101)
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
-    """Id and text hash name a row; equal rows are one document here."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return [F.col(id_col).alias("_llm_id"), F.hash(text).alias("_llm_hash")]
+class Runs:
+    """Hashes of runs of words, from prefix sums over the hashes of the words."""
 
+    def __init__(self, words: np.ndarray) -> None:
+        base = (int(_text._odd(102, 1)[0]) & ~3) | 3
+        up = lambda b: np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(len(words), b, np.uint64))])
+        self.inverses = up(pow(base, -1, 1 << 64))
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * up(base)[:-1])])
 
-def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per chunk of ``SMALL`` words at least: id, text hash and place in one number, bytes."""
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return _text.mixed((self.sums[end] - self.sums[start]) * self.inverses[start] + (end - start).astype(np.uint64))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = _hasher()
-        for batch, t in _text.slices(batches, "_llm_text"):
-            c = Chunks(t, hasher)
-            row = np.repeat(np.arange(len(t)), np.diff(c.first))
-            used = np.flatnonzero(c.words >= SMALL)
-            row, place = row[used], used - c.first[row[used]]
-            view = t.data.tobytes()
-            body = [view[a:b] for a, b in zip(c.start[used].tolist(), c.end[used].tolist())]
-            at = (batch.column("_llm_hash").to_numpy()[row].astype(np.int64) << 32) + place
-            yield pa.record_batch([batch.column("_llm_id").take(pa.array(row)), pa.array(at), pa.array(body, pa.binary())], names=["_llm_id", "at", "body"])
 
-    ids = docs.schema[id_col].dataType.simpleString()
-    picked = docs.select(*_keyed(docs, id_col, text_col), F.col(text_col).alias("_llm_text"))
-    return picked.mapInArrow(run, f"_llm_id {ids}, at bigint, body binary")
+def _least(value: np.ndarray, over: Callable = np.minimum) -> np.ndarray:
+    """The least of ``WINDOW`` values from each place on, by doubling."""
+    step = 1
+    while step < WINDOW:
+        value = over(value[:-step], value[step:])
+        step *= 2
+    return value
 
 
-def repeats(found: DataFrame) -> DataFrame:
-    """Per document the places of chunks that are kept elsewhere, with a hash of the document that
-    keeps them. Chunks meet by their bytes; large groups of them spill, nothing collects them."""
-    same = Window.partitionBy("body")
-    first = F.min(F.struct("_llm_id", "at")).over(same)
-    kept = found.withColumn("kept", first).where(~F.struct("_llm_id", "at").eqNullSafe(F.col("kept")))
-    document = F.shiftright("kept.at", 32)
-    entry = F.struct(F.col("at").bitwiseAND(0xFFFFFFFF).cast("int").alias("place"), F.xxhash64("kept._llm_id", document).alias("keeper"))
-    return kept.groupBy("_llm_id", F.shiftright("at", 32).cast("int").alias("_llm_hash")).agg(F.collect_list(entry).alias("_llm_repeats"))
+def line_ends(t: _text.Texts, w: _text.Words) -> np.ndarray:
+    """Numbers of the words that end a line; the last word of a text does."""
+    feeds = np.concatenate([[0], np.cumsum(t.data == 10, dtype=np.int32)])
+    closes = _CLOSING[t.data[w.end - 1]]
+    closes[:-1] |= feeds[w.start[1:]] != feeds[w.end[:-1]]
+    a, z = t.data[w.start].astype(np.uint32), t.data[w.end - 1].astype(np.uint32)
+    size = (w.end - w.start).astype(np.uint32)
+    middle = t.data[(w.start + w.end) // 2].astype(np.uint32)
+    mark = (a * 31 + z * 7 + middle * 131 + size * 17) * np.uint32(2654435761)
+    closes |= mark >> np.uint32(32 - LINE_BITS) == 0
+    closes[w.first[1:][w.counts > 0] - 1] = True
+    return np.flatnonzero(closes)
 
 
-def removals(places: np.ndarray, keepers: np.ndarray, words: np.ndarray, least: int) -> list[tuple[int, int]]:
-    """Runs of places (first, last) to remove: repeated chunks in a row, but for small ones between
-    them, of which ``least`` words belong to one keeping document. ``words`` has all chunks."""
-    places, fresh = np.unique(places, return_index=True)  # equal rows list each place again
-    keepers, rank = keepers[fresh], np.cumsum(words >= SMALL)[places]
-    out = []
-    for run in np.split(np.arange(len(places)), np.flatnonzero(np.diff(rank) != 1) + 1):
-        _, which = np.unique(keepers[run], return_inverse=True)
-        if np.bincount(which, words[places[run]]).max() >= least:
-            out.append((int(places[run[0]]), int(places[run[-1]])))
-    return out
-
-
-def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", detail: bool = False) -> DataFrame:
-    """``docs`` with repeated runs taken out of the text; all other columns as they are.
+def chunks(t: _text.Texts, hasher: _text.Hasher) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, word number in it and hash of each multi-line chunk."""
+    w = _text.words(t, _text.SOLID)
+    n = len(w) - WINDOW + 1
+    none = np.empty(0, np.int64)
+    if n <= 0:
+        return none, none, np.empty(0, np.uint64)
+    runs = Runs(hasher.of(t.data, w.start, w.end))
+    text = w.text_of()
+    end = line_ends(t, w)
+    first = np.concatenate([[0], end[:-1] + 1])
+    lines = runs.of(first, end + 1)
+    before = np.concatenate([np.zeros(1, np.uint64), lines[:-1]])
+    before[1:][text[end[1:]] != text[end[:-1]]] = 0
+    # Words come after all line ends; they count where a window has no line end.
+    value = (runs.of(np.arange(len(w)), np.arange(len(w)) + 1) >> np.uint64(1)) | np.uint64(1 << 63)
+    value[end] = _text.mixed(before * np.uint64(0x9E3779B97F4A7C15) + lines) >> np.uint64(1)
+    # A place is chosen if it is the least of some window that lies in its text.
+    least = _least(value)
+    least[text[:n] != text[WINDOW - 1 :]] = 0
+    edge = np.zeros(WINDOW - 1, np.uint64)
+    cut = np.flatnonzero(_least(np.concatenate([edge, least, edge]), np.maximum) == value)
+    begin, of = cut + 1, text[cut]
+    # The nearest boundary behind that is far enough away, if it is in the same text.
+    last = np.searchsorted(cut, cut + CHUNK_WORDS)
+    whole = last < len(cut)
+    whole[whole] = of[last[whole]] == of[whole]
+    begin, of, to = begin[whole], of[whole], cut[last[whole]] + 1
+    return of, begin - w.first[of], runs.of(begin, to)
 
-    With ``detail`` the result is instead id, text, removed_words and the byte spans removed from the
-    text. Texts without repeats are returned untouched, null texts stay null,
-    and a text that is a repeat from end to end becomes empty. Rows equal in id and text are one
-    document: they do not remove each other. Empty tables give empty ones."""
 
-    def cut(t: _text.Texts, lists: list) -> list[tuple[bytes, int, list[tuple[int, int]]]]:
-        hasher, out = _hasher(), []
-        c = Chunks(t, hasher)
-        for i, entries in enumerate(lists):
-            lo, hi, base = int(c.first[i]), int(c.first[i + 1]), int(t.offsets[i])
-            text, spans, gone = t.raw(i), [], 0
-            places, keepers = (np.array([e[k] for e in entries], np.int64) for k in ("place", "keeper"))
-            for a, b in removals(places, keepers, c.words[lo:hi], min_words):
-                to = int(c.start[lo + b + 1]) - base if lo + b + 1 < hi else len(text)
-                spans.append((int(c.start[lo + a]) - base, to))
-                gone += int(c.words[lo + a : lo + b + 1].sum())
-            out.append((_without(text, spans), gone, spans))
-        return out
-
-    return _applied(docs, repeats(occurrences(docs, id_col, text_col)), cut, id_col, text_col, detail)
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
+    """Id and text hash name a row; equal rows are one document here. Should two texts of one id
+    share a hash, words still are compared, so nothing goes that is no repeat."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return [F.col(id_col).alias("_llm_id"), F.xxhash64(text).alias("_llm_hash")]
 
 
 def _without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -206,48 +204,27 @@ def _applied(docs: DataFrame, lists: DataFrame, cut: Callable, id_col: str, text
     return joined.mapInArrow(run, docs.schema)
 
 
-def anchors(t: _text.Texts, hasher: _text.Hasher) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text, word number in it and hash of each anchor."""
-    w = _text.words(t, _text.SOLID)
-    n = len(w) - GRAM - WINDOW + 2
-    if n <= 0:
-        none = np.empty(0, np.int64)
-        return none, none, np.empty(0, np.uint64)
-    rolled = _text.rolled(hasher.of(t.data, w.start, w.end), GRAM)
-    text = w.text_of()
-    at = np.flatnonzero(text[:n] == text[GRAM + WINDOW - 2 :])  # windows within one text
-    least = np.lib.stride_tricks.sliding_window_view(rolled, WINDOW)[at].argmin(axis=1)
-    at = np.unique(at + least)
-    return text[at], at - w.first[text[at]], rolled[at]
-
-
-def anchor_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per anchor: id, text hash and word number in one number, hash of its words."""
+def chunk_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per multi-line chunk: id, text hash, word number, hash of its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = _hasher()
         for batch, t in _text.slices(batches, "_llm_text"):
-            row, word, key = anchors(t, hasher)
-            at = (batch.column("_llm_hash").to_numpy()[row].astype(np.int64) << 32) + word
-            yield pa.record_batch([batch.column("_llm_id").take(pa.array(row)), pa.array(at), pa.array(key.view(np.int64))], names=["_llm_id", "at", "key"])
+            row, word, key = chunks(t, hasher)
+            columns = [batch.column("_llm_id").take(pa.array(row)), batch.column("_llm_hash").take(pa.array(row)), pa.array(word.astype(np.int32)), pa.array(key.view(np.int64))]
+            yield pa.record_batch(columns, names=["_llm_id", "_llm_hash", "word", "key"])
 
     ids = docs.schema[id_col].dataType.simpleString()
     picked = docs.select(*_keyed(docs, id_col, text_col), F.col(text_col).alias("_llm_text"))
-    return picked.mapInArrow(run, f"_llm_id {ids}, at bigint, key bigint")
+    return picked.mapInArrow(run, f"_llm_id {ids}, _llm_hash bigint, word int, key bigint")
 
 
-def regions(seeds: list[tuple], least: int = PASSAGE_WORDS) -> list[tuple]:
-    """(keeper, shift, word numbers) of the anchors (word number, keeper, its word number) that can
-    lie in a passage: a passage has two, so another stands near by. Anchors of one keeper at one shift
-    are one region as long as the words beyond them touch."""
-    seeds = sorted(set(seeds), key=lambda s: s[0])
-    at = np.array([s[0] for s in seeds])
-    near = np.diff(at) <= least
-    asked = np.concatenate([near, [False]]) | np.concatenate([[False], near])
+def regions(seeds: list[tuple]) -> list[tuple]:
+    """(keeper, shift, word numbers) of chunks (word number, keeper, its word number). Chunks of one
+    keeper at one shift are one region as long as the words beyond them touch."""
     groups: dict[tuple, list[int]] = {}
     last, taken = None, 0
-    for i in np.flatnonzero(asked).tolist():
-        word, keeper, kept = seeds[i]
+    for word, keeper, kept in sorted(set(seeds), key=lambda s: s[0]):
         if (keeper, kept) != last or word - taken >= WINDOW:  # else one word or phrase over and over
             groups.setdefault((keeper, word - kept), []).append(word)
             last, taken = (keeper, kept), word
@@ -258,18 +235,29 @@ def regions(seeds: list[tuple], least: int = PASSAGE_WORDS) -> list[tuple]:
     return out
 
 
-def _asks(docs: DataFrame, least: int, id_col: str, text_col: str) -> DataFrame:
-    """What each document asks of which keeper: the shift, its own anchors and the keeper's first and
+def _repeated(found: DataFrame) -> DataFrame:
+    """Chunks whose first place is another one, with that ``kept`` place.
+
+    Every place finds the chunk's first one by its hash. The few chunks that hold more than one in
+    ``HEAVY`` of all repeated places, no more than ``HEAVY`` by number, are met by broadcast, so a line
+    that a third of all documents share is no single task."""
+    place = F.struct("_llm_id", "_llm_hash", "word")
+    kept = settle(found.groupBy("key").agg(F.min(place).alias("kept"), F.count("*").alias("n")).where("n > 1"))
+    all_places = kept.agg(F.sum("n")).first()[0] or 0
+    heavy = kept.where(F.col("n") * HEAVY > all_places).select("key", F.col("kept").alias("_heavy"))
+    light = kept.where(F.col("n") * HEAVY <= all_places).select(F.col("key").alias("_key"), "kept")
+    met = found.join(F.broadcast(heavy), "key", "left")
+    # Places of heavy chunks go anywhere: their key in the next join is any number, and not looked at.
+    met = met.withColumn("_key", F.when(F.col("_heavy").isNull(), F.col("key")).otherwise(F.xxhash64("_llm_hash", "word")))
+    both = met.join(light, "_key", "left").withColumn("kept", F.coalesce("_heavy", "kept"))
+    return both.where(F.col("kept").isNotNull() & ~place.eqNullSafe(F.col("kept"))).select("_llm_id", "_llm_hash", "word", "kept")
+
+
+def _asks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """What each document asks of which keeper: the shift, its own chunks and the keeper's first and
     last one."""
-    found = anchor_rows(docs, id_col, text_col)
-    kept = found.groupBy("key").agg(F.min(F.struct("_llm_id", "at")).alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n")
-    low = lambda c: F.col(c).bitwiseAND(0xFFFFFFFF).cast("int")
-    high = lambda c: F.shiftright(c, 32).cast("int")
-    seed = F.struct(low("at").alias("word"), F.col("kept._llm_id").alias("keeper"), high("kept.at").alias("keeper_hash"), low("kept.at").alias("kept"))
-    seeds = (
-        found.join(kept, "key").where(~F.struct("_llm_id", "at").eqNullSafe(F.col("kept")))
-        .groupBy("_llm_id", high("at").alias("_llm_hash")).agg(F.collect_list(seed).alias("seeds")).where(F.size("seeds") > 1)
-    )
+    seed = F.struct("word", F.col("kept._llm_id").alias("keeper"), F.col("kept._llm_hash").alias("keeper_hash"), F.col("kept.word").alias("kept"))
+    seeds = _repeated(chunk_rows(docs, id_col, text_col)).groupBy("_llm_id", "_llm_hash").agg(F.collect_list(seed).alias("seeds"))
     ids = docs.schema[id_col].dataType.simpleString()
     names = ["_llm_id", "_llm_hash", "keeper", "keeper_hash", "first", "last", "shift", "words"]
 
@@ -277,14 +265,14 @@ def _asks(docs: DataFrame, least: int, id_col: str, text_col: str) -> DataFrame:
         for batch in batches:
             rows, out = [], []
             for i, entries in enumerate(batch.column("seeds").to_pylist()):
-                for (keeper, text), shift, words in regions([(e["word"], (e["keeper"], e["keeper_hash"]), e["kept"]) for e in entries], least):
+                for (keeper, text), shift, words in regions([(e["word"], (e["keeper"], e["keeper_hash"]), e["kept"]) for e in entries]):
                     rows.append(i)
                     out.append((keeper, text, words[0] - shift, words[-1] - shift, shift, words))
             own = batch.select(["_llm_id", "_llm_hash"]).take(pa.array(rows, pa.int64()))
-            kinds = [batch.schema.field("_llm_id").type, *[pa.int32()] * 4, pa.list_(pa.int32())]
+            kinds = [batch.schema.field("_llm_id").type, pa.int64(), *[pa.int32()] * 3, pa.list_(pa.int32())]
             yield pa.record_batch([*own.columns, *(pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds))], names=names)
 
-    return seeds.mapInArrow(run, f"_llm_id {ids}, _llm_hash int, keeper {ids}, keeper_hash int, first int, last int, shift int, words array<int>")
+    return seeds.mapInArrow(run, f"_llm_id {ids}, _llm_hash bigint, keeper {ids}, keeper_hash bigint, first int, last int, shift int, words array<int>")
 
 
 def _copies(docs: DataFrame, asks: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -305,7 +293,7 @@ def _copies(docs: DataFrame, asks: DataFrame, id_col: str, text_col: str) -> Dat
                 for i, asked in enumerate(part.column("asked").to_pylist()):
                     lo, hi = int(w.first[i]), int(w.first[i + 1])
                     for one in asked:
-                        a, b = lo + max(0, one["first"] - BEYOND), min(hi, lo + one["last"] + GRAM + BEYOND)
+                        a, b = lo + max(0, one["first"] - BEYOND), min(hi, lo + one["last"] + CHUNK_WORDS + BEYOND)
                         if a < b:
                             rows.append(i)
                             out.append((one["first"], one["last"], view[w.start[a] : w.end[b - 1]]))
@@ -314,13 +302,14 @@ def _copies(docs: DataFrame, asks: DataFrame, id_col: str, text_col: str) -> Dat
                 yield pa.record_batch([*own.columns, *columns], names=["keeper", "keeper_hash", "first", "last", "copy"])
 
     found = plain.join(wanted, on).select(*(plain[c] for c in docs.columns), *(wanted[c] for c in ("keeper", "keeper_hash", "asked")))
-    found = found.mapInArrow(run, f"keeper {ids}, keeper_hash int, first int, last int, copy binary")
+    found = found.mapInArrow(run, f"keeper {ids}, keeper_hash bigint, first int, last int, copy binary")
     return found.groupBy("keeper", "keeper_hash", "first", "last").agg(F.min("copy").alias("copy"))  # equal rows tell the same
 
 
-def matched(own: list[bytes], entries: list[dict], least: int) -> np.ndarray:
-    """Which words lie in a run of ``least`` words that a keeper has as well, word for word."""
-    gone = np.zeros(len(own), bool)
+def matched(own: list[bytes], entries: list[dict], least: int = PASSAGE_WORDS, piece: int = PIECE_WORDS) -> np.ndarray:
+    """Which words go: those of runs of ``least`` words, all in ``piece`` words that a keeper has as
+    well, word for word."""
+    gone = np.zeros(len(own) + 2, bool)
     for e in entries:
         copy, done = e["copy"].split(), 0
         back = e["shift"] + max(0, e["first"] - BEYOND)  # own word number less number in the copy
@@ -334,18 +323,25 @@ def matched(own: list[bytes], entries: list[dict], least: int) -> np.ndarray:
             while a > low and own[a - 1] == copy[a - 1 - back]:
                 a -= 1
             done = b
-            if b - a >= least:
-                gone[a:b] = True
-    return gone
-
-
-def passage_dedup(docs: DataFrame, least: int = PASSAGE_WORDS, id_col: str = "doc_id", text_col: str = "text", detail: bool = False) -> DataFrame:
-    """Like ``line_dedup``, but what goes are whole runs of ``least`` words or more that an earlier
-    place has as well, from their first word to their last; words are compared, not hashes.
-    ``least`` is ``GRAM + 2 * WINDOW - 1`` at least. What is asked for is written down."""
-    if least < GRAM + 2 * WINDOW - 1:
-        raise ValueError("shorter passages need smaller windows")
-    asks = settle(_asks(docs, least, id_col, text_col))
+            if b - a >= piece:
+                gone[a + 1 : b + 1] = True
+    edges = np.flatnonzero(np.diff(gone)).reshape(-1, 2)
+    out = np.zeros(len(own), bool)
+    for a, b in edges[edges[:, 1] - edges[:, 0] >= least].tolist():
+        out[a:b] = True
+    return out
+
+
+def line_dedup(docs: DataFrame, least: int = PASSAGE_WORDS, id_col: str = "doc_id", text_col: str = "text", detail: bool = False) -> DataFrame:
+    """``docs`` with repeated passages of ``least`` words or more taken out of the text, from their
+    first word to their last; all other columns as they are, but ``n_chars`` counts what is left.
+
+    With ``detail`` the result is instead id, text, removed_words and the byte spans removed from the
+    text. Texts without repeats are returned untouched, null texts stay null, and a text that is a
+    repeat from end to end becomes empty. The place with the smallest id, then text hash, then word
+    stays; null ids come first. Rows equal in id and text are one document: they do not remove each
+    other. Empty tables give empty ones. What is asked for is written down."""
+    asks = settle(_asks(docs, id_col, text_col))
     copies = _copies(docs, asks, id_col, text_col)
     on = asks["keeper"].eqNullSafe(copies["keeper"])
     for c in ("keeper_hash", "first", "last"):

@@ -22,6 +22,9 @@ from .joins import (
     distinct_lateral,
     last_update,
     lateral_attribute_rollup,
+    lateral_rows,
+    lateral_summary,
+    lateral_top,
     setting_breach,
     union_hierarchy_count,
 )
@@ -64,6 +67,9 @@ __all__ = [
     "last_update",
     "latest_per_group",
     "lateral_attribute_rollup",
+    "lateral_rows",
+    "lateral_summary",
+    "lateral_top",
     "log_lines",
     "pages_to_mb",
     "payload_history",

@@ -6,7 +6,8 @@ session's threshold, and sort-merge join with skew splitting otherwise.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -218,3 +219,82 @@ def last_update(
         F.max(time).alias(alias)
     )
     return members.join(newest, [*scope, *[own for own, _ in key]], "left")
+
+
+def _lateral(
+    df: DataFrame,
+    inner: DataFrame,
+    on: Mapping[str, str],
+    found: Callable[[DataFrame], DataFrame],
+    how: str,
+) -> DataFrame:
+    """``found`` (a function of the inner rows that belong to the row at hand) beside every row.
+
+    The row's keys go under names of their own: a name the inner side has too would mean its own
+    column there."""
+    named = {f"_outer_{outer}": outer for outer in on}
+    keyed = df.select("*", *[F.col(column).alias(name) for name, column in named.items()])
+    pairs = [F.col(on[column]) == F.col(name).outer() for name, column in named.items()]
+    return keyed.lateralJoin(found(inner.where(reduce(Column.__and__, pairs))), how=how).drop(*named)
+
+
+def lateral_rows(
+    df: DataFrame,
+    inner: DataFrame,
+    on: Mapping[str, str],
+    columns: Sequence[str | Column],
+    *,
+    where: Column | None = None,
+    how: str = "inner",
+) -> DataFrame:
+    """Every row with the ``columns`` of the inner rows that belong to it.
+
+    ``on`` maps columns of ``df`` to inner ones; ``where`` may compare inner columns with those of
+    the row at hand, written ``F.col(name).outer()`` where the inner side has no such name. A row
+    without any is left out, or kept with NULLs by ``how="left"``. The optimizer turns this into one
+    equi-join.
+    """
+    return _lateral(
+        df, inner, on, lambda own: (own if where is None else own.where(where)).select(*columns), how
+    )
+
+
+def lateral_top(
+    df: DataFrame,
+    inner: DataFrame,
+    on: Mapping[str, str],
+    columns: Sequence[str | Column],
+    order: Sequence[Column],
+    n: int,
+    *,
+    where: Column | None = None,
+    how: str = "inner",
+) -> DataFrame:
+    """Every row with the first ``n`` inner rows that belong to it, by a total order.
+
+    ``where`` is about inner columns only. The subquery with its limit becomes a rank per key that
+    tasks cut to ``n`` before the shuffle, and a join, so a key with very many rows is no burden.
+    """
+    rows = inner if where is None else inner.where(where)
+    return _lateral(
+        df, rows, on, lambda own: own.orderBy(*order).limit(n).select(*columns), how
+    )
+
+
+def lateral_summary(
+    df: DataFrame,
+    inner: DataFrame,
+    on: Mapping[str, str],
+    measures: Mapping[str, Column],
+    *,
+    where: Column | None = None,
+) -> DataFrame:
+    """Every row with aggregates over the inner rows that belong to it.
+
+    A row without any keeps its place: counts are 0 and other measures NULL, as an aggregate over
+    nothing says. ``where`` is about inner columns only; a comparison with the row at hand under an
+    aggregate would pair rows. Inner rows are added up per key before they are joined.
+    """
+    rows = inner if where is None else inner.where(where)
+    shown = [value.alias(name) for name, value in measures.items()]
+    return _lateral(df, rows, on, lambda own: own.select(*shown), "left")

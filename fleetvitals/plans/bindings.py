@@ -18,11 +18,13 @@ from ..session import scratch_folder
 from ..sources import (
     latest_rollover_rows,
     numbered_log_lines,
+    read_snapshots,
     read_table,
     render_text,
     rollover_rows,
     write_logs,
     write_rollover,
+    write_snapshots,
 )
 from ..sources.tables import TABLES
 
@@ -803,3 +805,88 @@ def render_text_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Suppliers as cut strings."""
     suppliers = read_table(spark, folder, "supplier").select("s_suppkey", "s_name", "s_nationkey")
     return render_text(suppliers, {"s_name": 12})
+
+
+@binding("""
+    select c_custkey, c_name, o_orderkey, o_totalprice
+    from customer, lateral (
+        select o_orderkey, o_totalprice from orders where o_custkey = c_custkey
+        order by o_totalprice desc, o_orderkey limit 3)
+""")
+def lateral_top(spark: SparkSession, folder: str) -> DataFrame:
+    """The three dearest orders of every customer that has any."""
+    return ops.lateral_top(
+        read_table(spark, folder, "customer").select("c_custkey", "c_name"),
+        read_table(spark, folder, "orders"),
+        {"c_custkey": "o_custkey"},
+        ["o_orderkey", "o_totalprice"],
+        [F.desc("o_totalprice"), F.asc("o_orderkey")],
+        3,
+    )
+
+
+@binding("""
+    select p_partkey, p_name, l_orderkey, l_linenumber, l_quantity
+    from part, lateral (
+        select l_orderkey, l_linenumber, l_quantity from lineitem
+        where l_partkey = p_partkey and l_quantity > p_size and l_returnflag = 'R')
+""")
+def lateral_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Returned lines of every part in a quantity above the part's size."""
+    larger = (F.col("l_quantity") > F.col("p_size").outer()) & (F.col("l_returnflag") == "R")
+    found = ops.lateral_rows(
+        read_table(spark, folder, "part").select("p_partkey", "p_name", "p_size"),
+        read_table(spark, folder, "lineitem"),
+        {"p_partkey": "l_partkey"},
+        ["l_orderkey", "l_linenumber", "l_quantity"],
+        where=larger,
+    )
+    return found.drop("p_size")
+
+
+@binding("""
+    select p_partkey, line_count, quantity
+    from part, lateral (
+        select count(*) as line_count, cast(sum(l_linenumber) as bigint) as quantity
+        from lineitem where l_partkey = p_partkey and l_shipdate >= timestamp '1997-01-01')
+""")
+def lateral_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """Late lines of every part, parts without any as well."""
+    return ops.lateral_summary(
+        read_table(spark, folder, "part").select("p_partkey"),
+        read_table(spark, folder, "lineitem"),
+        {"p_partkey": "l_partkey"},
+        {"line_count": F.count("*"), "quantity": F.sum("l_linenumber")},
+        where=F.col("l_shipdate") >= F.lit("1997-01-01").cast("timestamp_ntz"),
+    )
+
+
+@binding("""
+    with days as (
+        select distinct cast(date_trunc('quarter', o_orderdate) as date) as day from orders
+        where o_totalprice > 450000 and o_orderpriority = '1-URGENT')
+    select 'db' || o_custkey as database_name, o_orderkey as backup_set_id,
+           cast(date_trunc('quarter', o_orderdate) as date) as taken
+    from orders where o_orderstatus = 'F'
+      and cast(date_trunc('quarter', o_orderdate) as date) in (select day from days)
+""")
+def snapshot_store(spark: SparkSession, folder: str) -> DataFrame:
+    """Full backups on the days of a filtered table, from a store by day and type.
+
+    All orders are written as backups of quarterly snapshots and read back; only the folders of one
+    type and of days the other table names are opened."""
+    orders = read_table(spark, folder, "orders")
+    quarter = F.date_trunc("quarter", "o_orderdate")
+    backups = orders.select(
+        F.concat(F.lit("srv"), F.col("o_custkey") % 5).alias("server_name"),
+        quarter.cast("timestamp_ntz").alias("snapshot_ts"),
+        F.concat(F.lit("db"), F.col("o_custkey")).alias("database_name"),
+        F.col("o_orderkey").alias("backup_set_id"),
+        F.when(F.col("o_orderstatus") == "F", "D").otherwise("L").alias("type"),
+    )
+    store = scratch_folder(spark)
+    write_snapshots(backups, store, "backupset")
+    days = orders.where("o_totalprice > 450000 and o_orderpriority = '1-URGENT'")
+    days = days.select(F.to_date(quarter).alias("snapshot_date"))
+    found = read_snapshots(spark, store, "backupset", days_of=days, where=F.col("type") == "D")
+    return found.select("database_name", "backup_set_id", F.to_date("snapshot_ts").alias("taken"))

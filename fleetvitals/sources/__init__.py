@@ -11,7 +11,7 @@ from .files import (
     write_rollover,
 )
 from .tables import Tables, read_table
-from .telemetry import SNAPSHOT_KEY, SNAPSHOTS, align, read_snapshots
+from .telemetry import SNAPSHOT_KEY, SNAPSHOTS, align, read_snapshots, write_snapshots
 from .textsink import banner, render_text, write_sections
 
 __all__ = [
@@ -32,4 +32,5 @@ __all__ = [
     "write_logs",
     "write_rollover",
     "write_sections",
+    "write_snapshots",
 ]

@@ -2,8 +2,8 @@
 
 Every table starts with the server it came from and the time it was collected. Tables about the
 inside of a database also carry ``database_name``, so all databases of all servers are one table
-and no loop over databases is needed. ``read_snapshots`` expects them written partitioned by
-``snapshot_date``.
+and no loop over databases is needed. ``write_snapshots`` stores them in folders by
+``snapshot_date``, backups also by their type, and ``read_snapshots`` opens the folders asked for.
 """
 
 from __future__ import annotations
@@ -114,6 +114,9 @@ SNAPSHOTS: dict[str, str] = {
         last_updated timestamp_ntz""",
 }
 
+# Columns besides the day that name folders of the store, for tables mostly asked for by them.
+STORED_BY = {"backupset": ["type"]}
+
 # Older servers give some figures in another unit and name: (old column, its size in the new unit).
 _OLD_UNITS = {"sys_info": {"physical_memory_kb": ("physical_memory_in_bytes", 1024)}}
 
@@ -142,20 +145,43 @@ def align(df: DataFrame, table: str) -> DataFrame:
     return df.select(*aligned)
 
 
+def write_snapshots(df: DataFrame, root: str, table: str, mode: str = "append") -> None:
+    """Add a collector's rows to the store, aligned, in folders by day (and ``STORED_BY``).
+
+    Rows are dealt by folder first, so a folder gets few files; Spark cuts a folder with very many
+    rows into several of even size. A folder cannot be named by an empty text: it is read as NULL.
+    """
+    day = F.to_date("snapshot_ts").alias("snapshot_date")
+    folders = ["snapshot_date", *STORED_BY.get(table, [])]
+    dealt = align(df, table).select("*", day).hint("rebalance", *map(F.col, folders))
+    dealt.write.mode(mode).partitionBy(*folders).parquet(f"{root}/{table}")
+
+
 def read_snapshots(
     spark: SparkSession,
     root: str,
     table: str,
     *,
     days: tuple[str, str] | None = None,
+    days_of: DataFrame | None = None,
     servers: Sequence[str] = (),
+    where: Column | None = None,
 ) -> DataFrame:
     """One snapshot table from parquet, aligned; ``days`` (first, last) prunes folders by
-    ``snapshot_date``."""
+    ``snapshot_date``.
+
+    ``days_of`` is a table with a column ``snapshot_date``: only its days are read, and where it is
+    filtered, Spark finds the folders when the query runs. ``where`` is a filter on stored columns;
+    one on a folder's column prunes too.
+    """
     df = spark.read.option("mergeSchema", "true").parquet(f"{root}/{table}")
     if days is not None:
         first, last = days
         df = df.where(F.col("snapshot_date").between(F.to_date(F.lit(first)), F.to_date(F.lit(last))))
+    if days_of is not None:
+        df = df.join(days_of.select("snapshot_date").distinct(), "snapshot_date", "left_semi")
+    if where is not None:
+        df = df.where(where)
     if servers:
         df = df.where(F.col("server_name").isin(*servers))
     return align(df, table)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -77,21 +78,26 @@ def write_sections(
     default: int = DEFAULT_WIDTH,
     header: list[str] | None = None,
 ) -> None:
-    """One text folder per section, written by the executors, banner and column names first.
+    """All sections as text, a folder ``section=<title>`` each, in one write by the executors.
 
-    With ``header`` its lines are written once, to the folder ``header``.
-
-    ``widths`` are given per section. Several part files stay several: their names keep the order
-    of a sorted report.
+    A section's banner and column names come first, its lines follow in the order of the report:
+    parts of a folder in the order of their names, lines in the order they stand in. ``header`` are
+    lines written once, to the section ``header``. ``widths`` are given per section. The write is
+    one job: a report is there as a whole or not at all.
     """
+    if not sections:
+        return
+    spark = next(iter(sections.values())).sparkSession
+    shape = "section string, value string"
+    parts: list[DataFrame] = []
+    if header:
+        parts.append(spark.createDataFrame([("header", "\n".join(header))], shape).coalesce(1))
     for title, df in sections.items():
-        if header:
-            lines = df.sparkSession.createDataFrame([("\n".join(header),)], "value string")
-            lines.coalesce(1).write.mode("errorifexists").text(f"{path}/header")
-            header = None
         chosen = (widths or {}).get(title, {})
-        heading = df.sparkSession.createDataFrame(
-            [("\n".join(_heading(title, df, chosen, default)),)], "value string"
-        ).coalesce(1)
-        lines = heading.union(as_lines(df, chosen, default))
-        lines.write.mode("errorifexists").text(f"{path}/{title}")
+        heading = "\n".join(_heading(title, df, chosen, default))
+        parts.append(spark.createDataFrame([(title, heading)], shape).coalesce(1))
+        parts.append(as_lines(df, chosen, default).select(F.lit(title).alias("section"), "value"))
+    # Ids ascend with the lines of a part; sorted by them, the writer has no need to sort again.
+    numbered = [part.withColumn("_line", F.monotonically_increasing_id()) for part in parts]
+    lines = reduce(DataFrame.union, numbered).sortWithinPartitions("section", "_line")
+    lines.select("section", "value").write.mode("errorifexists").partitionBy("section").text(path)

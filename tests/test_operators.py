@@ -298,3 +298,38 @@ def test_name_only_join_multiplies_rows(spark):
 
     assert run(True) == [("t1", "ix", 10), ("t2", "ix", 20)]
     assert run(False) == [("t1", "ix", 10), ("t1", "ix", 20), ("t2", "ix", 10), ("t2", "ix", 20)]
+
+
+@pytest.fixture
+def rooms(spark):
+    outer = spark.createDataFrame([(1, "a", 5), (1, "a", 5), (2, "b", 0), (3, "c", 9), (None, "d", 1)], "k int, name string, lim int")
+    inner = spark.createDataFrame([(1, 5, "x"), (1, 7, "y"), (1, 9, "z"), (2, None, "u"), (2, 4, None), (None, 1, "w"), (9, 1, "v")], "k int, v int, t string")
+    return outer, inner
+
+
+def test_lateral_top_gives_each_row_its_own_first_rows(rooms):
+    outer, inner = rooms
+    order = [F.desc_nulls_last("v"), F.asc("t")]
+    found = ops.lateral_top(outer, inner, {"k": "k"}, [F.col("v").alias("w"), "t"], order, 2)
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(
+        [(1, "a", 5, 9, "z"), (1, "a", 5, 7, "y")] * 2 + [(2, "b", 0, 4, None), (2, "b", 0, None, "u")], key=str
+    )
+    kept = ops.lateral_top(outer, inner, {"k": "k"}, ["v"], order, 1, where=F.col("v") > 4, how="left")
+    assert sorted(((r["name"], r.v) for r in kept.collect())) == [("a", 9), ("a", 9), ("b", None), ("c", None), ("d", None)]
+    assert ops.lateral_top(outer.limit(0), inner, {"k": "k"}, ["v"], order, 1).count() == 0
+
+
+def test_lateral_rows_may_compare_with_the_row_at_hand(rooms):
+    outer, inner = rooms
+    more = F.col("v") > F.col("lim").outer()
+    found = ops.lateral_rows(outer, inner, {"k": "k"}, ["t"], where=more)
+    assert sorted(((r["name"], r.t) for r in found.collect()), key=str) == [("a", "y"), ("a", "y"), ("a", "z"), ("a", "z"), ("b", None)]
+    kept = ops.lateral_rows(outer, inner, {"k": "k"}, ["t"], where=more, how="left")
+    assert sorted({(r["name"], r.t) for r in kept.collect()}, key=str) == [("a", "y"), ("a", "z"), ("b", None), ("c", None), ("d", None)]
+
+
+def test_lateral_summary_keeps_rows_without_any(rooms):
+    outer, inner = rooms
+    found = ops.lateral_summary(outer, inner, {"k": "k"}, {"n": F.count("*"), "most": F.max("v")}, where=F.col("t").isNotNull())
+    assert sorted((r["name"], r.n, r.most) for r in found.collect() if r["name"] != "b") == [("a", 3, 9), ("a", 3, 9), ("c", 0, None), ("d", 0, None)]
+    assert [(r.n, r.most) for r in found.where("name = 'b'").collect()] == [(1, None)]

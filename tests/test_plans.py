@@ -136,3 +136,25 @@ def test_counter_delta_reads_its_input_twice_when_it_runs(spark):
     plan = plan_of(df)
     final = plan[: plan.index("+- == Initial Plan ==")] if "+- == Initial Plan ==" in plan else plan
     assert "ReusedExchange" in final or final.count("FileScan") <= 2
+
+
+@pytest.mark.parametrize("name", ["lateral_top", "lateral_rows", "lateral_summary"])
+@pytest.mark.parametrize("broadcast", ["10485760", "-1"])
+def test_lateral_subqueries_become_equi_joins(spark, name, broadcast):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        plan = plan_of(contract.queries()[name](spark, FOLDER))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "outer(" not in plan.lower().replace("leftouter", "") and "Lateral" not in plan
+    assert ("SortMergeJoin" if broadcast == "-1" else "BroadcastHashJoin") in plan
+    if name == "lateral_top":
+        assert "WindowGroupLimit" in plan and "Partial" in plan
+    if name == "lateral_summary":
+        assert "partial_count" in plan
+
+
+def test_the_store_opens_only_folders_that_a_filtered_table_names(spark):
+    df = contract.queries()["snapshot_store"](spark, FOLDER)
+    plan = plan_of(df)
+    assert "dynamicpruning" in plan and "(type#" in plan[plan.index("PartitionFilters") :]

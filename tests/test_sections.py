@@ -86,7 +86,7 @@ def test_write_text(spark, snapshot, tmp_path):
     tables = Tables({"logins": lambda: snapshot(
         "logins", {"name": "n" * 60, "sysadmin": 1, "securityadmin": 1, "denylogin": 0})})
     write_text(run_sections(tables, Switches(security=True)), f"{tmp_path}/out")
-    lines = [r.value for r in spark.read.text(f"{tmp_path}/out/security_admins").collect()]
+    lines = [r.value for r in spark.read.text(f"{tmp_path}/out/section=security_admins").collect()]
     assert any(line.endswith(" " + "n" * 50) for line in lines)
 
 

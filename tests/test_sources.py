@@ -22,6 +22,7 @@ from fleetvitals.sources import (
     write_logs,
     write_rollover,
     write_sections,
+    write_snapshots,
 )
 from fleetvitals.sources.textsink import as_lines
 from tests.conftest import SERVER, T0, cells
@@ -150,6 +151,26 @@ def test_read_snapshots_prunes_days(spark, snapshot, tmp_path):
     assert "PushedFilters: [IsNotNull(server_name), EqualTo(server_name,b)]" in plan
 
 
+def test_the_store_is_written_by_day_and_type(spark, snapshot, tmp_path):
+    rows = [
+        {"backup_set_id": 10 * day + n, "database_name": "db  ", "type": kind, "snapshot_ts": datetime(2024, 5, day)}
+        for day in (1, 2, 3) for n, kind in enumerate(("D", "L", None))
+    ]
+    backups = snapshot("backupset", *rows)
+    write_snapshots(backups, str(tmp_path), "backupset")
+    write_snapshots(backups.where("backup_set_id = 10").withColumn("backup_set_id", F.lit(99)), str(tmp_path), "backupset")
+    assert {p.name for p in (tmp_path / "backupset").iterdir() if p.is_dir()} == {f"snapshot_date=2024-05-0{d}" for d in (1, 2, 3)}
+    whole = read_snapshots(spark, str(tmp_path), "backupset")
+    assert sorted(cells(whole, "backup_set_id")) == [10, 11, 12, 20, 21, 22, 30, 31, 32, 99]
+    assert whole.dtypes == backups.dtypes and set(cells(whole, "database_name")) == {"db"}
+    assert {r.backup_set_id % 10 for r in whole.where("type is null").collect()} == {2}
+    full = read_snapshots(spark, str(tmp_path), "backupset", days=("2024-05-01", "2024-05-02"), where=F.col("type") == "D")
+    assert sorted(cells(full, "backup_set_id")) == [10, 20, 99]
+    days = spark.createDataFrame([(date(2024, 5, 3), 1), (date(2024, 5, 3), 1), (date(2024, 5, 1), 0), (None, 1)], "snapshot_date date, busy int")
+    of_days = read_snapshots(spark, str(tmp_path), "backupset", days_of=days.where("busy = 1"))
+    assert sorted(cells(of_days, "backup_set_id")) == [30, 31, 32]
+
+
 @pytest.fixture
 def mixed(spark):
     return spark.createDataFrame(
@@ -182,8 +203,8 @@ def test_write_sections(spark, mixed, tmp_path):
         f"{tmp_path}/out",
         {"two": {"n": 5, "long": None}},
     )
-    assert written(f"{tmp_path}/out/one") == [banner("one"), "padded", "padded", "NULL"]
-    assert written(f"{tmp_path}/out/two") == [
+    assert written(f"{tmp_path}/out/section=one") == [banner("one"), "padded", "padded", "NULL"]
+    assert written(f"{tmp_path}/out/section=two") == [
         "##########  two #############", "n     long", "1.50  " + "x" * 40, "NULL  NULL",
     ]
 
@@ -191,10 +212,22 @@ def test_write_sections(spark, mixed, tmp_path):
 def test_written_reports_keep_their_order(spark, tmp_path):
     df = spark.range(5000).select(F.xxhash64("id").alias("h")).repartition(7).orderBy("h")
     write_sections({"sorted": df}, f"{tmp_path}/out")
-    numbers = [int(line) for line in written(f"{tmp_path}/out/sorted")[2:]]
+    numbers = [int(line) for line in written(f"{tmp_path}/out/section=sorted")[2:]]
     assert len(numbers) == 5000 and numbers == sorted(numbers)
 
 
+def test_all_sections_are_one_write_in_order(spark, tmp_path):
+    sections = {f"s{n}": spark.range(n * 300).repartition(5).select(F.col("id").alias(f"c{n}")).orderBy(f"c{n}") for n in range(7)}
+    write_sections(sections, f"{tmp_path}/out", header=["title", "date"])
+    done = [str(p.relative_to(tmp_path)) for p in tmp_path.rglob("_SUCCESS")]
+    assert done == ["out/_SUCCESS"]
+    assert written(f"{tmp_path}/out/section=header") == ["title", "date"]
+    for n in range(7):
+        assert written(f"{tmp_path}/out/section=s{n}") == [banner(f"s{n}"), f"c{n}", *map(str, range(n * 300))]
+    write_sections({}, f"{tmp_path}/none")
+    assert not (tmp_path / "none").exists()
+
+
 def test_declared_schemas_are_those_of_the_files(spark):
     from fleetvitals.sources.tables import TABLES, read_table
 

@@ -16,6 +16,7 @@ from .. import operators as ops
 from ..functions import scaled, shift_millis, whole_div
 from ..session import scratch_folder
 from ..sources import (
+    block_records,
     latest_rollover_rows,
     numbered_log_lines,
     read_snapshots,
@@ -762,6 +763,30 @@ def log_file_lines(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("event_type", "line_no", "line")
 
 
+@binding("""
+    select event_type, row_number() over (partition by event_type order by ts, event_id) - 1 as record,
+           event_id, user_id, case when event_id % 5 > 0 then props end as props
+    from events
+""")
+def command_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Events printed as blocks of several lines and put together again, over small splits."""
+    printed = scratch_folder(spark)
+    events = read_table(spark, folder, "events")
+    props = F.when(F.col("event_id") % 5 > 0, F.concat(F.lit("  Props = "), "props"))
+    block = F.concat_ws(
+        "\n",
+        F.concat(F.lit("EVENT HEADER @"), F.col("event_id")),
+        F.concat(F.lit("  User = "), F.col("user_id")),
+        props,
+        F.lit("  ----"),
+    )
+    write_logs(events, block, [F.col("ts"), F.col("event_id")], "event_type", printed)
+    fields = {"event_id": "^EVENT HEADER @(.*)$", "user_id": "^  User = (.*)$", "props": "^  Props = (.*)$"}
+    found = block_records(spark, printed, "^EVENT HEADER @", fields, split_bytes=16 << 10)
+    number = [F.col(c).cast("bigint").alias(c) for c in ("event_id", "user_id")]
+    return found.select("event_type", "record", *number, "props")
+
+
 @binding("""
     select event_id, cast(props ->> '$.k' as integer) as k,
            100 - cast(props ->> '$.k' as integer) as rest,

@@ -1,6 +1,7 @@
 """Readers, snapshot schemas and the text sink."""
 
 from .files import (
+    block_records,
     latest_rollover_rows,
     log_files,
     newest_file,
@@ -20,6 +21,7 @@ __all__ = [
     "Tables",
     "align",
     "banner",
+    "block_records",
     "latest_rollover_rows",
     "log_files",
     "newest_file",

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator, Mapping
+from contextlib import contextmanager
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -113,6 +115,37 @@ def log_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+@contextmanager
+def _splits_of(spark: SparkSession, most: int | None) -> Iterator[None]:
+    """Reads inside are cut into splits of at most ``most`` bytes, if that is given."""
+    usual = spark.conf.get(_SPLIT_BYTES)
+    spark.conf.set(_SPLIT_BYTES, usual if most is None else str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(_SPLIT_BYTES, usual)
+
+
+def _tagged(lines: DataFrame, folders: list[str]) -> DataFrame:
+    """Lines with their file and split; ids ascend by one from line to line of a split, which is
+    read by one task from its start."""
+    return lines.select(
+        *folders,
+        "value",
+        F.col("_metadata.file_path").alias("source_file"),
+        F.col("_metadata.file_block_start").alias("_split"),
+        F.monotonically_increasing_id().alias("_id"),
+    )
+
+
+def _before(splits: DataFrame, counted: str) -> DataFrame:
+    """For each split the sum of ``counted`` over the file's splits before it, as ``_before``."""
+    earlier = Window.partitionBy("source_file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    return splits.select(
+        "source_file", "_split", F.coalesce(F.sum(counted).over(earlier), F.lit(0)).alias("_before")
+    )
+
+
 def numbered_log_lines(
     spark: SparkSession,
     path: str,
@@ -134,29 +167,13 @@ def numbered_log_lines(
     folders = [c for c in lines.columns if c != "value"]
     text = F.lower("value") if ignore_case else F.col("value")
     wanted = F.lit(True) if term is None else text.contains(term.lower() if ignore_case else term)
-    # Ids ascend by one from line to line of a split, which is read by one task from its start.
-    tagged = lines.select(
-        *folders,
-        "value",
-        F.col("_metadata.file_path").alias("source_file"),
-        F.col("_metadata.file_block_start").alias("_split"),
-        F.monotonically_increasing_id().alias("_id"),
-    )
     hit = F.when(wanted, F.struct("_id", F.col("value").alias("line")))
-    per_split = tagged.groupBy(*folders, "source_file", "_split").agg(
+    per_split = _tagged(lines, folders).groupBy(*folders, "source_file", "_split").agg(
         F.count("*").alias("_lines"), F.min("_id").alias("_first"), F.collect_list(hit).alias("_hits")
     )
-    usual = spark.conf.get(_SPLIT_BYTES)
-    spark.conf.set(_SPLIT_BYTES, usual if split_bytes is None else str(split_bytes))
-    try:
+    with _splits_of(spark, split_bytes):
         splits = written(per_split)
-    finally:
-        spark.conf.set(_SPLIT_BYTES, usual)
-    earlier = Window.partitionBy("source_file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
-    starts = splits.select(
-        "source_file", "_split", F.coalesce(F.sum("_lines").over(earlier), F.lit(0)).alias("_before")
-    )
-    found = splits.where(F.size("_hits") > 0).join(starts, ["source_file", "_split"])
+    found = splits.where(F.size("_hits") > 0).join(_before(splits, "_lines"), ["source_file", "_split"])
     return found.select(*folders, "source_file", "_before", "_first", F.explode("_hits").alias("_hit")).select(
         *folders,
         "source_file",
@@ -165,6 +182,44 @@ def numbered_log_lines(
     )
 
 
+def block_records(
+    spark: SparkSession,
+    path: str,
+    begins: str,
+    fields: Mapping[str, str],
+    *,
+    split_bytes: int | None = None,
+) -> DataFrame:
+    """The records of a command's printed output, a row each, from text files.
+
+    A record begins with a line that matches ``begins`` and goes on to the next such line; lines
+    before a file's first one belong to no record. ``fields`` maps names to patterns whose first
+    group is the value, taken from the record's first line that matches (NULL if none does). ``record``
+    numbers a file's records from 0, other columns are those of the file's folders.
+
+    A record may begin in one split and end in a later one. Every split tells how many records begin
+    in it; the prefix sum of that, and the begins seen so far inside the split, number each line's
+    record, so head and tail meet under one number whatever the splits are. No task holds more than a
+    split or a record.
+    """
+    lines = spark.read.text(path)
+    folders = [c for c in lines.columns if c != "value"]
+    marked = _tagged(lines, folders).withColumn("_begins", F.col("value").rlike(begins).cast("bigint"))
+    with _splits_of(spark, split_bytes):
+        marked = written(marked)
+    begun = marked.groupBy("source_file", "_split").agg(F.sum("_begins").alias("_begun"))
+    so_far = Window.partitionBy("source_file", "_split").orderBy("_id").rowsBetween(Window.unboundedPreceding, 0)
+    inside = marked.withColumn("_here", F.sum("_begins").over(so_far))
+    numbered = inside.join(_before(begun, "_begun"), ["source_file", "_split"])
+    numbered = numbered.withColumn("record", F.col("_before") + F.col("_here") - 1).where("record >= 0")
+    place = F.struct("_split", "_id")
+    values = []
+    for name, pattern in fields.items():
+        hit = F.when(F.col("value").rlike(pattern), F.regexp_extract("value", pattern, 1))
+        values.append(F.min_by(hit, F.when(hit.isNotNull(), place)).alias(name))
+    return numbered.groupBy(*folders, "source_file", "record").agg(*values)
+
+
 def write_logs(df: DataFrame, line: Column, order: list[Column], by: str, folder: str) -> None:
     """Write ``line`` of every row as text, a folder ``by=<value>`` each, lines in their order.
 

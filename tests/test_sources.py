@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from fleetvitals.sources import (
     align,
     banner,
+    block_records,
     latest_rollover_rows,
     log_files,
     newest_file,
@@ -110,6 +111,21 @@ def test_written_logs_are_read_by_many_tasks(spark, tmp_path):
     assert sorted((r.of, r.line_no, r.line) for r in lines) == sorted((i % 2, (2999 - i) // 2, f"entry {i}") for i in range(3000))
 
 
+@pytest.mark.parametrize("split", [5, 33, 400, None])
+def test_records_are_put_together_over_any_splits(spark, tmp_path, split):
+    """A record over many splits, splits of many records, no record, and lines before the first."""
+    texts = {
+        "a": "preamble\nDBCC 0\n" + "".join(f"DBCC {i}\n  name: n{i}\n  size = {i * 7}\n" + "  filler\n" * (i % 5) for i in range(1, 60)),
+        "b": "nothing\nat all\n", "c": "DBCC 7\n" + "  more\n" * 200 + "  size = 1\n  size = 2", "d": "",
+    }
+    for name, text in texts.items():
+        (tmp_path / f"out.{name}").write_text(text)
+    fields = {"id": "^DBCC (.*)$", "name": "name: (.*)", "size": "size = ([0-9]+)"}
+    found = block_records(spark, str(tmp_path), "^DBCC ", fields, split_bytes=split).collect()
+    want = {("a", 0, "0", None, None), *(("a", i, str(i), f"n{i}", str(i * 7)) for i in range(1, 60)), ("c", 0, "7", None, "1")}
+    assert {(r.source_file[-1], r.record, r.id, r["name"], r.size) for r in found} == want and len(found) == len(want)
+
+
 def test_log_files(spark, tmp_path):
     (tmp_path / "errorlog.1").write_text("one\nManufacturer: x\n")
     found = log_files(spark, str(tmp_path)).where(F.col("text").contains("Manufacturer"))

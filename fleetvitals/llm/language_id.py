@@ -1,10 +1,12 @@
 """Language identification in two steps: the family first, then the language within it.
 
 Both steps are linear support vector machines between two classes each, one against one, over the
-relative frequencies of hashed letter 2-, 3- and 4-grams. Votes are margins; the score is the product
-of the two steps' confidence. The machines are fitted on at most ``MAX_ROWS`` documents, as many of
-each language, chosen by the hash of their text; prediction reads every whole text in place and adds
-up weights, so it needs no shuffle and no feature vectors.
+relative frequencies of hashed letter 2-, 3- and 4-grams. A text meets the machines between families,
+and then only those of the family that won. Votes are margins; the score is the product of the two
+steps' confidence. Codes of no known family are put together by how alike their letters are, into
+about as many families as there are codes in each, so machines stay few. They are fitted on at most
+``MAX_ROWS`` different texts, as many of each of at most ``MAX_LANGUAGES`` languages, chosen by the hash
+of their text; prediction reads every whole text in place, so it needs no shuffle.
 """
 
 from __future__ import annotations
@@ -24,10 +26,14 @@ from fleetvitals.llm._scratch import settle
 BITS = 12
 GRAMS = (2, 3, 4)
 MAX_ROWS = 2_000
+#: The languages with the most texts are learned, so many at most.
+MAX_LANGUAGES = 200
+#: Texts whose vectors are held at once.
+AT_ONCE = 256
 COST = 10.0
 UNKNOWN = "und"
 
-#: Families of common language codes; any other code is a family of its own.
+#: Families of common language codes; others are put together by their letters.
 FAMILIES = {
     "germanic": "af da de en fy is lb nb nl nn no sv yi",
     "romance": "ca es fr gl it la oc pt rm ro",
@@ -41,8 +47,25 @@ FAMILIES = {
 _FAMILY = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
 
 
-def family_of(lang: str) -> str:
-    return _FAMILY.get(lang.lower().partition("-")[0], lang)
+def family_of(lang: str) -> str | None:
+    return _FAMILY.get(lang.lower().partition("-")[0])
+
+
+def grouped(means: dict[str, np.ndarray]) -> dict[str, str]:
+    """A family for each language without one, named by its first: about the square root of their
+    number, each around the language that is least like those before it."""
+    names = sorted(means)
+    if not names:
+        return {}
+    x = np.stack([means[n] / max(np.linalg.norm(means[n]), 1e-12) for n in names])
+    centres = [0]
+    near = x @ x[0]
+    while len(centres) < np.ceil(np.sqrt(len(names))):
+        centres.append(int(near.argmin()))
+        near = np.maximum(near, x @ x[centres[-1]])
+    of = (x @ x[centres].T).argmax(axis=1)
+    first = {k: next(n for n, o in zip(names, of) if o == k) for k in set(of.tolist())}
+    return {n: first[k] for n, k in zip(names, of.tolist())}
 
 
 #: Lower case; digits, signs and white space are one blank.
@@ -69,27 +92,17 @@ def _ranges(t: _text.Texts, k: int) -> tuple[np.ndarray, np.ndarray]:
     return first, np.maximum(first, t.offsets[1:] - k + 1)
 
 
-def frequencies(t: _text.Texts) -> np.ndarray:
-    """Texts by buckets; the grams of one length together weigh one."""
-    out = np.zeros((len(t), 1 << BITS))
-    for k, bucket in _grams(t):
-        for i, (lo, hi) in enumerate(zip(*_ranges(t, k))):
-            if hi > lo:
-                out[i] += np.bincount(bucket[lo:hi], minlength=1 << BITS) / (hi - lo)
-    return out
-
-
-def sums(t: _text.Texts, weights: np.ndarray) -> np.ndarray:
-    """``frequencies(t) @ weights`` without the vectors; weights are buckets by machines."""
-    out = np.zeros((len(t), weights.shape[1]))
-    for k, bucket in _grams(t):
-        lo, hi = _ranges(t, k)
-        size = np.maximum(hi - lo, 1)
-        for m in range(weights.shape[1]):
-            total = np.concatenate([[0.0], np.cumsum(weights[:, m][bucket])])
-            top = len(total) - 1
-            out[:, m] += (total[np.minimum(hi, top)] - total[np.minimum(lo, top)]) / size
-    return out
+def vectors(t: _text.Texts, at_once: int = AT_ONCE) -> Iterator[tuple[int, np.ndarray]]:
+    """Texts by buckets, so many texts at a time, with the number of the first; the grams of one
+    length together weigh one."""
+    grams = [(bucket.astype(np.uint16), *_ranges(t, k)) for k, bucket in _grams(t)]
+    for first in range(0, len(t), at_once):
+        out = np.zeros((min(at_once, len(t) - first), 1 << BITS), np.float32)
+        for bucket, low, high in grams:
+            for i, (lo, hi) in enumerate(zip(low[first : first + at_once].tolist(), high[first : first + at_once].tolist())):
+                if hi > lo:
+                    out[i] += np.bincount(bucket[lo:hi], minlength=1 << BITS) / (hi - lo)
+        yield first, out
 
 
 def lettered(t: _text.Texts) -> np.ndarray:
@@ -122,95 +135,118 @@ def support_vectors(x: np.ndarray, y: np.ndarray, cost: float = COST) -> np.ndar
 
 
 @dataclass
-class Model:
-    """Languages by family; machines as pairs of family names or of languages, and their weights."""
+class Machines:
+    """One machine for each pair of ``names``, in the order of ``combinations``; weights are buckets
+    by machines."""
 
-    languages: dict[str, list[str]]
-    pairs: list[tuple[str, str]]
+    names: list[str]
     weights: np.ndarray
     bias: np.ndarray
 
-    def decide(self, margins: np.ndarray) -> tuple[list[str], np.ndarray]:
-        """Best language and confidence for each row of margins."""
-        column = {p: i for i, p in enumerate(self.pairs)}
-
-        def best(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            votes = np.zeros((len(margins), len(names)))
-            for a, b in combinations(range(len(names)), 2):
-                m = margins[:, column[names[a], names[b]]]
-                votes[:, a] += (m > 0) + 0.5 * np.tanh(m) / len(names)
-                votes[:, b] += (m <= 0) - 0.5 * np.tanh(m) / len(names)
-            top = votes.argmax(axis=1) if len(names) else np.zeros(len(margins), int)
-            sure = np.ones(len(margins))
-            for a, b in combinations(range(len(names)), 2):
-                m = margins[:, column[names[a], names[b]]]
-                own = np.where(top == a, m, np.where(top == b, -m, np.inf))
-                sure = np.minimum(sure, 1 / (1 + np.exp(-np.clip(2 * own, -30, 30))))
-            return top, sure
-
-        families = sorted(self.languages)
-        family, sure = best([f"family {f}" for f in families])
-        pick, score = [""] * len(margins), sure.copy()
-        for k, f in enumerate(families):
-            own, within = best(self.languages[f])
-            for i in np.flatnonzero(family == k):
-                pick[i] = self.languages[f][own[i]]
-                score[i] *= within[i]
-        return pick, score
+    def best(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number of the best name and the confidence in it, for each row of vectors."""
+        n = len(self.names)
+        margins = x @ self.weights + self.bias
+        votes = np.zeros((len(x), n))
+        for m, (a, b) in zip(margins.T, combinations(range(n), 2)):
+            votes[:, a] += (m > 0) + 0.5 * np.tanh(m) / n
+            votes[:, b] += (m <= 0) - 0.5 * np.tanh(m) / n
+        top, sure = votes.argmax(axis=1), np.ones(len(x))
+        for m, (a, b) in zip(margins.T, combinations(range(n), 2)):
+            own = np.where(top == a, m, np.where(top == b, -m, np.inf))
+            sure = np.minimum(sure, 1 / (1 + np.exp(-np.clip(2 * own, -30, 30))))
+        return top, sure
+
+
+@dataclass
+class Model:
+    """Machines between families, and those between the languages of each."""
+
+    families: Machines
+    within: dict[str, Machines]
+
+    @property
+    def languages(self) -> dict[str, list[str]]:
+        return {f: m.names for f, m in self.within.items()}
+
+    def decide(self, x: np.ndarray) -> tuple[list[str], np.ndarray]:
+        """Best language and confidence for each row of vectors."""
+        family, score = self.families.best(x)
+        pick = np.full(len(x), "", object)
+        for k, name in enumerate(self.families.names):
+            rows = np.flatnonzero(family == k)
+            if len(rows):
+                machines = self.within[name]
+                top, sure = machines.best(x[rows])
+                pick[rows] = np.array(machines.names, object)[top]
+                score[rows] *= sure
+        return pick.tolist(), score
+
+
+def _machines(x: np.ndarray, label: np.ndarray, names: list[str]) -> Machines:
+    columns = []
+    for a, b in combinations(names, 2):
+        at = (label == a) | (label == b)
+        columns.append(support_vectors(x[at], np.where(label[at] == a, 1.0, -1.0)))
+    w = np.array(columns).reshape(len(columns), x.shape[1] + 1)
+    return Machines(names, np.ascontiguousarray(w[:, :-1].T, np.float32), w[:, -1])
 
 
 def fit(docs: DataFrame, usable: str, text_col: str = "text", lang_col: str = "lang", max_rows: int = MAX_ROWS) -> Model:
     """Fits on rows of ``docs`` where the SQL condition ``usable`` holds and neither text nor
-    language is null; an equal share of ``max_rows`` for each language."""
+    language is null; an equal share of ``max_rows`` for each language. Copies of a text with the
+    same language are one text; ties are settled by the text's hash, then the text."""
     rows = docs.where(usable).select(F.col(lang_col).alias("_llm_lang"), F.col(text_col).alias("_llm_text")).dropna()
-    counts = {r["_llm_lang"]: r["n"] for r in rows.groupBy("_llm_lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a language
+    texts = rows.groupBy("_llm_lang").agg(F.approx_count_distinct("_llm_text").alias("n"))
+    counts = {r["_llm_lang"]: r["n"] for r in texts.orderBy(F.desc("n"), "_llm_lang").limit(MAX_LANGUAGES).collect()}
     if not counts:
-        return Model({}, [], np.zeros((1 << BITS, 0)), np.zeros(0))
+        return Model(Machines([], np.zeros((1 << BITS, 0), np.float32), np.zeros(0)), {})
     quota = max(1, max_rows // len(counts))
     # Of a language with many texts only one in so many is compared, three times what is wanted.
     one_in = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, max(1, n // (3 * quota)))))
-    few = rows.where(F.pmod(F.xxhash64("_llm_text"), one_in[F.col("_llm_lang")]) == 0)
-    order = Window.partitionBy("_llm_lang").orderBy(F.xxhash64("_llm_text"))
+    learned = rows.where(F.col("_llm_lang").isin(*counts))
+    few = learned.where(F.pmod(F.xxhash64("_llm_text"), one_in[F.col("_llm_lang")]) == 0).distinct()
+    order = Window.partitionBy("_llm_lang").orderBy(F.xxhash64("_llm_text"), "_llm_text")
     chosen = few.withColumn("_llm_rank", F.row_number().over(order)).where(F.col("_llm_rank") <= quota)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, t in _text.slices(batches, "_llm_text", 1 << 19):
-            x = frequencies(t).astype(np.float32)
-            has = lettered(t)
-            yield pa.record_batch([batch.column("_llm_lang"), pa.array(has), pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "has", "x"])
+            has = pa.array(lettered(t))
+            for first, x in vectors(t):
+                own = batch.slice(first, len(x))
+                yield pa.record_batch([own.column("_llm_lang"), has.slice(first, len(x)), pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "has", "x"])
 
     held = settle(chosen.select("_llm_lang", "_llm_text").mapInArrow(run, "lang string, has boolean, x binary")).where("has").toArrow()
     lang = np.array(held["lang"].to_pylist(), object)
     x = np.array([np.frombuffer(r, np.float32) for r in held["x"].to_pylist()], float).reshape(len(lang), 1 << BITS)
     order = np.lexsort([[r.tobytes() for r in x], lang.astype(str)]) if len(lang) else []
     lang, x = lang[order], x[order] * 10
-    family = np.array([family_of(c) for c in lang], object)
-    languages = {f: sorted(set(lang[family == f])) for f in sorted(set(family))}
-    pairs, columns = [], []
-    for a, b in combinations(sorted(languages), 2):
-        at = (family == a) | (family == b)
-        pairs.append((f"family {a}", f"family {b}"))
-        columns.append(support_vectors(x[at], np.where(family[at] == a, 1.0, -1.0)))
-    for names in languages.values():
-        for a, b in combinations(names, 2):
-            at = (lang == a) | (lang == b)
-            pairs.append((a, b))
-            columns.append(support_vectors(x[at], np.where(lang[at] == a, 1.0, -1.0)))
-    w = np.array(columns).reshape(len(pairs), (1 << BITS) + 1)
-    return Model(languages, pairs, np.ascontiguousarray(w[:, :-1].T) * 10, w[:, -1])
+    others = grouped({c: x[lang == c].mean(axis=0) for c in sorted(set(lang)) if family_of(c) is None})
+    family = np.array([family_of(c) or others[c] for c in lang], object)
+    names = sorted(set(family))
+    between = _machines(x, family, names)
+    within = {f: _machines(x[family == f], lang[family == f], sorted(set(lang[family == f]))) for f in names}
+    for machines in (between, *within.values()):
+        machines.weights *= 10  # as the vectors were
+    return Model(between, within)
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Id, lang_pred and score of every row; ``und`` with score 0 for a text that is null or has no
-    letter, or where no language was learned. Repeated rows give repeated rows, an empty table gives
-    an empty one, and no other column is read."""
+    letter, or where no language was learned. Of names with equal votes the first by name is told.
+    Repeated rows give repeated rows, an empty table gives an empty one, and no other column is
+    read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, t in _text.slices(batches, "_llm_text"):
-            has = lettered(t) & bool(model.languages)
-            pick, score = model.decide(sums(t, model.weights) + model.bias)
-            pick = [p if h else UNKNOWN for p, h in zip(pick, has)]
-            yield pa.record_batch([batch.column("_llm_id"), pa.array(pick, pa.string()), pa.array(np.where(has, score, 0.0))], names=["id", "lang_pred", "score"])
+            has, pick, score = lettered(t) & bool(model.within), [], []
+            for _, x in vectors(t) if model.within else ():
+                some, sure = model.decide(x)
+                pick += some
+                score.append(sure)
+            pick = [p if h else UNKNOWN for p, h in zip(pick or has, has)]
+            scores = np.where(has, np.concatenate(score) if score else 0.0, 0.0)
+            yield pa.record_batch([batch.column("_llm_id"), pa.array(pick, pa.string()), pa.array(scores)], names=["id", "lang_pred", "score"])
 
     ids = docs.schema[id_col].dataType.simpleString()
     picked = docs.select(F.col(id_col).alias("_llm_id"), F.col(text_col).alias("_llm_text"))

@@ -195,7 +195,11 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str], max_rows
 
 
 def probabilities(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The id and one column ``p_<category>`` per row of ``docs``. Null texts count as empty."""
+    """The id and one column ``p_<category>`` per row of ``docs``, in their order.
+
+    Null and empty texts are told by their form alone; null ids stay null, repeated rows are answered
+    one by one and alike, an empty table gives an empty one, and other columns, whatever their names,
+    are not read. Texts of any length are read whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = _hasher()
@@ -209,7 +213,11 @@ def probabilities(docs: DataFrame, model: Model, id_col: str = "doc_id", text_co
 
 
 def keep_clean(docs: DataFrame, model: Model, category: str, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns as they are, whose probability is below the threshold."""
+    """The rows of ``docs``, all columns as they are, whose probability is below the threshold.
+
+    A probability that equals the threshold goes. Null and empty texts are judged like others (by
+    their form alone), repeated rows stay or go together, an empty table gives an empty one, and extra
+    columns pass through whatever their names."""
     at, column = model.names.index(category), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

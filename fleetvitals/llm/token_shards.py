@@ -1,9 +1,9 @@
 """Training-order materialisation of token ids.
 
-Every text is tokenised and cut into sequences of fixed length. A sequence's number is its place in
-the table, counted in the most sequences its text could have (a token has one byte at least), so
-numbers are known before any token is. A keyed Feistel network with cycle-walking permutes these
-numbers; their order is the training order. Equal ranges of permuted numbers are the shards: rows
+Every text is tokenised and cut into sequences of fixed length. A sequence's number is a hash of its
+row's id and text and of its place in the text, so it comes from the data alone, however the table is
+split or read again. A keyed Feistel network with cycle-walking permutes the numbers below
+``NUMBERS``; their order is the training order. Equal ranges of permuted numbers are the shards: rows
 are shuffled once to their shard, sorted and written as records of one fixed stride. The count of
 each shard then gives its first global slot, so slot s lies in the shard whose range holds it, at
 byte (s - first slot) * stride, and reading can start or resume anywhere.
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,9 @@ LENGTH = 512
 END_ID = 1
 ROUNDS = 6
 SHARD_BYTES = 32 << 20
+#: Numbers lie below this; with 62 bits, two different sequences seldom share one, and then keep the
+#: order of their ids.
+NUMBERS = 3 << 60
 
 
 class Feistel:
@@ -73,59 +77,55 @@ def _id_type(tokenizer: str) -> np.dtype:
     return np.dtype("<u2" if size <= 1 << 16 else "<u4")
 
 
-def _most(text: str) -> F.Column:
-    return F.ceil((F.coalesce(F.octet_length(text), F.lit(0)) + 1) / F.lit(LENGTH))
+def numbers(names: np.ndarray, again: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Of sequences, from the names of their rows, how often a row of that name was met before, and
+    their places in the text."""
+    steps = place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + again.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return _text.mixed(names.view(np.uint64) + steps) % np.uint64(NUMBERS)
 
 
-def sequences(docs: DataFrame, tokenizer: str, key: bytes, id_col: str, text_col: str) -> tuple[DataFrame, int]:
-    """(id, start, length, ids, order) per sequence, and the number of orders there can be."""
-    picked = docs.select(F.col(id_col).alias("_llm_id"), F.col(text_col).alias("_llm_text"))
-    per_part = picked.groupBy(F.spark_partition_id().alias("part")).agg(F.sum(_most("_llm_text")).cast("bigint").alias("n")).collect()
-    sizes = {r["part"]: r["n"] for r in per_part}
-    base, total = {}, 0
-    for part in sorted(sizes):
-        base[part], total = total, total + sizes[part]
+def sequences(docs: DataFrame, tokenizer: str, key: bytes, id_col: str, text_col: str) -> DataFrame:
+    """(id, start, length, ids, order) per sequence."""
+    name = F.xxhash64(F.col(id_col).cast("string"), F.lit("/"), text_col).alias("_llm_name")
+    picked = docs.select(F.col(id_col).alias("_llm_id"), F.col(text_col).alias("_llm_text"), name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        encode, kind = _tokens.encoder(tokenizer).encode, _id_type(tokenizer)
-        shuffle, part, used = Feistel(total, key), TaskContext.get().partitionId(), 0
+        encoder, kind = _tokens.encoder(tokenizer), _id_type(tokenizer)
+        shuffle, met = Feistel(NUMBERS, key), Counter()
         for batch, t in _text.slices(batches, "_llm_text"):
-            ids, offsets = encode(t)
-            row, start, length, number, kept = [], [], [], [], []
-            room = -(-(np.diff(t.offsets) + 1) // LENGTH)
-            first = base[part] + used + np.cumsum(room) - room
-            used += int(room.sum())
+            ids, offsets = encoder.encode(t)
+            names = batch.column("_llm_name").to_numpy()
+            row, start, length, again, kept = [], [], [], [], []
             for i, (lo, hi) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
                 own = np.append(ids[lo:hi], np.uint32(END_ID)).astype(kind)
-                for k, at in enumerate(range(0, len(own), LENGTH)):
+                before = met[int(names[i])]
+                met[int(names[i])] += 1
+                for at in range(0, len(own), LENGTH):
                     piece = own[at : at + LENGTH]
                     row.append(i)
                     start.append(at)
                     length.append(len(piece))
-                    number.append(first[i] + k)
+                    again.append(before)
                     kept.append(piece.tobytes())
-            order = shuffle.permute(np.array(number, np.uint64)).astype(np.int64)
+            number = numbers(names[row], np.array(again, np.int64), np.array(start, np.int64) // LENGTH)
             yield pa.record_batch(
-                [batch.column("_llm_id").take(pa.array(row)), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(kept, pa.binary()), pa.array(order)],
+                [batch.column("_llm_id").take(pa.array(row)), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(kept, pa.binary()), pa.array(shuffle.permute(number).astype(np.int64))],
                 names=["id", "start", "length", "ids", "order"],
             )
-        if used != sizes.get(part, 0):
-            raise RuntimeError("the table was split otherwise when it was counted; write it down first")
+        encoder.forget()
 
     ids = docs.schema[id_col].dataType.simpleString()
-    return picked.mapInArrow(run, f"id {ids}, start bigint, length bigint, ids binary, `order` bigint"), total
+    return picked.mapInArrow(run, f"id {ids}, start bigint, length bigint, ids binary, `order` bigint")
 
 
 def write_shards(
     docs: DataFrame, tokenizer: str, key: bytes = b"epoch 0", folder: str | None = None,
-    id_col: str = "doc_id", text_col: str = "text", read_from_files: bool = False,
+    id_col: str = "doc_id", text_col: str = "text",
 ) -> tuple[DataFrame, str]:
     """Writes the shards; returns their index and the folder.
 
-    Numbers depend on how the table is split, so it is written down first; not so where the caller
-    says that ``docs`` is ``read_from_files`` as they are, which are split alike every time.
+    The same rows and key give the same slots, whatever the splits; only rows that are equal in id and
+    text, and so have the same records, are told apart by how many of them a task has met.
 
     The index has one row per sequence: id, start (ids of its text before it), length, shard,
     record, slot, and the path of its shard. A record is its length and then its ids, padded with
@@ -133,13 +133,11 @@ def write_shards(
     its end id alone; repeated rows and repeated or null ids are sequences of their own."""
     spark = docs.sparkSession
     folder = folder or shared_folder(spark)
-    if not read_from_files:
-        docs = settle(docs.select(id_col, text_col))
-    rows, total = sequences(docs, tokenizer, key, id_col, text_col)
+    rows = sequences(docs, tokenizer, key, id_col, text_col)
     size = docs.agg(F.sum(F.octet_length(text_col)).alias("n")).first()["n"] or 0
     shards = max(1, -(-size // SHARD_BYTES))
-    shard = F.least((F.col("order") * F.lit(shards) / F.lit(max(total, 1))).cast("int"), F.lit(shards - 1))
-    dealt = rows.withColumn("shard", shard).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "order")
+    shard = F.least((F.col("order") / F.lit(float(NUMBERS)) * F.lit(shards)).cast("int"), F.lit(shards - 1))
+    dealt = rows.withColumn("shard", shard).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "order", "id", "start")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -203,10 +201,10 @@ def read_shards(index: DataFrame, folder: str, tokenizer: str, from_slot: int =
     return shards.mapInArrow(run, "slot bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids)
 
 
-def round_trip(docs: DataFrame, tokenizer: str, key: bytes = b"epoch 0", id_col: str = "doc_id", text_col: str = "text", read_from_files: bool = False) -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer: str, key: bytes = b"epoch 0", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The index of the written shards joined with what reading them gives: id, start, length,
     ids_crc32, slot, shard, record."""
-    index, folder = write_shards(docs, tokenizer, key, None, id_col, text_col, read_from_files)
+    index, folder = write_shards(docs, tokenizer, key, None, id_col, text_col)
     read = read_shards(index, folder, tokenizer)
     both = index.drop("length", "path").join(read.hint("merge"), "slot")  # neither side has a bound
     return both.select(id_col, "start", "length", "ids_crc32", "slot", "shard", "record")

@@ -112,7 +112,42 @@ def test_shards_of_nothing(documents, clashing):
     assert token_shards.round_trip(clashing([(1, "a b")]), PATH).count() == 1
 
 
-def test_given_files_give_the_same_order_every_time(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    both = [sorted(map(tuple, token_shards.round_trip(docs, PATH, read_from_files=True).collect())) for _ in range(2)]
-    assert both[0] == both[1] and len({r[4] for r in both[0]}) == len(both[0])
+def test_slots_do_not_depend_on_the_splits(spark, documents, prose):
+    docs = documents([(i % 40, prose(30 + 37 * (i % 31), i)) for i in range(60)] + [(None, prose(900, 3)), (None, prose(20, 4))])
+    runs = [sorted(map(tuple, token_shards.round_trip(docs.repartition(n), PATH).collect()), key=repr) for n in (1, 2, 7)]
+    assert runs[0] == runs[1] == runs[2] and len({r[4] for r in runs[0]}) == len(runs[0])
+
+
+def plain_feistel(x, n, key):
+    """One number through the network, again until it is below n, in whole numbers."""
+    f = token_shards.Feistel(n, key)
+    half, mask, keys = f.half, int(f.mask), [int(k) for k in f.keys]
+
+    def mixed(h):
+        h = (h ^ h >> 31) * 0x9E3779B97F4A7C15 % 2**64
+        h = (h ^ h >> 29) * 0xBF58476D1CE4E5B9 % 2**64
+        return h ^ h >> 32
+
+    while True:
+        left, right = x >> half, x & mask
+        for k in keys:
+            left, right = right, left ^ mixed(right * 0x9E3779B97F4A7C15 % 2**64 ^ k) & mask
+        x = left << half | right
+        if x < n:
+            return x
+
+
+def test_slots_are_the_order_of_permuted_numbers(spark, documents, prose):
+    from pyspark.sql import functions as F
+
+    rows = [(i, prose(1 + 90 * i, i)) for i in range(25)] + [(None, prose(40, 99)), (3, None), (4, "")]
+    docs = documents(rows)
+    names = docs.select("doc_id", "text", F.xxhash64(F.col("doc_id").cast("string"), F.lit("/"), "text").alias("name")).collect()
+    order = []
+    for r in names:
+        for k in range(-(-(len(plain_ids(r.text)) + 1) // token_shards.LENGTH)):
+            number = int(token_shards.numbers(np.array([r.name]), np.array([0]), np.array([k]))[0])
+            order.append((plain_feistel(number, token_shards.NUMBERS, b"epoch 7"), r.doc_id, k * token_shards.LENGTH))
+    want = {(d, start): slot for slot, (_, d, start) in enumerate(sorted(order, key=lambda o: o[0]))}
+    got = {(r.doc_id, r.start): r.slot for r in token_shards.round_trip(docs, PATH, b"epoch 7").collect()}
+    assert len(want) > 40 and {k: v for k, v in got.items() if k != (3, 0) and k != (4, 0)} == {k: v for k, v in want.items() if k != (3, 0) and k != (4, 0)}

@@ -44,8 +44,8 @@ def exact(df: DataFrame, value: str) -> Column:
 def with_slice(df: DataFrame, place: Column, key: Sequence[Column]) -> DataFrame:
     """Add ``_place`` and ``_slice``, the number of the slice a row lies in; slices follow ``place``.
 
-    The rows with a fixed share of the hashes of ``key`` are the sample, so it grows with the rows
-    and slices do not. The bounds are one array in the plan (a scalar subquery that stands there
+    The rows with a fixed share of the hashes of ``key`` are the sample (one in 131,072), so it grows
+    with the rows and slices do not. The bounds are one array in the plan (a scalar subquery that stands there
     once), so nothing runs before the query does, and every branch of it cuts alike. A row's slice
     is found digit by digit, a column for each, all in one generated loop; a place beyond the
     array's end is no bound.
@@ -109,7 +109,8 @@ def with_running_total(
     if scope:
         placed = placed.withColumn("_scope", F.struct(*scope))
     slice_key = [*in_scope, "_slice"]
-    wide = DecimalType(38, sums.scale if isinstance(sums := df.schema[value].dataType, DecimalType) else 0)
+    kind = df.schema[value].dataType
+    wide = DecimalType(38, kind.scale if isinstance(kind, DecimalType) else 0)
     slices = placed.groupBy(*slice_key).agg(
         F.sum(amount).cast(wide).alias("_sum"), F.count("*").alias("_rows")
     )

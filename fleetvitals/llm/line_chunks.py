@@ -219,20 +219,22 @@ def chunk_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return picked.mapInArrow(run, f"_llm_id {ids}, _llm_hash bigint, word int, key bigint")
 
 
-def regions(seeds: list[tuple]) -> list[tuple]:
-    """(keeper, shift, word numbers) of chunks (word number, keeper, its word number). Chunks of one
-    keeper at one shift are one region as long as the words beyond them touch."""
-    groups: dict[tuple, list[int]] = {}
-    last, taken = None, 0
-    for word, keeper, kept in sorted(set(seeds), key=lambda s: s[0]):
-        if (keeper, kept) != last or word - taken >= WINDOW:  # else one word or phrase over and over
-            groups.setdefault((keeper, word - kept), []).append(word)
-            last, taken = (keeper, kept), word
-    out = []
-    for (keeper, shift), words in groups.items():
-        for part in np.split(np.array(words), np.flatnonzero(np.diff(words) > 2 * BEYOND) + 1):
-            out.append((keeper, shift, part.tolist()))
-    return out
+def regions(row: np.ndarray, keeper: np.ndarray, word: np.ndarray, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Chunks of several documents put together: their order, and where each region begins in it.
+
+    Given are a chunk's document, the number of its keeper, its word and the keeper's word. Chunks of
+    one keeper at one shift are a region as long as the words beyond them touch. Of one word or phrase
+    over and over, which has one place of its keeper in a row, a chunk in ``WINDOW`` words is enough."""
+    order = np.lexsort([kept, keeper, word, row])
+    same = np.ones(max(0, len(order) - 1), bool)
+    for x in (row, keeper, kept, word // WINDOW):
+        same &= x[order][1:] == x[order][:-1]
+    order = order[np.concatenate([np.ones(min(1, len(order)), bool), ~same])]
+    order = order[np.lexsort([word[order], (word - kept)[order], keeper[order], row[order]])]
+    new = np.diff(word[order]) > 2 * BEYOND
+    for x in (row, keeper, word - kept):
+        new |= x[order][1:] != x[order][:-1]
+    return order, np.flatnonzero(np.concatenate([np.ones(min(1, len(order)), bool), new]))
 
 
 def _repeated(found: DataFrame) -> DataFrame:
@@ -241,7 +243,7 @@ def _repeated(found: DataFrame) -> DataFrame:
     Every place finds the chunk's first one by its hash. The few chunks that hold more than one in
     ``HEAVY`` of all repeated places, no more than ``HEAVY`` by number, are met by broadcast, so a line
     that a third of all documents share is no single task."""
-    place = F.struct("_llm_id", "_llm_hash", "word")
+    found, place = settle(found), F.struct("_llm_id", "_llm_hash", "word")
     kept = settle(found.groupBy("key").agg(F.min(place).alias("kept"), F.count("*").alias("n")).where("n > 1"))
     all_places = kept.agg(F.sum("n")).first()[0] or 0
     heavy = kept.where(F.col("n") * HEAVY > all_places).select("key", F.col("kept").alias("_heavy"))
@@ -263,14 +265,19 @@ def _asks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, out = [], []
-            for i, entries in enumerate(batch.column("seeds").to_pylist()):
-                for (keeper, text), shift, words in regions([(e["word"], (e["keeper"], e["keeper_hash"]), e["kept"]) for e in entries]):
-                    rows.append(i)
-                    out.append((keeper, text, words[0] - shift, words[-1] - shift, shift, words))
-            own = batch.select(["_llm_id", "_llm_hash"]).take(pa.array(rows, pa.int64()))
-            kinds = [batch.schema.field("_llm_id").type, pa.int64(), *[pa.int32()] * 3, pa.list_(pa.int32())]
-            yield pa.record_batch([*own.columns, *(pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds))], names=names)
+            lists = batch.column("seeds").cast(pa.large_list(batch.schema.field("seeds").type.value_type))
+            ends = lists.offsets.to_numpy().astype(np.int64)
+            flat = dict(zip(("word", "keeper", "hash", "kept"), lists.flatten().flatten()))
+            row = np.repeat(np.arange(len(lists)), np.diff(ends))
+            word, kept, text = (flat[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("word", "kept", "hash"))
+            ids = flat["keeper"].dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            keeper = np.unique(np.stack([ids, text]), axis=1, return_inverse=True)[1].ravel()
+            order, begin = regions(row, keeper, word, kept)
+            first, last, shift = order[begin], order[np.append(begin[1:], len(order)) - 1], (word - kept)[order[begin]]
+            told = [flat["keeper"].take(pa.array(first)), pa.array(text[first]), *(pa.array(x.astype(np.int32)) for x in (word[first] - shift, word[last] - shift, shift))]
+            words = pa.ListArray.from_arrays(pa.array(np.append(begin, len(order)).astype(np.int32)), pa.array(word[order].astype(np.int32)))
+            own = batch.select(["_llm_id", "_llm_hash"]).take(pa.array(row[first]))
+            yield pa.record_batch([*own.columns, *told, words], names=names)
 
     return seeds.mapInArrow(run, f"_llm_id {ids}, _llm_hash bigint, keeper {ids}, keeper_hash bigint, first int, last int, shift int, words array<int>")
 

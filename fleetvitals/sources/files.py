@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Mapping
 from contextlib import contextmanager
-from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -64,9 +63,7 @@ def newest_file(spark: SparkSession, folder: str) -> str | None:
     files = spark.read.format("binaryFile").load(_literal(folder)).select("path", "modificationTime")
     name = F.element_at(F.split("path", "/"), -1)
     found = files.orderBy(F.desc("modificationTime"), F.desc_nulls_last(rollover_number(name)), "path").first()
-    if found is None:
-        return None
-    return unquote(found["path"]) if re.match(r"^file:/", found["path"]) and "%" in found["path"] else found["path"]
+    return None if found is None else found["path"]
 
 
 def latest_rollover_rows(

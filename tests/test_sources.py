@@ -59,7 +59,7 @@ def test_rollover_rows_read_the_whole_set_and_no_stranger(spark, tmp_path):
 
 
 def test_the_newest_file_names_the_set_and_no_other_file_is_opened(spark, tmp_path):
-    folder = tmp_path / "of {server} [1] + ü"
+    folder = tmp_path / "of {server} [1] + ü %41"
     folder.mkdir()
     rows = spark.range(40)
     write_rollover(rows.where("id < 5"), F.lit(3), str(folder), "other")

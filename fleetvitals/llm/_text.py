@@ -78,18 +78,24 @@ def release() -> None:
         pass  # not glibc
 
 
+def _bounds(column: pa.Array) -> np.ndarray:
+    """The n + 1 offsets of a string column's values, read where they lie."""
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    return np.frombuffer(column.buffers()[1], kind)[column.offset : column.offset + len(column) + 1]
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, Texts]]:
-    """Row ranges of the batches that hold about ``most`` bytes of text each, one row at least."""
+    """Row ranges of the batches that hold about ``most`` bytes of text each, one row at least. Only
+    the range at hand is copied, never a batch."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        whole = texts(batch.column(column))
-        at = 0
+        held = batch.column(column)
+        bounds, at = _bounds(held), 0
         while at < batch.num_rows:
-            to = int(np.searchsorted(whole.offsets, whole.offsets[at] + most, "right")) - 1
+            to = int(np.searchsorted(bounds, int(bounds[at]) + most, "right")) - 1
             to = min(max(to, at + 1), batch.num_rows)
-            lo, hi = whole.offsets[at], whole.offsets[to]
-            yield batch.slice(at, to - at), Texts(whole.data[lo:hi], whole.offsets[at : to + 1] - lo)
+            yield batch.slice(at, to - at), texts(held.slice(at, to - at))
             at = to
     release()
 

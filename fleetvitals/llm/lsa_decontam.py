@@ -3,7 +3,8 @@
 Benchmark items are cut into passages of at most 64 words. Words are weighted by the inverse of the
 number of documents that hold them, counted over all documents. A randomised SVD, whose products
 with the TF-IDF matrix Spark adds up over passages, gives latent coordinates; it is fitted on all
-passages of the benchmark and those of about ``SAMPLE_DOCUMENTS`` documents, twice that at most. Every document is then
+passages of the benchmark and of all documents, whose known words are written down once as numbers
+for it. Every document is then
 searched whole by windows of 8, 16, 32 and 64 words every 8 words. A find has 60 % of a passage's
 words in common order, so of its rarest 40 % and ``RARE`` more words the window holds ``RARE``: only
 windows that do are projected, and compared by cosine with the passages whose rare words they hold.
@@ -34,7 +35,8 @@ STRIDE = 8
 WINDOWS = (8, 16, 32, 64)
 RANK = 64
 OVERSAMPLE = 8
-SAMPLE_DOCUMENTS = 500
+#: For trials: a basis of about so many documents, twice that at most. None takes them all.
+SAMPLE_DOCUMENTS: int | None = None
 BLOCK_BYTES = 512 << 10
 MIN_COSINE = 0.5
 COPY = 0.8
@@ -46,6 +48,10 @@ SLICE_BYTES = 1 << 20
 #: Rare words of a passage that a window has to hold before it is projected.
 RARE = 3
 AT_ONCE = 1000
+#: Words whose part of the TF-IDF matrix is built at once, or a text's if it has more.
+PORTION = 1 << 17
+#: Cells of the TF-IDF matrix that are multiplied at once; their rows stay in a core's cache.
+BLOCK_CELLS = 1024
 #: Cells of the table of windows by words that says which passage words a window holds.
 CELLS = 4 << 20
 
@@ -94,56 +100,93 @@ def _numbers(h: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
     return np.where(vocabulary[place] == h, place, -1)
 
 
-def document_counts(docs: DataFrame, vocabulary: np.ndarray, text_col: str) -> tuple[int, np.ndarray]:
-    """Number of documents, and of those that hold each word, over all documents."""
+def known_words(texts: DataFrame, vocabulary: np.ndarray) -> DataFrame:
+    """Per text, its words that the vocabulary has, as numbers that ascend within each half passage,
+    and how many every half passage with any has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, seen, n = _hasher(), np.zeros(len(vocabulary), np.int64), 0
+        hasher = _hasher()
         for _, t in _text.slices(batches, "_llm_text", SLICE_BYTES):
             w, h = _hashes(t, hasher)
             v = _numbers(h, vocabulary)
-            at = v >= 0
-            both = np.unique(w.text_of()[at] * len(vocabulary) + v[at])
-            seen += np.bincount(both % len(vocabulary), minlength=len(vocabulary))
-            n += len(t)
+            at = np.flatnonzero(v >= 0)
+            text = np.searchsorted(w.first, at, "right") - 1
+            half = (at - w.first[text]) // (PASSAGE // 2)
+            new = np.concatenate([[True], (text[1:] != text[:-1]) | (half[1:] != half[:-1])])[: len(at)]
+            words = np.sort(np.cumsum(new) * len(vocabulary) + v[at]) % len(vocabulary)
+            cut = np.flatnonzero(new)
+            every = np.arange(len(t) + 1)
+            columns = (np.searchsorted(text, every), words), (np.searchsorted(text[cut], every), np.diff(np.append(cut, len(at))))
+            lists = [pa.ListArray.from_arrays(pa.array(o, pa.int32()), pa.array(x, pa.int32())) for o, x in columns]
+            yield pa.record_batch(lists, names=["words", "held"])
+
+    return texts.mapInArrow(run, "words array<int>, held array<int>")
+
+
+def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Of some texts at a time: each text's number of words, all words, and those of each half passage."""
+    for batch in batches:
+        own, held = batch.column("words"), batch.column("held")
+        ends, at = np.cumsum(own.value_lengths().to_numpy()), 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PORTION, "right")))
+            words = own.slice(at, to - at)
+            yield words.value_lengths().to_numpy(), words.flatten().to_numpy(), held.slice(at, to - at).flatten().to_numpy()
+            at = to
+
+
+def document_counts(known: DataFrame, size: int) -> tuple[int, np.ndarray]:
+    """Number of texts, and of those that hold each of ``size`` words, over all texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, n = np.zeros(size, np.int64), 0
+        for counts, v, _ in _portions(batches):
+            both = np.unique(np.repeat(np.arange(len(counts)), counts) * size + v)
+            seen += np.bincount(both % size, minlength=size)
+            n += len(counts)
         if n:
             held = np.flatnonzero(seen)
             yield pa.record_batch([pa.array(np.append(held, -1)), pa.array(np.append(seen[held], n))], names=["word", "n"])
 
-    picked = docs.select(F.col(text_col).alias("_llm_text"))
-    found = picked.mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+    found = known.mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
     by_word = dict(zip(found["word"].to_pylist(), found["n"].to_pylist()))
-    return by_word.pop(-1, 0), np.array([by_word.get(i, 0) for i in range(len(vocabulary))], float)
+    return by_word.pop(-1, 0), np.array([by_word.get(i, 0) for i in range(size)], float)
+
+
+def _add_rows(out: np.ndarray, to: np.ndarray, source: np.ndarray, at: np.ndarray, value: np.ndarray) -> None:
+    """Adds ``value`` times the row ``at`` of ``source`` to the row ``to`` of ``out``; ``to`` ascends."""
+    for lo in range(0, len(to), BLOCK_CELLS):
+        part = to[lo : lo + BLOCK_CELLS]
+        rows = source[at[lo : lo + BLOCK_CELLS]] * value[lo : lo + BLOCK_CELLS, None]
+        cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        out[part[cut]] += np.add.reduceat(rows, cut, axis=0)
 
 
-def _product(texts: DataFrame, vocabulary: np.ndarray, idf: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """A'A times ``right``, for the matrix A whose rows are the unit TF-IDF vectors of passages."""
+def _product(known: DataFrame, idf: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A'A times ``right``, for the matrix A whose rows are the unit TF-IDF vectors of half passages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, total, any_row = _hasher(), np.zeros_like(right), False
-        for _, t in _text.slices(batches, "_llm_text"):
-            w, h = _hashes(t, hasher)
-            v = _numbers(h, vocabulary)
-            text = w.text_of()
-            row = text * 1_000_000 + (np.arange(len(h)) - w.first[text]) // (PASSAGE // 2)
-            at = v >= 0
-            if not at.any():
+        total = np.zeros_like(right)
+        for _, v, sizes in _portions(batches):
+            if not len(v):
                 continue
-            any_row = True
-            _, row = np.unique(row[at], return_inverse=True)
-            cell, count = np.unique(row * len(vocabulary) + v[at], return_counts=True)
-            row, v = cell // len(vocabulary), cell % len(vocabulary)
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            cell = np.flatnonzero(np.concatenate([[True], (v[1:] != v[:-1]) | (row[1:] != row[:-1])]))
+            count = np.diff(np.append(cell, len(v)))
+            row, v = row[cell], v[cell]
             value = count * idf[v]
             value /= np.sqrt(np.bincount(row, value**2))[row]
-            middle = np.zeros((row.max() + 1, right.shape[1]))
-            np.add.at(middle, row, value[:, None] * right[v])
-            np.add.at(total, v, value[:, None] * middle[row])
-        if any_row:
-            held = np.flatnonzero(total.any(axis=1))
-            yield pa.record_batch([pa.array(held), pa.array(list(total[held]), pa.list_(pa.float64()))], names=["word", "row"])
+            middle = np.zeros((len(sizes), right.shape[1]))
+            _add_rows(middle, row, right, v, value)
+            by_word = np.argsort(v, kind="stable")
+            _add_rows(total, v[by_word], middle, row[by_word], value[by_word])
+        held = np.flatnonzero(total.any(axis=1))
+        if len(held):
+            rows = pa.FixedSizeListArray.from_arrays(pa.array(total[held].ravel()), right.shape[1]).cast(pa.list_(pa.float64()))
+            yield pa.record_batch([pa.array(held), rows], names=["word", "row"])
 
     sums = [F.sum(F.col("row")[k]).alias(f"c{k}") for k in range(right.shape[1])]
-    found = texts.mapInArrow(run, "word bigint, row array<double>").groupBy("word").agg(*sums).toArrow()
+    found = known.mapInArrow(run, "word bigint, row array<double>").groupBy("word").agg(*sums).toArrow()
     out = np.zeros_like(right)
     if found.num_rows:
         out[found["word"].to_numpy()] = np.column_stack([found[f"c{k}"].to_numpy() for k in range(right.shape[1])])
@@ -151,11 +194,14 @@ def _product(texts: DataFrame, vocabulary: np.ndarray, idf: np.ndarray, right: n
 
 
 def latent_basis(texts: DataFrame, vocabulary: np.ndarray, idf: np.ndarray, rank: int = RANK) -> np.ndarray:
-    """Right singular vectors (words by rank) by a randomised range finder with one power step."""
+    """Right singular vectors (words by rank) by a randomised range finder with one power step.
+
+    ``texts`` has the texts, or their ``known_words``."""
+    known = settle(known_words(texts, vocabulary)) if "_llm_text" in texts.columns else texts
     width = min(rank + OVERSAMPLE, len(vocabulary))
     guess = np.random.default_rng(8).standard_normal((len(vocabulary), width))
-    q, _ = np.linalg.qr(_product(texts, vocabulary, idf, guess))
-    squares, turn = np.linalg.eigh(q.T @ _product(texts, vocabulary, idf, q))
+    q, _ = np.linalg.qr(_product(known, idf, guess))
+    squares, turn = np.linalg.eigh(q.T @ _product(known, idf, q))
     return (q @ turn[:, np.argsort(-squares)])[:, :rank]
 
 
@@ -193,14 +239,16 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 def build(docs: DataFrame, held: Passages, text_col: str = "text") -> Index:
     spark = docs.sparkSession
-    n, df = document_counts(docs, held.vocabulary, text_col)
+    # Written down: texts are hashed once for the counts and both products of the basis.
+    known = settle(known_words(docs.select(F.col(text_col).alias("_llm_text")), held.vocabulary))
+    n, df = document_counts(known, len(held.vocabulary))
     idf = np.log((1 + n) / (1 + df)) + 1
-    # One text in so many by its hash, so every task sends a few; copies count once.
-    one_in = F.pmod(F.xxhash64("_llm_text"), F.lit(max(1, n // SAMPLE_DOCUMENTS)))
-    # Written down: both products of the basis have to see the same texts.
-    sample = settle(docs.select(F.col(text_col).alias("_llm_text")).where(one_in == 0).distinct().limit(2 * SAMPLE_DOCUMENTS))
+    if SAMPLE_DOCUMENTS is not None:
+        one_in = F.pmod(F.xxhash64("words"), F.lit(max(1, n // SAMPLE_DOCUMENTS)))
+        known = settle(known.where(one_in == 0).distinct().limit(2 * SAMPLE_DOCUMENTS))
+    own = known_words(spark.createDataFrame([(x,) for x in held.texts], "_llm_text string"), held.vocabulary)
     number = {int(h): i for i, h in enumerate(held.vocabulary)}
-    basis = latent_basis(sample.unionByName(spark.createDataFrame([(x,) for x in held.texts], "_llm_text string")), held.vocabulary, idf)
+    basis = latent_basis(known.unionByName(own), held.vocabulary, idf)
     words = (idf[:, None] * basis).astype(np.float32)
     queries = np.stack([words[[number[int(h)] for h in p]].sum(axis=0) for p in held.words])
     return Index(held, idf, words, _unit(queries).astype(np.float32))

@@ -201,3 +201,28 @@ def test_both_products_see_the_same_texts(spark, documents, items, prose, monkey
     held = next(lsa_decontam.blocks(spark.createDataFrame(items, BENCH)))
     lsa_decontam.build(documents([(i, prose(30, i)) for i in range(40)], 5), held)
     assert len(seen) == 2 and seen[0] == seen[1]
+
+
+def test_the_basis_is_fitted_on_every_document(spark, documents, items, prose, monkeypatch):
+    rows = [(i, prose(20, i % 700) + " " + items[i % 30][1][:40]) for i in range(1500)] + [(1500, None), (1501, "unknown")]
+    seen = []
+    basis = lsa_decontam.latent_basis
+    monkeypatch.setattr(lsa_decontam, "latent_basis", lambda texts, *a: seen.append(texts.count()) or basis(texts, *a))
+    held = next(lsa_decontam.blocks(spark.createDataFrame(items, BENCH)))
+    lsa_decontam.build(documents(rows, 5), held)
+    assert seen == [len(rows) + len(items)]
+
+
+def test_known_words_of_half_passages(spark):
+    own = [lsa_decontam._hashes(_text.texts(pa.array([t])), lsa_decontam._hasher())[1] for t in ("b", "a", "c")]
+    vocabulary = np.sort(np.concatenate(own))
+    b, a, c = (int(x) for x in lsa_decontam._numbers(np.concatenate(own), vocabulary))
+    texts = ["c b x b " + "x " * 28 + "a b " + "x " * 40 + "c", None, "", "x", "a"]
+    df = spark.createDataFrame([(t,) for t in texts], "_llm_text string").coalesce(1)
+    got = [tuple(r) for r in lsa_decontam.known_words(df, vocabulary).collect()]
+    assert got[1:] == [([], []), ([], []), ([], []), ([a], [1])]
+    words = lsa_decontam._numbers(lsa_decontam._hashes(_text.texts(pa.array([texts[0]])), lsa_decontam._hasher())[1], vocabulary)
+    halves = [sorted(int(v) for v in words[k : k + 32] if v >= 0) for k in range(0, len(words), 32)]
+    assert got[0] == ([v for x in halves for v in x], [len(x) for x in halves if x])
+    n, df_counts = lsa_decontam.document_counts(lsa_decontam.known_words(df, vocabulary), 3)
+    assert n == 5 and (df_counts[a], df_counts[b], df_counts[c]) == (2, 1, 1)

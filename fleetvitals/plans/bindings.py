@@ -753,13 +753,13 @@ def rolled_over_files(spark: SparkSession, folder: str) -> DataFrame:
 def log_file_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Lines with a term and their numbers, from text files that several tasks read.
 
-    All events are written as one log per type; splits are a sixth of the usual size or less, so
+    All events are written as one log per type, of several files if it is long; splits are a sixth of the usual size or less, so
     even these files are several splits each."""
     logs = scratch_folder(spark)
     events = read_table(spark, folder, "events")
     line = F.concat_ws(" ", F.col("event_id").cast("string"), "props")
     write_logs(events, line, [F.col("ts"), F.col("event_id")], "event_type", logs)
-    found = numbered_log_lines(spark, logs, "7", split_bytes=16 << 10)
+    found = numbered_log_lines(spark, logs, "7", split_bytes=16 << 10, continued=True)
     return found.select("event_type", "line_no", "line")
 
 
@@ -782,7 +782,7 @@ def command_records(spark: SparkSession, folder: str) -> DataFrame:
     )
     write_logs(events, block, [F.col("ts"), F.col("event_id")], "event_type", printed)
     fields = {"event_id": "^EVENT HEADER @(.*)$", "user_id": "^  User = (.*)$", "props": "^  Props = (.*)$"}
-    found = block_records(spark, printed, "^EVENT HEADER @", fields, split_bytes=16 << 10)
+    found = block_records(spark, printed, "^EVENT HEADER @", fields, split_bytes=16 << 10, continued=True)
     number = [F.col(c).cast("bigint").alias(c) for c in ("event_id", "user_id")]
     return found.select("event_type", "record", *number, "props")
 

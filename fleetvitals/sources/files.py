@@ -13,6 +13,8 @@ from ..session import written
 
 # Digits of the largest 64-bit number, which a rollover number is.
 MOST_DIGITS = 19
+# A task writes about so many rows of a log, and puts the records of about so many lines together.
+LOG_ROWS = 1 << 18
 _SPLIT_BYTES = "spark.sql.files.maxPartitionBytes"
 _NUMBERED = r"^(.*?)(?:_([0-9]{1,19}))?(\.[^.]*)?$"
 
@@ -135,12 +137,14 @@ def _tagged(lines: DataFrame, folders: list[str]) -> DataFrame:
     )
 
 
-def _before(splits: DataFrame, counted: str) -> DataFrame:
-    """For each split the sum of ``counted`` over the file's splits before it, as ``_before``."""
-    earlier = Window.partitionBy("source_file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
-    return splits.select(
-        "source_file", "_split", F.coalesce(F.sum(counted).over(earlier), F.lit(0)).alias("_before")
-    )
+def _before(splits: DataFrame, counted: str, log: list[str]) -> DataFrame:
+    """For each split its place ``_at`` among those of the files that share the columns ``log``, and
+    the sum of ``counted`` over the splits before it, as ``_before``.
+
+    Numbers in names may grow by a digit, so shorter names come first."""
+    along = Window.partitionBy(*log).orderBy(F.length("source_file"), "source_file", "_split")
+    earlier = F.sum(counted).over(along.rowsBetween(Window.unboundedPreceding, -1))
+    return splits.withColumn("_before", F.coalesce(earlier, F.lit(0))).withColumn("_at", F.row_number().over(along))
 
 
 def numbered_log_lines(
@@ -150,6 +154,7 @@ def numbered_log_lines(
     *,
     ignore_case: bool = False,
     split_bytes: int | None = None,
+    continued: bool = False,
 ) -> DataFrame:
     """Lines of text logs that contain ``term`` (all lines without one), with ``line_no`` from 0.
 
@@ -158,7 +163,8 @@ def numbered_log_lines(
     reads it. The lines before a split are a prefix sum over a file's splits, added when the hits
     are spread out again. ``source_file`` names the file, other columns are those of its folders.
     An empty file has no lines; a file without the term counts but gives none. ``split_bytes`` is the
-    largest split of this read, unless it is the session's.
+    largest split of this read, unless it is the session's. With ``continued`` the files of a folder
+    are one log, in the order of their names' length and names, and lines are numbered through.
     """
     lines = spark.read.text(path)
     folders = [c for c in lines.columns if c != "value"]
@@ -170,7 +176,9 @@ def numbered_log_lines(
     )
     with _splits_of(spark, split_bytes):
         splits = written(per_split)
-    found = splits.where(F.size("_hits") > 0).join(_before(splits, "_lines"), ["source_file", "_split"])
+    counts = splits.select(*folders, "source_file", "_split", "_lines")
+    before = _before(counts, "_lines", folders if continued else ["source_file"]).select("source_file", "_split", "_before")
+    found = splits.where(F.size("_hits") > 0).join(before, ["source_file", "_split"])
     return found.select(*folders, "source_file", "_before", "_first", F.explode("_hits").alias("_hit")).select(
         *folders,
         "source_file",
@@ -186,40 +194,59 @@ def block_records(
     fields: Mapping[str, str],
     *,
     split_bytes: int | None = None,
+    continued: bool = False,
 ) -> DataFrame:
     """The records of a command's printed output, a row each, from text files.
 
     A record begins with a line that matches ``begins`` and goes on to the next such line; lines
     before a file's first one belong to no record. ``fields`` maps names to patterns whose first
     group is the value, taken from the record's first line that matches (NULL if none does). ``record``
-    numbers a file's records from 0, other columns are those of the file's folders.
+    numbers a file's records from 0, other columns are those of the file's folders. With ``continued``
+    the files of a folder are one log, in the order of their names' length and names.
 
     A record may begin in one split and end in a later one. Every split tells how many records begin
-    in it; the prefix sum of that, and the begins seen so far inside the split, number each line's
-    record, so head and tail meet under one number whatever the splits are. No task holds more than a
-    split or a record.
+    in it; the prefix sum of that stands as a first row before the split's lines, so the begins seen
+    so far number each line's record, and head and tail meet under one number whatever the splits
+    are. Lines that match nothing are left where they are read, values are cut out there. Tasks grow
+    in number with the lines: none holds more than about ``LOG_ROWS`` of them, a split or a record.
     """
     lines = spark.read.text(path)
     folders = [c for c in lines.columns if c != "value"]
-    marked = _tagged(lines, folders).withColumn("_begins", F.col("value").rlike(begins).cast("bigint"))
+    log = folders if continued else [*folders, "source_file"]
+    names = [f"_value{i}" for i in range(len(fields))]
+    values = [
+        F.when(F.col("value").rlike(pattern), F.regexp_extract("value", pattern, 1)).alias(name)
+        for name, pattern in zip(names, fields.values())
+    ]
+    marked = _tagged(lines, folders).select(
+        *folders, "source_file", "_split", "_id", F.lit(None).cast("int").alias("_at"),
+        F.col("value").rlike(begins).cast("bigint").alias("_begins"), *values,
+    )
     with _splits_of(spark, split_bytes):
-        marked = written(marked)
-    begun = marked.groupBy("source_file", "_split").agg(F.sum("_begins").alias("_begun"))
+        marked = written(marked.where((F.col("_begins") == 1) | F.coalesce(F.lit(None).cast("string"), *names).isNotNull()))
+    begun = marked.groupBy(*folders, "source_file", "_split").agg(F.sum("_begins").alias("_begun"))
+    heads = _before(begun, "_begun", log).select(
+        *folders, "source_file", "_split", F.lit(-1).alias("_id"), "_at", F.col("_before").alias("_begins"),
+        *[F.lit(None).cast("string").alias(n) for n in names],
+    )
+    tasks = max(1, -(-marked.count() // LOG_ROWS))
     so_far = Window.partitionBy("source_file", "_split").orderBy("_id").rowsBetween(Window.unboundedPreceding, 0)
-    inside = marked.withColumn("_here", F.sum("_begins").over(so_far))
-    numbered = inside.join(_before(begun, "_begun"), ["source_file", "_split"])
-    numbered = numbered.withColumn("record", F.col("_before") + F.col("_here") - 1).where("record >= 0")
-    place = F.struct("_split", "_id")
-    values = []
-    for name, pattern in fields.items():
-        hit = F.when(F.col("value").rlike(pattern), F.regexp_extract("value", pattern, 1))
-        values.append(F.min_by(hit, F.when(hit.isNotNull(), place)).alias(name))
-    return numbered.groupBy(*folders, "source_file", "record").agg(*values)
+    inside = marked.unionByName(heads).repartition(tasks, "source_file", "_split").select(
+        *log, *names, "_id", F.max("_at").over(so_far).alias("_at"), (F.sum("_begins").over(so_far) - 1).alias("record")
+    )
+    numbered = inside.where("_id >= 0 and record >= 0")
+    place = F.struct("_at", "_id")
+    first = [F.min_by(n, F.when(F.col(n).isNotNull(), place)).alias(field) for n, field in zip(names, fields)]
+    return numbered.groupBy(*log, "record").agg(*first)
 
 
 def write_logs(df: DataFrame, line: Column, order: list[Column], by: str, folder: str) -> None:
     """Write ``line`` of every row as text, a folder ``by=<value>`` each, lines in their order.
 
-    Values are sorted apart first, so each one's lines are a single file written by one task."""
-    placed = df.repartition(by).sortWithinPartitions(by, *order)
+    A value's lines are one file up to about ``LOG_ROWS`` of all rows; beyond that they are cut along
+    the order into files that continue each other in the order of their names, each written by a task
+    of its own."""
+    tasks = max(1, -(-df.count() // LOG_ROWS))
+    placed = df.repartitionByRange(tasks, by, *order) if tasks > 1 else df.repartition(by)
+    placed = placed.sortWithinPartitions(by, *order)
     placed.select(line.alias("value"), by).write.partitionBy(by).text(folder)

@@ -251,3 +251,21 @@ def test_declared_schemas_are_those_of_the_files(spark):
     for name in TABLES:
         inferred = spark.read.parquet(f"{folder}/{name}.parquet").dtypes
         assert read_table(spark, folder, name).dtypes == inferred, name
+
+
+@pytest.mark.parametrize("rows", [7, 1 << 18])
+def test_a_long_log_is_several_files_that_continue_each_other(spark, tmp_path, monkeypatch, rows):
+    from fleetvitals.sources import files
+
+    monkeypatch.setattr(files, "LOG_ROWS", rows)
+    df = spark.range(90).select("id", F.when(F.col("id") % 9 == 0, "b").otherwise("a").alias("of")).repartition(3)
+    block = F.concat(F.lit("HEAD @"), F.col("id"), F.lit("\n  noise\n  User = u"), F.col("id"), F.lit("\n  ----"))
+    write_logs(df, block, [F.desc("id")], "of", f"{tmp_path}/logs")
+    parts = list((tmp_path / "logs" / "of=a").glob("part-*"))
+    assert len(parts) > 5 if rows == 7 else len(parts) == 1
+    want = {of: [i for i in reversed(range(90)) if (i % 9 == 0) == (of == "b")] for of in "ab"}
+    for split in (16, None):
+        found = block_records(spark, f"{tmp_path}/logs", "^HEAD @", {"id": "@(.*)$", "user": "^  User = u(.*)$"}, split_bytes=split, continued=True).collect()
+        assert sorted((r["of"], r["record"], int(r["id"]), int(r["user"])) for r in found) == [(of, n, i, i) for of in "ab" for n, i in enumerate(want[of])]
+        lines = numbered_log_lines(spark, f"{tmp_path}/logs", "HEAD", split_bytes=split, continued=True).collect()
+        assert sorted((r["of"], r["line_no"], r["line"]) for r in lines) == [(of, 4 * n, f"HEAD @{i}") for of in "ab" for n, i in enumerate(want[of])]

@@ -56,26 +56,23 @@ def round_ratio(
     """``a * times / b`` rounded half up (away from zero) to ``places``, from whole numbers only.
 
     Everything up to the last step is whole-number arithmetic, so no binary fraction can tip
-    a tie. Numbers that stay within 64 bits are worked out in 64 bits, the others in wide
-    decimals. NULL where ``b`` is not positive.
+    a tie. Numbers that stay within 64 bits are divided in 64 bits, the others in wide decimals.
+    NULL where ``b`` is not positive.
+
+    Sign and unit are put on once, after either division: several ratios of a report share one
+    generated method, which the JVM leaves uncompiled if it grows beyond 8000 bytes.
     """
     a = as_col(a)
     b = F.lit(b).cast("bigint") if isinstance(b, int) else as_col(b)
     factor = 2 * times * 10**places
     unit = F.lit(Decimal(1).scaleb(-places))
-    kind = f"decimal({precision},{places})"
-
-    def signed(steps: Column) -> Column:
-        return (F.when(a < 0, -steps).otherwise(steps) * unit).cast(kind)
-
     short_a, short_b = F.abs(a).cast("bigint"), b.cast("bigint")
     short = F.call_function("div", short_a * F.lit(factor) + short_b, short_b * F.lit(2))
     wide_a, wide_b = F.abs(a.cast(WIDE)), b.cast(WIDE)
     wide = _wide_div(wide_a * F.lit(factor) + wide_b, wide_b * F.lit(2))
     is_short = (F.abs(a) <= F.lit(2**62 // factor)) & (b <= F.lit(2**61))
-    return F.when(
-        b > 0, F.when(is_short, signed(short.cast("decimal(20,0)"))).otherwise(signed(wide))
-    )
+    steps = F.when(b <= 0, F.lit(None)).when(is_short, short.cast(WIDE)).otherwise(wide)
+    return (steps * F.when(a < 0, -unit).otherwise(unit)).cast(f"decimal({precision},{places})")
 
 
 def times_div(a: Column | str, times: int, b: Column | str) -> Column:

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import re
 from datetime import datetime
 from decimal import Decimal
 from fractions import Fraction
@@ -132,3 +133,15 @@ def test_seconds_do_not_depend_on_the_zone(spark):
 def test_shift_millis(spark):
     moved = one(spark, shift_millis("t", F.lit(-1500)), t=datetime(2024, 1, 1, 0, 0, 2))
     assert moved == datetime(2024, 1, 1, 0, 0, 0, 500000)
+
+
+def test_three_ratios_are_compiled(spark):
+    """The JVM does not compile methods beyond 8000 bytes; a report shows three ratios of sums."""
+    df = spark.range(9).selectExpr("id as a", "id % 5 as b", "id * 3 as c", "id % 7 as d")
+    total, count = F.col("a") + F.col("c"), F.col("b") + F.col("d")
+    pairs = [("a", F.lit(1) + F.col("b")), ("c", F.lit(1) + F.col("d")), (total, F.lit(1) + count)]
+    found = df.select("*", *[round_ratio(x, y, 1).alias(f"r{i}") for i, (x, y) in enumerate(pairs)])
+    plan = found._jdf.queryExecution().executedPlan()
+    code = spark._jvm.org.apache.spark.sql.execution.debug.package.codegenString(plan)
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", code)]
+    assert sizes and max(sizes) < 8000

@@ -360,6 +360,50 @@ DERIVED: dict[str, list[Selection]] = {
     })],
 }
 
+#: Expressions of a group's keys that stand for one value each: what Spark groups by, and how the key
+#: is made of it afterwards. Numbers are shorter than the padded names to hash, sort and shuffle.
+RAW = {
+    YEARLY["server_name"]: ("l_suppkey", YEARLY["server_name"].replace("l_suppkey", "{}")),
+    **{
+        key: (reserved("l_partkey"), key.replace(reserved("l_partkey"), "{}"))
+        for key in (database("l_partkey"), padded(database("l_partkey")))
+    },
+}
+
+_SIZE, _USED_SIZE = DERIVED["performance_counters"][:2]
+
+#: The same rows for Spark alone: two counters of one table are added up in one pass over it.
+IN_SPARK: dict[str, list[Selection]] = {
+    "performance_counters": [
+        Selection(
+            f"""(select l_suppkey, {YEARLY["snapshot_ts"]} as year, {reserved("l_partkey")} as id,
+                {_SIZE.columns["cntr_value"]} as size, {_USED_SIZE.columns["cntr_value"]} as used
+                from {{lineitem}} group by 1, 2, 3)
+            lateral view explode(map({_SIZE.columns["counter_name"]}, size,
+                {_USED_SIZE.columns["counter_name"]}, used)) as counter, kb""",
+            {
+                **_SIZE.columns, "snapshot_ts": "year", "counter_name": "counter",
+                "instance_name": padded("concat('db', id)"), "cntr_value": "kb",
+            },
+        ),
+        *DERIVED["performance_counters"][2:],
+    ],
+}
+
+
+def _spark_sql(selection: Selection) -> str:
+    """The selection, with names of its keys made after the grouping."""
+    keys = list(selection.columns.items())[: selection.group]
+    if not any(expression in RAW for _, expression in keys):
+        return selection.sql()
+    raw = [RAW.get(expression, (expression, "{}")) for _, expression in keys]
+    values = dict(list(selection.columns.items())[selection.group :])
+    inner = {**{f"key{i}": own for i, (own, _) in enumerate(raw)}, **values}
+    shown = {name: raw[i][1].replace("{}", f"key{i}") for i, (name, _) in enumerate(keys)}
+    grouped = Selection(selection.source, inner, selection.group).sql()
+    return Selection(f"({grouped})", {**shown, **{v: v for v in values}}).sql()
+
+
 _USED = re.compile(r"\{(\w+)\}")
 
 
@@ -369,8 +413,8 @@ def _sql_of(table: str, **names: str) -> list[str]:
 
 def _open(spark: SparkSession, folder: str, table: str) -> DataFrame:
     parts = []
-    for selection in DERIVED[table]:
-        text = selection.sql()
+    for selection in IN_SPARK.get(table, DERIVED[table]):
+        text = _spark_sql(selection)
         views = {name: read_table(spark, folder, name) for name in set(_USED.findall(text))}
         parts.append(align(spark.sql(text, **views), table))
     whole = parts[0]

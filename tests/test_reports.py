@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import re
 from datetime import datetime, timedelta
 from decimal import Decimal
 
 import pytest
 
+from fleetvitals.plans import derived
 from fleetvitals.plans import reports as r
 from fleetvitals.plans.constants import IDLE_WAITS
 from fleetvitals.plans.reports import ReportOptions
 from tests.conftest import T0, cells
 
+
 def shown_sorted(**chosen) -> ReportOptions:
     return ReportOptions(sorted=True, **chosen)
 
@@ -628,3 +631,20 @@ def test_volatile_statistics(snapshot):
     found = cells(r.volatile_statistics(t, SALES), "object_name", "modification_counter")
     assert len(found) == 50
     assert found[0] == ("o51", 510) and found[-1] == ("o01", 7)
+
+
+def test_tables_derived_in_spark_have_the_rows_of_their_sql(spark):
+    """Spark groups by the numbers that names are made of, and reads the two log counters at once."""
+    folder, changed = "/root/testdata/sf0.001", ("performance_counters", "master_files", "file_stats", "wait_stats")
+    for table in changed:
+        plain = None
+        for selection in derived.DERIVED[table]:
+            text = selection.sql()
+            views = {n: derived.read_table(spark, folder, n) for n in derived._USED.findall(text)}
+            part = derived.align(spark.sql(text, **views), table)
+            plain = part if plain is None else plain.unionByName(part)
+        found = derived._open(spark, folder, table)
+        assert found.schema == plain.schema and found.count() > 0
+        assert found.exceptAll(plain).isEmpty() and plain.exceptAll(found).isEmpty(), table
+    plan = derived._open(spark, folder, "performance_counters")._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"FileScan parquet [^\n]*lineitem", plan)) == 1

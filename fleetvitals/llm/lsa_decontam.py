@@ -133,6 +133,7 @@ def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, .
             words = own.slice(at, to - at)
             yield words.value_lengths().to_numpy(), words.flatten().to_numpy(), held.slice(at, to - at).flatten().to_numpy()
             at = to
+    _text.release()
 
 
 def document_counts(known: DataFrame, size: int) -> tuple[int, np.ndarray]:
@@ -246,7 +247,8 @@ def build(docs: DataFrame, held: Passages, text_col: str = "text") -> Index:
     if SAMPLE_DOCUMENTS is not None:
         one_in = F.pmod(F.xxhash64("words"), F.lit(max(1, n // SAMPLE_DOCUMENTS)))
         known = settle(known.where(one_in == 0).distinct().limit(2 * SAMPLE_DOCUMENTS))
-    own = known_words(spark.createDataFrame([(x,) for x in held.texts], "_llm_text string"), held.vocabulary)
+    # Written as well: a product then takes one Python worker per task, not one more for these words.
+    own = settle(known_words(spark.createDataFrame([(x,) for x in held.texts], "_llm_text string").coalesce(1), held.vocabulary))
     number = {int(h): i for i, h in enumerate(held.vocabulary)}
     basis = latent_basis(known.unionByName(own), held.vocabulary, idf)
     words = (idf[:, None] * basis).astype(np.float32)

@@ -11,15 +11,18 @@ Within the cells, rounds find enough links to join what is linked, and the last
 that might still join two components:
 
 1. every member against the cell's first member;
-2. in cells that still hold several components, members outside the cell's largest one search the
-   tree of the cell for partners in other components, the ``PARTNERS`` whose bound is best; first
-   each in its largest cell only, which joins most copies, and then in all;
-3. cells in which some member had more are searched again, now between fewer components and for
-   eight times as many partners, until no cell is left.
+2. in cells that still hold several components, every member outside the one that is largest in the
+   whole table asks that component. The component has one tree for all cells, and a member asks it
+   once, in however many cells they meet. Told are the ``PARTNERS`` whose bound is best;
+3. members outside that component search the tree of what is left of their cell without it. What is
+   left is small and often the same in many cells, of which one is then searched;
+4. a member that had more partners asks again, now between fewer components and for eight times as
+   many, until none is left.
 
 Every pair found is verified by intersecting the sets. Pairs inside a component are never emitted,
-so a group of copies costs as much as its members, not its pairs. Large cells are split: the few
-members that search are repeated for each part.
+so a group of copies costs as much as its members, not its pairs or its members times their cells.
+A group of points or of those who ask is split when it is large, and each part of the one meets each
+part of the other.
 """
 
 from __future__ import annotations
@@ -28,7 +31,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,7 +43,7 @@ from fleetvitals.llm._scratch import settle
 GROUPS = 256
 LEAF = 16
 CELL_ROWS = 4096
-#: Partners that a search tells of at once; a cell with more is searched again, for 8 times as many.
+#: Partners that a search tells of at once; a member with more asks again, for 8 times as many.
 PARTNERS = 8
 #: Bits of the filter that spares documents whose sets are not asked for; its size is fixed.
 FILTER_BITS = 1 << 23
@@ -311,91 +313,98 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a binary, b binary").distinct()
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-    """Rows of one (cell, part) at a time, from batches that are sorted by them."""
-    kept: list[pd.DataFrame] = []
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, bool, dict[str, np.ndarray]]]:
+    """(group, part, chunk), whether they ask, and the columns of neighbouring rows that agree in
+    these. Rows are sorted by them; a run may go on in the next batch."""
     for batch in batches:
-        rows = batch.to_pandas()
-        if not len(rows):
+        if not batch.num_rows:
             continue
-        cell, part = rows["cell"].to_numpy(), rows["part"].to_numpy()
-        new = np.concatenate([[True], (cell[1:] != cell[:-1]) | (part[1:] != part[:-1])])
-        if kept:
-            last = kept[-1].iloc[-1]
-            new[0] = last["cell"] != rows["cell"].iloc[0] or last["part"] != rows["part"].iloc[0]
-        edges = [*np.flatnonzero(new).tolist(), len(rows)]
-        if edges[0]:
-            kept.append(rows.iloc[: edges[0]])
-        for a, b in zip(edges, edges[1:]):
-            if kept:
-                yield pd.concat(kept)
-            kept = [rows.iloc[a:b]]
-    if kept:
-        yield pd.concat(kept)
-
-
-def _pairs(one: pd.DataFrame, percent: int, most: int) -> tuple[set[tuple[bytes, bytes]], bool]:
-    """Pairs of one cell's part, and whether a member had more than ``most`` partners."""
-    asks = one["asks"].to_numpy()
-    index, query = one[~asks], one[asks]
+        rows = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names}
+        new = np.ones(batch.num_rows, bool)
+        new[1:] = np.any([(rows[c][1:] != rows[c][:-1]).astype(bool) for c in ("group", "part", "chunk", "asks")], axis=0)
+        edges = [*np.flatnonzero(new).tolist(), batch.num_rows]
+        for i, j in zip(edges, edges[1:]):
+            yield (rows["group"][i], int(rows["part"][i]), int(rows["chunk"][i])), bool(rows["asks"][i]), {c: v[i:j] for c, v in rows.items()}
+
+
+def _partners(tree: CountTree, keys: np.ndarray, comps: np.ndarray, asking: dict[str, np.ndarray], percent: int) -> tuple[set[tuple[bytes, bytes]], list[tuple[bytes, int]]]:
+    """Pairs of those who ask with points of the tree, and who had more than they may tell of, with
+    the number that they may tell of next time."""
     out: set[tuple[bytes, bytes]] = set()
-    more = False
-    if not len(index) or not len(query):
-        return out, more
-    tree = CountTree(np.stack([_point(c) for c in index["counts"]]))
-    keys, comps = index["key"].to_numpy(), index["comp"].to_numpy()
-    for key, own, counts in zip(query["key"], query["comp"], query["counts"]):
+    more = []
+    for key, own, counts, most in zip(asking["key"], asking["comp"], asking["counts"], asking["most"]):
+        if not (comps != own).any():
+            continue
         hits, bounds = tree.search(_point(counts), percent)
         other = comps[hits] != own
         hits, bounds = hits[other], bounds[other]
         if len(hits) > most:
-            more = True
+            more.append((key, int(most) * 8))
             hits = hits[np.lexsort([keys[hits], -bounds])[:most]]
         out.update((min(key, keys[i]), max(key, keys[i])) for i in hits)
     return out, more
 
 
-def searched(held: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, most: int, one_cell: bool) -> DataFrame:
-    """Pairs (a, b) of keys in a cell and not in a component whose bound allows a link: for each
-    member outside the cell's largest component the ``most`` best. A cell in which some had more is
-    told as well, as a row with that ``cell`` and no pair. With ``one_cell`` a member searches only
-    the largest of its cells."""
-    comp = F.coalesce("label", "key")
-    placed = held.join(labels, held["key"] == labels["node"], "left").select("cell", "key", comp.alias("comp"))
-    sizes = placed.groupBy("cell", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("mark"))
-    open_cells = (
-        sizes.groupBy("cell").agg(F.max(F.struct("n", "comp"))["comp"].alias("main"), F.count(F.lit(1)).alias("comps"), F.sum("n").alias("size"), F.sum("mark").alias("mark"))
-        .where("comps > 1 and size > 2")  # the one pair of a cell of two has been tested
+def opened(inside: DataFrame, labels: DataFrame, size: int, *order: str) -> DataFrame:
+    """(cell, key, comp, main, total, comps) of the cells with several components and ``size``
+    members at least; ``main`` is the component that comes last by ``order``, of its members in the
+    cell (``n``) and anywhere (``all``), and ``total`` the latter. Of cells with the same members one is taken."""
+    totals = labels.groupBy("label").agg(F.count(F.lit(1)).alias("all"))
+    known = labels.join(totals, "label").select("node", "label", "all")
+    placed = inside.join(known, inside["key"] == known["node"], "left").select("cell", "key", F.coalesce("label", "key").alias("comp"), F.coalesce("all", F.lit(1)).alias("all"))
+    sizes = placed.groupBy("cell", "comp", "all").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("mark"))
+    several = (
+        sizes.groupBy("cell").agg(F.max(F.struct(*order, "comp")).alias("top"), F.count(F.lit(1)).alias("comps"), F.sum("n").alias("size"), F.sum("mark").alias("mark"))
+        .where((F.col("comps") > 1) & (F.col("size") >= size))
     )
-    once = open_cells.groupBy("mark", "size").agg(F.min("cell").alias("cell"))  # cells with the same members
-    chosen = open_cells.join(once.select("cell"), "cell", "left_semi").select("cell", "main", "size", (F.ceil(F.col("size") / CELL_ROWS)).cast("int").alias("parts"))
-    rows = placed.join(chosen, "cell")
-    asks = F.col("comp") != F.col("main")
-    if one_cell:
-        best = Window.partitionBy("key").orderBy(F.when(asks, F.col("size")).desc_nulls_last(), "cell")
-        rows = rows.withColumn("chosen", asks & (F.row_number().over(best) == 1))
-        asks = F.col("chosen")
-        busy = rows.where("chosen").select("cell").distinct()
-        rows = rows.join(busy, "cell", "left_semi")
+    once = several.groupBy("mark", "size").agg(F.min(F.struct("cell", F.col("top.comp").alias("main"), F.col("top.all").alias("total"), "comps")).alias("one")).select("one.*")
+    return placed.select("cell", "key", "comp").join(once, "cell")
+
+
+def searched(index: DataFrame, asks: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of keys of different components whose bound allows a link: for each row of
+    ``asks`` (group, key, most) the ``most`` best of the rows of ``index`` (group, key) in its group.
+    Who had more is told as well, as a row with its key as ``a``, its ``group`` and the next ``most``.
+
+    A group of more than ``CELL_ROWS`` points or asking rows is a grid of parts, so a task holds one
+    tree of about that size, whatever the group's size."""
+    rows = index.select("group", "key", F.lit(False).alias("asks"), F.lit(0).cast("bigint").alias("most")).unionByName(asks.select("group", "key", F.lit(True).alias("asks"), "most"))
+    parts, chunks = (F.ceil(F.count_if(c) / CELL_ROWS).cast("int") for c in (~F.col("asks"), F.col("asks")))
+    large = rows.groupBy("group").agg(parts.alias("parts"), chunks.alias("chunks")).where("parts > 1 or chunks > 1")
+    rows = rows.join(F.broadcast(large), "group", "left").fillna(1, ["parts", "chunks"])  # few: one for CELL_ROWS rows at most
+    rows = rows.join(labels, rows["key"] == labels["node"], "left").select(*rows.columns, F.coalesce("label", "key").alias("comp"))
     rows = rows.join(sets.select("key", "counts"), "key")
-    own = F.struct((F.pmod(F.xxhash64("key"), F.col("parts"))).cast("int").alias("part"), F.lit(False).alias("asks"))
-    every = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.struct(i.alias("part"), F.lit(True).alias("asks")))
-    spread = F.explode(F.when(asks, F.concat(F.array(own), every)).otherwise(F.array(own)))
-    dealt = rows.withColumn("to", spread).select("cell", "to.part", "key", "comp", "counts", "to.asks")
+    own = F.pmod(F.xxhash64("key"), F.when(F.col("asks"), F.col("chunks")).otherwise(F.col("parts"))).cast("int")
+    to_parts = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.struct(i.alias("part"), own.alias("chunk")))
+    to_chunks = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda i: F.struct(own.alias("part"), i.alias("chunk")))
+    spread = rows.where("parts > 0 and chunks > 0").withColumn("to", F.explode(F.when(F.col("asks"), to_parts).otherwise(to_chunks)))
+    dealt = spread.select("group", "to.part", "to.chunk", "asks", "key", "comp", "counts", "most")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         said: set[tuple[bytes, bytes]] = set()
-        for one in _groups(batches):
-            found, more = _pairs(one, percent, most)
+        at, kept, tree = None, [], None
+        for name, asking, one in _runs(batches):
+            if name != at:
+                at, kept, tree = name, [], None
+            if not asking:
+                kept.append(one)
+                continue
+            if tree is None:
+                if not kept:
+                    continue
+                keys, comps = (np.concatenate([k[c] for k in kept]) for c in ("key", "comp"))
+                tree = CountTree(np.stack([_point(c) for k in kept for c in k["counts"]]))
+            found, more = _partners(tree, keys, comps, one, percent)
             fresh = sorted(found - said)
             if len(said) < 500_000:  # only spares what the task has said before
                 said.update(fresh)
-            cell = [None] * len(fresh) + [int(one["cell"].iloc[0])] * more
-            pair = [[p[k] for p in fresh] + [None] * more for k in (0, 1)]
-            yield pa.record_batch([*(pa.array(x, pa.binary()) for x in pair), pa.array(cell, pa.int64())], names=["a", "b", "cell"])
+            if fresh or more:
+                a, b = [p[0] for p in fresh] + [m[0] for m in more], [p[1] for p in fresh] + [None] * len(more)
+                group, most = [None] * len(fresh) + [name[0]] * len(more), [None] * len(fresh) + [m[1] for m in more]
+                yield pa.record_batch([*(pa.array(x, pa.binary()) for x in (a, b, group)), pa.array(most, pa.int64())], names=["a", "b", "group", "most"])
 
-    placed_rows = dealt.repartition("cell", "part").sortWithinPartitions("cell", "part")
-    return placed_rows.mapInArrow(run, "a binary, b binary, cell bigint").distinct()
+    sorted_rows = dealt.repartition("group", "part", "chunk").sortWithinPartitions("group", "part", "chunk", "asks")
+    return sorted_rows.mapInArrow(run, "a binary, b binary, group binary, most bigint").distinct()
 
 
 def ngram_join(docs: DataFrame, size: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -406,8 +415,8 @@ def ngram_join(docs: DataFrame, size: int = 4, percent: int = 85, id_col: str =
     the whole sequence of a shorter text. Two documents link when their Jaccard similarity is at
     least ``percent``. Empty and null texts link with nothing and keep their own id. Repeated rows
     give repeated rows; null ids are passed over when the smallest is taken; an empty table gives an
-    empty one; other columns are not read. A thousand parts of a cell never hold more than
-    ``CELL_ROWS`` points on average, whatever the size of a group."""
+    empty one; other columns are not read. A tree holds about ``CELL_ROWS`` points, whatever the
+    size of a group, and about as many rows ask it."""
     named = _named(docs, id_col, text_col)
     keyed = settle(classes(named, size))
     held = settle(cells(named, size, percent))
@@ -420,22 +429,30 @@ def ngram_join(docs: DataFrame, size: int = 4, percent: int = 85, id_col: str =
     tested = settle(possible(stars, sets, percent))
     links = settle(verified(tested, sets, percent))
     labels = components(links)
-    inside, most, one_cell = placed.select("cell", "key").distinct(), PARTNERS, True
+
+    # The pair of a cell of two has been tested. A component of one set is no main.
+    rows = settle(opened(placed.select("cell", "key").distinct(), labels, 3, "all", "n").where("total = 1 or comp != main"))
+    most = F.lit(PARTNERS).cast("bigint").alias("most")
+    asks = settle(rows.where("total > 1").select(F.col("main").alias("group"), "key").distinct().select("group", "key", most))
+    index = settle(labels.join(asks.select("group").distinct(), F.col("label") == F.col("group"), "left_semi").select(F.col("label").alias("group"), F.col("node").alias("key")))
+    rest = rows.where("comps > if(total > 1, 2, 1)").select("cell", "key")
     while True:
-        found = settle(searched(inside, labels, sets, percent, most, one_cell))
-        pairs = found.where("a is not null").select("a", "b").join(tested, ["a", "b"], "left_anti")
+        found = settle(searched(index, asks, labels, sets, percent))
+        pairs = found.where("b is not null").select("a", "b").join(tested, ["a", "b"], "left_anti")
         more = settle(verified(pairs, sets, percent))
         tested = tested.unionByName(pairs)
         if not more.isEmpty():
             links = links.unionByName(more)
             labels = components(links)
-        if one_cell:
-            one_cell = False
-            continue
-        unfinished = found.where("cell is not null").select("cell").distinct()
-        if unfinished.isEmpty():
+        asks = found.where("b is null").select("group", F.col("a").alias("key"), "most")
+        index = index.join(asks.select("group").distinct(), "group", "left_semi")
+        if rest is not None:
+            within = settle(opened(rest, labels, 2, "n", "all").select(F.unhex(F.hex("cell")).alias("group"), "key", (F.col("comp") != F.col("main")).alias("asks")))
+            asks = asks.unionByName(within.where("asks").select("group", "key", most))
+            index, rest = index.unionByName(within.select("group", "key")), None
+        if asks.isEmpty():
             break
-        inside, most = inside.join(unfinished, "cell", "left_semi"), most * 8
+        asks, index = settle(asks), settle(index)
 
     labelled = keyed.join(labels, keyed["key"] == labels["node"], "left").select(keyed["*"], F.coalesce("label", "key").alias("comp"))
     smallest = keyed.where("key is not null").groupBy("key").agg(F.min("_llm_id").alias("id")).join(labels, F.col("key") == F.col("node"), "left")

@@ -82,6 +82,35 @@ def test_cells_are_split_and_still_whole(documents, prose, monkeypatch):
     assert got(documents(rows)) == sorted(brute.jaccard_components(rows), key=repr)
 
 
+def test_rows_of_a_search_follow_the_members(documents, prose, monkeypatch):
+    """Rows dealt for searches in a group of near copies of which some link with no other: about as
+    many for each member in a group of twice the size, and not one for each cell of a member."""
+    kind, dealt = type(documents([])), []
+    repartition = kind.repartition
+
+    def counted(self, *to):
+        if "counts" in self.columns:
+            dealt.append(self.count())
+        return repartition(self, *to)
+
+    monkeypatch.setattr(kind, "repartition", counted)
+    each = []
+    for n in (60, 120):
+        rows = list(enumerate(near_copies(prose, n, 300, 0.006, 9)))
+        rows += [(1000 + i, t) for i, t in enumerate(near_copies(prose, n // 10, 300, 0.03, 9))]
+        dealt.clear()
+        assert got(documents(rows)) == sorted(brute.jaccard_components(rows), key=repr)
+        each.append(sum(dealt) / len(rows))
+    assert max(each) < 6 and each[1] < 1.5 * each[0] + 1
+
+
+def test_groups_are_split_on_either_side(documents, prose, monkeypatch):
+    monkeypatch.setattr(count_rtree_join, "CELL_ROWS", 3)
+    monkeypatch.setattr(count_rtree_join, "PARTNERS", 1)
+    rows = list(enumerate(near_copies(prose, 40, 200, 0.018, 5) + near_copies(prose, 40, 40, 0.03, 6)))
+    assert got(documents(rows)) == sorted(brute.jaccard_components(rows), key=repr)
+
+
 def test_one_of_each_group_stays(documents, prose):
     base = prose(200, 3)
     rows = [(5, base), (6, base), (7, base + " more"), (6, base), (9, prose(200, 4)), (9, prose(200, 5)), (10, None), (11, ""), (None, prose(30, 8))]

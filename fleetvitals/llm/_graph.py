@@ -25,3 +25,21 @@ def components(edges: DataFrame) -> DataFrame:
         labels = step.select("node", "label")
         if step.where("moved").isEmpty():
             return labels
+
+
+def joined(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """``labels`` (node, label) as ``components`` would give them with ``edges`` (a, b) added; nodes
+    that no edge had before are added.
+
+    Only labels that the new edges join are gone through again, so this costs steps over the new
+    edges and one pass over the old labels, not steps over all edges."""
+    ends = edges
+    for c in ("a", "b"):
+        own = labels.select(F.col("node").alias(c), F.col("label").alias(f"of_{c}"))
+        ends = ends.join(own, c, "left")
+    ends = settle(ends)
+    at = [F.coalesce(f"of_{c}", c).alias(c) for c in ("a", "b")]
+    merged = components(ends.select(*at).where("a != b")).select(F.col("node").alias("root"), F.col("label").alias("least"))
+    fresh = ends.where("of_a is null").select("a").union(ends.where("of_b is null").select("b")).distinct().toDF("node")
+    known = labels.select("node", "label").unionByName(fresh.withColumn("label", F.col("node")))
+    return settle(known.join(merged, known["label"] == merged["root"], "left").select("node", F.coalesce("least", "label").alias("label")))

@@ -36,12 +36,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetvitals.llm import _text
-from fleetvitals.llm._graph import components
+from fleetvitals.llm._graph import components, joined
 from fleetvitals.llm._scratch import settle
 
 #: So many that tokens which differ seldom meet in a group: the bound is then close to the overlap.
 GROUPS = 256
-LEAF = 16
+#: Points that are compared at once; a smaller leaf costs more calls than it spares comparisons.
+LEAF = 128
 CELL_ROWS = 4096
 #: Partners that a search tells of at once; a member with more asks again, for 8 times as many.
 PARTNERS = 8
@@ -56,22 +57,23 @@ class CountTree:
     coordinate."""
 
     def __init__(self, points: np.ndarray) -> None:
-        self.points = points.astype(np.int64)
-        self.sizes = self.points.sum(axis=1)
-        self.root = self._node(np.arange(len(points)))
-
-    def _node(self, rows: np.ndarray) -> tuple:
+        self.points, self.sizes = points, points.sum(axis=1, dtype=np.int64)
+        self.order = np.arange(len(points))
+        self.root = self._node(0, len(points))
+        # In the order of the leaves, one row per coordinate: a leaf's share of a coordinate lies together.
+        self.columns = np.ascontiguousarray(points[self.order].T.astype(np.int32))
+        self.sizes = self.sizes[self.order]
+
+    def _node(self, start: int, end: int) -> tuple:
+        rows = self.order[start:end]
         own, sizes = self.points[rows], self.sizes[rows]
-        upper, least, most = own.max(axis=0), int(sizes.min()), int(sizes.max())
-        if len(rows) <= LEAF:
-            return upper, least, most, rows, None
-        if most > 1.1 * least:
-            rows = rows[np.argsort(sizes, kind="stable")]
-        else:
-            axis = int(np.argmax(upper - own.min(axis=0)))
-            rows = rows[np.argsort(own[:, axis], kind="stable")]
-        half = len(rows) // 2
-        return upper, least, most, None, (self._node(rows[:half]), self._node(rows[half:]))
+        upper, least, most = own.max(axis=0).astype(np.int64), int(sizes.min()), int(sizes.max())
+        if end - start <= LEAF:
+            return upper, least, most, (start, end), None
+        by = sizes if most > 1.1 * least else own[:, int(np.argmax(upper - own.min(axis=0)))]
+        self.order[start:end] = rows[np.argsort(by, kind="stable")]
+        half = (start + end) // 2
+        return upper, least, most, None, (self._node(start, half), self._node(half, end))
 
     def search(self, point: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
         """Rows whose bound allows a Jaccard similarity of ``percent``, and the bounds."""
@@ -88,9 +90,10 @@ class CountTree:
             if leaf is None:
                 stack.extend(below)
                 continue
-            bound = np.minimum(own, self.points[leaf][:, held]).sum(axis=1)
-            fits = (100 + percent) * bound >= percent * (size + self.sizes[leaf])
-            rows.append(leaf[fits])
+            start, end = leaf
+            bound = np.minimum(self.columns[held, start:end], own[:, None].astype(np.int32)).sum(axis=0, dtype=np.int64)
+            fits = (100 + percent) * bound >= percent * (size + self.sizes[start:end])
+            rows.append(self.order[start:end][fits])
             bounds.append(bound[fits])
         if not rows:
             return np.empty(0, np.int64), np.empty(0, np.int64)
@@ -234,13 +237,14 @@ def cells(named: DataFrame, size: int, percent: int) -> DataFrame:
 
     rows = named.select("_llm_text").mapInArrow(run, "cell bigint, short bigint, level bigint")
     one = Window.partitionBy("cell")
-    several = rows.withColumn("first", F.min("short").over(one)).withColumn("last", F.max("short").over(one)).where("first != last")
-    held = settle(several.select("cell", "short", "level").distinct())
-    crowd = held.groupBy("cell").agg(F.count(F.lit(1)).alias("crowd"))
+
+    def shared(found: DataFrame) -> DataFrame:
+        return found.withColumn("first", F.min("short").over(one)).withColumn("last", F.max("short").over(one)).where("first != last")
+
+    held = settle(shared(rows).select("cell", "short", "level").distinct().withColumn("crowd", F.count(F.lit(1)).over(one)))
     order = Window.partitionBy("short", "level").orderBy(F.desc("crowd"), "cell")
-    used = held.join(crowd, "cell").withColumn("rank", F.row_number().over(order)).where(F.col("rank") > F.col("level").bitwiseAND((1 << 40) - 1))
-    first = used.groupBy("cell").agg(F.min("short").alias("first"), F.max("short").alias("last")).where("first != last")
-    return used.join(first, "cell").select("cell", "short", "first")
+    used = held.withColumn("rank", F.row_number().over(order)).where(F.col("rank") > F.col("level").bitwiseAND((1 << 40) - 1))
+    return shared(used.select("cell", "short")).select("cell", "short", "first")
 
 
 def members(named: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -249,8 +253,7 @@ def members(named: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     A filter of fixed size tells most documents that are not wanted apart where they lie, so no text
     is shuffled; a join settles the rest."""
     bit = F.pmod("short", F.lit(FILTER_BITS))
-    bits = wanted.select(bit.alias("bit")).distinct()
-    mask = bits.groupBy(F.expr("bitmap_bucket_number(bit + 1)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit + 1))").alias("map"))
+    mask = wanted.select(bit.alias("bit")).groupBy(F.expr("bitmap_bucket_number(bit + 1)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit + 1))").alias("map"))
     seen = np.zeros(FILTER_BITS, bool)
     for r in mask.collect():  # 4096 bytes for each 32768 bits of the filter
         part = np.unpackbits(np.frombuffer(bytes(r["map"]), np.uint8), bitorder="little")
@@ -279,7 +282,7 @@ def members(named: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             )
 
     made = named.select("_llm_text").mapInArrow(run, "key binary, short bigint, counts binary, tokens binary")
-    return made.join(wanted, "short", "left_semi").dropDuplicates(["key"])
+    return made.join(wanted.distinct(), "short", "left_semi").dropDuplicates(["short", "key"])  # the join has dealt them by short
 
 
 def possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -299,7 +302,7 @@ def possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of keys whose sets link."""
+    """Those of the pairs (a, b) of keys whose sets link; a pair given once is told once."""
     left = sets.select(F.col("key").alias("a"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("key").alias("b"), F.col("tokens").alias("tb"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
@@ -310,7 +313,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             fits = [_linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(own, other)]
             yield batch.select(["a", "b"]).filter(pa.array(fits, pa.bool_()))
 
-    return both.mapInArrow(run, "a binary, b binary").distinct()
+    return both.mapInArrow(run, "a binary, b binary")
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, bool, dict[str, np.ndarray]]]:
@@ -331,9 +334,9 @@ def _partners(tree: CountTree, keys: np.ndarray, comps: np.ndarray, asking: dict
     """Pairs of those who ask with points of the tree, and who had more than they may tell of, with
     the number that they may tell of next time."""
     out: set[tuple[bytes, bytes]] = set()
-    more = []
+    more, kinds = [], set(comps)
     for key, own, counts, most in zip(asking["key"], asking["comp"], asking["counts"], asking["most"]):
-        if not (comps != own).any():
+        if kinds == {own}:
             continue
         hits, bounds = tree.search(_point(counts), percent)
         other = comps[hits] != own
@@ -351,7 +354,7 @@ def opened(inside: DataFrame, labels: DataFrame, size: int, *order: str) -> Data
     cell (``n``) and anywhere (``all``), and ``total`` the latter. Of cells with the same members one is taken."""
     totals = labels.groupBy("label").agg(F.count(F.lit(1)).alias("all"))
     known = labels.join(totals, "label").select("node", "label", "all")
-    placed = inside.join(known, inside["key"] == known["node"], "left").select("cell", "key", F.coalesce("label", "key").alias("comp"), F.coalesce("all", F.lit(1)).alias("all"))
+    placed = settle(inside.join(known, inside["key"] == known["node"], "left").select("cell", "key", F.coalesce("label", "key").alias("comp"), F.coalesce("all", F.lit(1)).alias("all")))
     sizes = placed.groupBy("cell", "comp", "all").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("mark"))
     several = (
         sizes.groupBy("cell").agg(F.max(F.struct(*order, "comp")).alias("top"), F.count(F.lit(1)).alias("comps"), F.sum("n").alias("size"), F.sum("mark").alias("mark"))
@@ -420,30 +423,25 @@ def ngram_join(docs: DataFrame, size: int = 4, percent: int = 85, id_col: str =
     named = _named(docs, id_col, text_col)
     keyed = settle(classes(named, size))
     held = settle(cells(named, size, percent))
-    sets = settle(members(named, held.select("short").distinct(), size))
+    sets = settle(members(named, held.select("short"), size))
     names = sets.select("short", "key")
     first = names.select(F.col("short").alias("first"), F.col("key").alias("first_key"))
-    placed = settle(held.join(names, "short").join(first, "first").select("cell", "key", "first_key").distinct())
+    placed = settle(held.join(names, "short").join(first, "first").select("cell", "key", "first_key"))
 
     stars = placed.where("key != first_key").select(F.least("key", "first_key").alias("a"), F.greatest("key", "first_key").alias("b")).distinct()
-    tested = settle(possible(stars, sets, percent))
-    links = settle(verified(tested, sets, percent))
-    labels = components(links)
+    labels = components(settle(verified(settle(possible(stars, sets, percent)), sets, percent)))
 
     # The pair of a cell of two has been tested. A component of one set is no main.
-    rows = settle(opened(placed.select("cell", "key").distinct(), labels, 3, "all", "n").where("total = 1 or comp != main"))
+    rows = settle(opened(placed.select("cell", "key"), labels, 3, "all", "n").where("total = 1 or comp != main"))
     most = F.lit(PARTNERS).cast("bigint").alias("most")
     asks = settle(rows.where("total > 1").select(F.col("main").alias("group"), "key").distinct().select("group", "key", most))
     index = settle(labels.join(asks.select("group").distinct(), F.col("label") == F.col("group"), "left_semi").select(F.col("label").alias("group"), F.col("node").alias("key")))
     rest = rows.where("comps > if(total > 1, 2, 1)").select("cell", "key")
     while True:
         found = settle(searched(index, asks, labels, sets, percent))
-        pairs = found.where("b is not null").select("a", "b").join(tested, ["a", "b"], "left_anti")
-        more = settle(verified(pairs, sets, percent))
-        tested = tested.unionByName(pairs)
+        more = settle(verified(found.where("b is not null").select("a", "b"), sets, percent))
         if not more.isEmpty():
-            links = links.unionByName(more)
-            labels = components(links)
+            labels = joined(labels, more)
         asks = found.where("b is null").select("group", F.col("a").alias("key"), "most")
         index = index.join(asks.select("group").distinct(), "group", "left_semi")
         if rest is not None:

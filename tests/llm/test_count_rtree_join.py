@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from fleetvitals.llm import _text, count_rtree_join
+from fleetvitals.llm import _graph, _text, count_rtree_join
 from tests.llm import brute
 
 
@@ -104,6 +104,40 @@ def test_rows_of_a_search_follow_the_members(documents, prose, monkeypatch):
     assert max(each) < 6 and each[1] < 1.5 * each[0] + 1
 
 
+def test_a_run_has_few_shuffles(spark, documents, prose, monkeypatch):
+    """Shuffles in the plans that are written down, with no join small enough to be a broadcast: a
+    round reads what it adds, not what earlier rounds did."""
+    shuffles = []
+
+    def counted(df):
+        shuffles.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning"))
+        return settle(df)
+
+    settle = count_rtree_join.settle
+    monkeypatch.setattr(count_rtree_join, "settle", counted)
+    monkeypatch.setattr(count_rtree_join, "PARTNERS", 1)
+    rows = list(enumerate(near_copies(prose, 40, 200, 0.018, 5)))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = count_rtree_join.ngram_join(documents(rows))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found.collect()) == sorted(brute.jaccard_components(rows))
+    assert len(shuffles) > 16 and max(shuffles) <= 8, shuffles
+
+
+def test_new_links_join_known_labels(spark):
+    r = random.Random(4)
+    edges = [(b"%04d" % r.randrange(300), b"%04d" % r.randrange(300)) for _ in range(150)]
+    edges = [(a, b) for a, b in edges if a != b]
+    table = lambda rows: spark.createDataFrame(rows, "a binary, b binary")
+    said = lambda labels: sorted((bytes(x.node), bytes(x.label)) for x in labels.collect())
+    whole = said(_graph.components(table(edges)))
+    for cut in (70, len(edges) - 1):
+        assert said(_graph.joined(_graph.components(table(edges[:cut])), table(edges[cut:]))) == whole
+
+
 def test_groups_are_split_on_either_side(documents, prose, monkeypatch):
     monkeypatch.setattr(count_rtree_join, "CELL_ROWS", 3)
     monkeypatch.setattr(count_rtree_join, "PARTNERS", 1)
